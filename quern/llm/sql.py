@@ -20,6 +20,6 @@ SELECT node AS fact_id, min(root) AS group_id FROM reach GROUP BY node
 """,
     "p3_found": """
 SELECT DISTINCT chunk_id FROM page_chunks
-WHERE greatest(1, len(list_filter(string_split_regex(clean_text, '\\s+'), x -> x <> '')) * 13 // 10) > 2048
+WHERE greatest(1, len(regexp_extract_all(clean_text, '\\S+')) * 13 // 10) > 2048
 """,
 }
