@@ -43,6 +43,7 @@ DAMAGED, ROUNDS, PASSES = 0.05, 12, 4
 MAX_ALPHABET, MAX_BIGRAMS = 1_200_000, 5_000_000
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 _AROUND = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
+_HIGH = re.compile(r"[^\x00-\x7f]+")
 _SUSPECT = r"[^\x00-\x7F]{2}"
 
 
@@ -221,37 +222,41 @@ def alphabet(docs: DataFrame, text: str) -> DataFrame:
 def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]) -> DataFrame:
     """Counts for the model and of the units' contexts: (kind, source, a, b, c, n), summed per task."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        singles: Counter = Counter()
+        pairs: Counter = Counter()
+        units_at: Counter = Counter()
         for batch in batches:
             for s, t in zip(batch[source], batch[text]):
                 units = suspicious(t, blocks)
                 # chance units of genuine text are few among its letters; then the text may teach the model
-                if LOST not in t and 2 * sum(len(u) for _, u, _ in units) < 1 + sum(c > "\x7f" for c in t):
-                    for part in outside(t, units):
-                        for m in _AROUND.finditer(part):
-                            total.update(("pair", None, a, b, None) for a, b in zip(m[0], m[0][1:]))
-                        total.update(("single", None, c, None, None) for c in part)
+                if LOST not in t and 2 * sum(len(u) for _, u, _ in units) < 1 + sum(map(len, _HIGH.findall(t))):
+                    for part in outside(t, units) if units else (t,):
+                        for around in _AROUND.findall(part):
+                            pairs.update(map("".join, zip(around, around[1:])))
+                        singles.update(part)
                 for _ in range(PASSES):
                     for at, unit, _ in units:
                         before, after = t[at - 1 : at] if at else "", t[at + len(unit) : at + len(unit) + 1]
                         # a neighbour that is itself damaged tells nothing
-                        total["unit", s, unit, before if before < "\x80" else "", after if after < "\x80" else ""] += 1
+                        units_at[s, unit, before if before < "\x80" else "", after if after < "\x80" else ""] += 1
                     if not units or (below := peeled(t)) == t:
                         break
                     t = below
                     units = suspicious(t, blocks)
-            if len(total) > 500_000:
-                yield _frame(total)
-                total = Counter()
-        yield _frame(total)
+            if len(pairs) + len(units_at) > 500_000:
+                yield _frame(singles, pairs, units_at)
+                singles, pairs, units_at = Counter(), Counter(), Counter()
+        yield _frame(singles, pairs, units_at)
 
     schema = "kind string, source string, a string, b string, c string, n long"
     return _sum_counts(docs.select(F.col(source).alias(source), text).mapInPandas(count, schema), "kind", "source", "a", "b", "c")
 
 
-def _frame(total: Counter) -> pd.DataFrame:
-    rows = list(total)
-    return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(("kind", "source", "a", "b", "c"))} | {"n": list(total.values())})
+def _frame(singles: Counter, pairs: Counter, units_at: Counter) -> pd.DataFrame:
+    rows = [("single", None, c, None, None, n) for c, n in singles.items()]
+    rows += [("pair", None, p[0], p[1], None, n) for p, n in pairs.items()]
+    rows += [("unit", *key, n) for key, n in units_at.items()]
+    return pd.DataFrame(rows, columns=["kind", "source", "a", "b", "c", "n"])
 
 
 def learn(docs: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame]:
