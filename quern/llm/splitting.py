@@ -36,8 +36,8 @@ _WORD = re.compile(r"\S+")
 # Marks that end a sentence or a clause, and what may close after them.
 _SENTENCE = re.compile(r"[.!?…।。！？][\"'”’»)\]]*$")
 _CLAUSE = re.compile(r"[,;:،、][\"'”’»)\]]*$")
-_PARAGRAPH = re.compile(r"\n\s*\n|\r\s*\r(?!\n)|\f| ")
-_LINE = re.compile(r"[\n\r \x85\v]")
+_PARAGRAPH = re.compile(r"\n\s*\n|\r\s*\r(?!\n)|\f|\u2029")
+_LINE = re.compile(r"[\n\r\u2028\x85\v]")
 
 
 def words_within(tokens: int) -> int:
