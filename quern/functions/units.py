@@ -200,7 +200,7 @@ def _combine(pick: tuple, want: tuple[int, ...], dimension: str):
 
 _DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 _THOUSAND = re.compile(r"(?<![\d])\s*['’‘`]000\b")
-_NUMBER = re.compile(r"(\(\s*)?([-−–]\s?)?(\d(?:[\d.,'’]|[   ](?=\d{3}(?!\d)))*)(\s*\))?")
+_NUMBER = re.compile(r"(\(\s*)?([-−–]\s?)?(\d(?:[\d.,'’]|[ \u00a0\u202f\u2009](?=\d{3}(?!\d)))*)(\s*\))?")
 
 
 def parse_number(text: str) -> tuple[int, int, str] | None:
@@ -216,7 +216,7 @@ def parse_number(text: str) -> tuple[int, int, str] | None:
     m = _NUMBER.search(t)
     if not m:
         return None
-    digits = re.sub(r"['’   ]", "", m[3]).rstrip(".,")
+    digits = re.sub(r"['’ \u00a0\u202f\u2009]", "", m[3]).rstrip(".,")
     point, comma = digits.count("."), digits.count(",")
     if point and comma:
         mark = "." if digits.rfind(".") > digits.rfind(",") else ","

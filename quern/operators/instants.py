@@ -60,7 +60,7 @@ def _int(c: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Digits as ASCII, one kind of blank, no blanks at the ends."""
-    t = F.translate(text, _DEVANAGARI + "   ", "0123456789   ")
+    t = F.translate(text, _DEVANAGARI + "\u00a0\u202f\u2009", "0123456789   ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

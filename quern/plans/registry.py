@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import general
+from quern.plans import general, reference, reference_sql
 
-QUERIES = {**general.QUERIES}
-SQL: dict[str, str] = {**general.SQL}
+QUERIES = {**reference.QUERIES, **general.QUERIES}
+SQL: dict[str, str] = {**reference_sql.SQL, **general.SQL}
