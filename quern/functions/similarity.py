@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import LEGAL_NOISE, strip, words
 
@@ -38,7 +39,7 @@ def compared_text(name: Column) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(plain)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -88,6 +89,6 @@ def near_quote(quote: str, page: str, least: float = QUOTE_RATIO) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def quote_is_near(quote: pd.Series, page: pd.Series) -> pd.Series:
     return pd.Series([near_quote(q, p) for q, p in zip(quote, page)], dtype="bool")

@@ -5,17 +5,20 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.units import DIMENSIONS, to_common
 
 
-@F.pandas_udf("common_unit string, value_milli decimal(38,0)")
-def _common(raw: pd.Series, unit: pd.Series, quote: pd.Series, dimension: pd.Series, common: pd.Series) -> pd.DataFrame:
-    from decimal import Decimal
+_MOST = 2**63 - 1
+
 
+@F.pandas_udf(T.StructType([T.StructField("common_unit", T.StringType()), T.StructField("value_milli", T.LongType())]))
+def _common(raw: pd.Series, unit: pd.Series, quote: pd.Series, dimension: pd.Series, common: pd.Series) -> pd.DataFrame:
     none = (None, None)
     rows = [to_common(*(None if x is pd.NA else x for x in row)) or none for row in zip(raw, unit, quote, dimension, common)]
-    return pd.DataFrame({"common_unit": [u for u, _ in rows], "value_milli": [None if v is None else Decimal(v) for _, v in rows]})
+    inside = [None if v is None or abs(v) > _MOST else v for _, v in rows]
+    return pd.DataFrame({"common_unit": [u for u, _ in rows], "value_milli": pd.array(inside, dtype="Int64")})
 
 
 def convert_quantities(facts: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -39,5 +42,4 @@ def convert_quantities(facts: DataFrame, catalog: DataFrame) -> DataFrame:
         F.when(F.upper(F.trim("canonical_unit")) == "RAW", F.col("verbatim_quote")).alias("quote"),
     ).join(units, "attribute_canonical")
     parsed = quantities.select("fact_id", _common("raw_value", "canonical_unit", "quote", "dimension", "common_unit").alias("q"))
-    milli = F.col("q.value_milli").try_cast("bigint")
-    return parsed.where(milli.isNotNull()).select("fact_id", "q.common_unit", milli.alias("value_milli")).distinct()
+    return parsed.where("q.value_milli IS NOT NULL").select("fact_id", "q.common_unit", "q.value_milli").distinct()

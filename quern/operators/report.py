@@ -65,7 +65,7 @@ def store_stats(facts: DataFrame) -> DataFrame:
 
 def bounds_differ(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Whether two dated facts differ in a bound; both starts must be known."""
-    either = F.not_(s1.eqNullSafe(s2)) | F.not_(e1.eqNullSafe(e2))
+    either = ~s1.eqNullSafe(s2) | ~e1.eqNullSafe(e2)
     return s1.isNotNull() & s2.isNotNull() & either
 
 

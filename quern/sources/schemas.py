@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(),
+    "binary": T.BinaryType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from "name type, ..."; unlike Spark's own parser this needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (field.split() for field in text.split(","))])
 
 
 FACTS = _struct(

@@ -15,6 +15,7 @@ from quern.functions.periods import stated_period
 from quern.functions.text import attribute_key, entity_key, fact_id, strip
 from quern.functions.values import value_and_unit
 from quern.operators.reconcile import candidates, fuzzy_candidates, latest, relationships
+from quern.session import checkpointed
 from quern.sources.schemas import FACTS, RELATIONSHIPS, conform
 
 
@@ -87,14 +88,12 @@ class FactStore:
         so a batch that failed half-way is not taken for stored.
         """
         stored = self.deliveries()
-        fresh = conform(canonicalize(unseen_documents(conform(batch, FACTS), stored)), FACTS).persist()
-        try:
-            if fresh.isEmpty():
-                return self.spark.createDataFrame([], RELATIONSHIPS)
-            pairs = (fuzzy_candidates if fuzzy else candidates)(latest(stored).unionByName(fresh), fresh)
-            found = relationships(pairs).persist()
-            found.write.mode("append").parquet(f"{self.path}/relationships")
-            fresh.write.mode("append").parquet(f"{self.path}/facts")
-            return found
-        finally:
-            fresh.unpersist()
+        # checkpoints, as caches of plans over the store's own files are dropped when it is written
+        fresh = checkpointed(conform(canonicalize(unseen_documents(conform(batch, FACTS), stored)), FACTS))
+        if fresh.isEmpty():
+            return self.spark.createDataFrame([], RELATIONSHIPS)
+        pairs = (fuzzy_candidates if fuzzy else candidates)(latest(stored).unionByName(fresh), fresh)
+        found = checkpointed(relationships(pairs))
+        found.write.mode("append").parquet(f"{self.path}/relationships")
+        fresh.write.mode("append").parquet(f"{self.path}/facts")
+        return found
