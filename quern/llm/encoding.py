@@ -37,8 +37,8 @@ from quern.session import collect_bounded
 # Code pages that texts get mistaken for.
 CODE_PAGES = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-15", "koi8-r", "cp866")
 LOST = "�"
-#: Prior of a suspicious unit being damage, EM rounds, and passes over a text damaged repeatedly.
-DAMAGED, ROUNDS, PASSES = 0.05, 12, 4
+#: Prior of a suspicious unit being damage, EM rounds, passes over a text damaged repeatedly, reliability of a text's likeliest page.
+DAMAGED, ROUNDS, PASSES, HINT = 0.05, 12, 4, 0.995
 #: Bounds of what the driver collects: characters in use and their bigrams.
 MAX_ALPHABET, MAX_BIGRAMS = 1_200_000, 5_000_000
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
@@ -104,19 +104,26 @@ def suspicious(text: str, blocks: frozenset[int]) -> list[tuple[int, str, tuple[
     return out
 
 
-def peeled(text: str) -> str:
-    """``text`` with the units of the code page that explains most of it decoded, as a look at the damage below."""
+def explaining_page(text: str) -> int:
+    """Number of the code page that explains most of a text's runs; the first of several."""
     runs = "\0".join(_RUN.findall(text))
     cover = [sum(len(m[0]) for m in pattern.finditer(runs)) for pattern, _ in _PAGES]
-    pattern, bytes_of = _PAGES[max(range(len(cover)), key=cover.__getitem__)]
+    return max(range(len(cover)), key=cover.__getitem__)
 
-    def letter(m: re.Match) -> str:
-        try:
-            return bytes(bytes_of[c] for c in m[0]).decode("utf-8")
-        except UnicodeDecodeError:
-            return m[0]
 
-    return pattern.sub(letter, text)
+def letter_by(page: int, unit: str) -> str:
+    """The letter that a unit shows on a code page, or an empty text."""
+    try:
+        letter = bytes(_PAGES[page][1][c] for c in unit).decode("utf-8")
+    except (KeyError, UnicodeDecodeError):
+        return ""
+    return letter if len(letter) == 1 else ""
+
+
+def peeled(text: str, page: int | None = None) -> str:
+    """``text`` with the units of the code page that explains most of it decoded, as a look at the damage below."""
+    page = explaining_page(text) if page is None else page
+    return _PAGES[page][0].sub(lambda m: letter_by(page, m[0]) or m[0], text)
 
 
 def outside(text: str, units: list[tuple[int, str, tuple[str, ...]]]) -> list[str]:
@@ -151,16 +158,19 @@ class Bigrams:
         return sum(self.follows(a, b) for a, b in zip(text, text[1:]))
 
 
-def learn_mapping(contexts: list[tuple[str, str, str, int]], letters_of: dict[str, tuple[str, ...]], model: Bigrams, rounds: int = ROUNDS) -> dict[str, str]:
+def learn_mapping(contexts: list[tuple[str, str, str, str, int]], letters_of: dict[str, tuple[str, ...]], model: Bigrams, rounds: int = ROUNDS) -> dict[str, str]:
     """Unit -> letter of one source by EM; units that are rather genuine are left out.
 
-    ``contexts`` are (unit, previous, next, count). The hidden variable of an
-    occurrence is its reading: one of the unit's letters, or the unit itself.
+    ``contexts`` are (unit, previous, next, hint, count). The hidden variable
+    of an occurrence is its reading: one of the unit's letters, or the unit
+    itself. The hint is the letter on the code page that explains most of the
+    text; it is right with probability ``HINT``.
     """
     likely: dict[str, list[tuple[int, list[float]]]] = {}
-    for unit, before, after, n in contexts:
-        readings = [model.chain([before, x, after]) for x in letters_of[unit]]
-        genuine = model.chain([before, *unit, after])
+    for unit, before, after, hint, n in contexts:
+        right, wrong = (math.log(HINT), math.log(1 - HINT)) if hint else (0.0, 0.0)
+        readings = [model.chain([before, x, after]) + (right if x == hint else wrong) for x in letters_of[unit]]
+        genuine = model.chain([before, *unit, after]) + (math.log(0.5) if hint else 0.0)
         likely.setdefault(unit, []).append((n, [genuine, *readings]))
     theta = {u: [1 - DAMAGED] + [DAMAGED / len(letters_of[u])] * len(letters_of[u]) for u in likely}
     for _ in range(rounds):
@@ -220,7 +230,7 @@ def alphabet(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]) -> DataFrame:
-    """Counts for the model and of the units' contexts: (kind, source, a, b, c, n), summed per task."""
+    """Counts for the model and of the units' contexts: (kind, source, a, b, c, d, n), summed per task."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         singles: Counter = Counter()
         pairs: Counter = Counter()
@@ -234,29 +244,29 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
                         for around in _AROUND.findall(part):
                             pairs.update(map("".join, zip(around, around[1:])))
                         singles.update(part)
-                for _ in range(PASSES):
+                for _ in range(PASSES if units else 0):
+                    page = explaining_page(t)
                     for at, unit, _ in units:
                         before, after = t[at - 1 : at] if at else "", t[at + len(unit) : at + len(unit) + 1]
                         # a neighbour that is itself damaged tells nothing
-                        units_at[s, unit, before if before < "\x80" else "", after if after < "\x80" else ""] += 1
-                    if not units or (below := peeled(t)) == t:
+                        units_at[s, unit, before if before < "\x80" else "", after if after < "\x80" else "", letter_by(page, unit)] += 1
+                    t = peeled(t, page)
+                    if not (units := suspicious(t, blocks)):
                         break
-                    t = below
-                    units = suspicious(t, blocks)
             if len(pairs) + len(units_at) > 500_000:
                 yield _frame(singles, pairs, units_at)
                 singles, pairs, units_at = Counter(), Counter(), Counter()
         yield _frame(singles, pairs, units_at)
 
-    schema = "kind string, source string, a string, b string, c string, n long"
-    return _sum_counts(docs.select(F.col(source).alias(source), text).mapInPandas(count, schema), "kind", "source", "a", "b", "c")
+    schema = "kind string, source string, a string, b string, c string, d string, n long"
+    return _sum_counts(docs.select(F.col(source).alias(source), text).mapInPandas(count, schema), "kind", "source", "a", "b", "c", "d")
 
 
 def _frame(singles: Counter, pairs: Counter, units_at: Counter) -> pd.DataFrame:
-    rows = [("single", None, c, None, None, n) for c, n in singles.items()]
-    rows += [("pair", None, p[0], p[1], None, n) for p, n in pairs.items()]
+    rows = [("single", None, c, None, None, None, n) for c, n in singles.items()]
+    rows += [("pair", None, p[0], p[1], None, None, n) for p, n in pairs.items()]
     rows += [("unit", *key, n) for key, n in units_at.items()]
-    return pd.DataFrame(rows, columns=["kind", "source", "a", "b", "c", "n"])
+    return pd.DataFrame(rows, columns=["kind", "source", "a", "b", "c", "d", "n"])
 
 
 def learn(docs: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -270,11 +280,11 @@ def learn(docs: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame
 
     def em(pdf: pd.DataFrame) -> pd.DataFrame:
         letters = {u: tuple(dict.fromkeys(x for at, unit, xs in units_of(u) if unit == u for x in xs if block(x) in blocks)) for u in set(pdf["a"])}
-        mapping = learn_mapping(list(zip(pdf["a"], pdf["b"], pdf["c"], pdf["n"])), letters, model.value)
+        mapping = learn_mapping(list(zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], pdf["n"])), letters, model.value)
         return pd.DataFrame({"source": [pdf["source"].iloc[0]], "units": [list(mapping)], "letters": [list(mapping.values())]})
 
     # of one source there are as many rows as units and neighbours, however many texts it has
-    units = counts.where("kind = 'unit'").select("source", "a", "b", "c", "n")
+    units = counts.where("kind = 'unit'").select("source", "a", "b", "c", "d", "n")
     return units.groupBy("source").applyInPandas(em, "source string, units array<string>, letters array<string>"), counts
 
 
