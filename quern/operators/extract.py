@@ -80,10 +80,13 @@ def entity_of_page(doc_name: Column, text: Column) -> Column:
 
 
 def _matches(pages: DataFrame, pattern: str, label: int | None, value: int | None) -> DataFrame:
-    """One row per match: the page's columns, ``match_pos``, ``m`` (whole), ``label``, ``value``."""
-    get = lambda i: F.regexp_extract_all("clean_text", F.lit("(?i)" + pattern), F.lit(i))
-    parts = [get(0).alias("m"), *([get(label).alias("label")] if label else []), *([get(value).alias("value")] if value else [])]
-    return pages.select("*", F.posexplode(F.arrays_zip(*parts)).alias("match_pos", "x")).select("*", "x.*").drop("x")
+    """One row per match: the page's columns, ``match_pos``, ``m`` (whole), ``label``, ``value``.
+
+    The page is searched once; the parts are read off the short matches.
+    """
+    found = pages.select("*", F.posexplode(F.regexp_extract_all("clean_text", F.lit("(?i)" + pattern), F.lit(0))).alias("match_pos", "m"))
+    part = lambda i: F.regexp_extract("m", "(?i)^" + pattern, i)
+    return found.select("*", *([part(label).alias("label")] if label else []), *([part(value).alias("value")] if value else []))
 
 
 def _facts(found: DataFrame, rule: Rule, attribute: Column, unit: Column, raw: Column, quote: Column, pattern_no: int, modality: str = "TEXT") -> DataFrame:
