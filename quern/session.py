@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the workers this package, once per application, whatever their Python path is."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="quern-")) / "quern.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    # served to the executors by the driver
+    sc.addPyFile(str(target))
+    sc._quern_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, pruned to ``columns`` when any are given."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
