@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -59,6 +61,30 @@ def similarity_bound(a: Column, b: Column) -> Column:
     return F.lit(JACCARD_SHARE) * prefix_jaccard(a, b) + F.lit(RATIO_SHARE) * ratio
 
 
+def name_stems(name: Column) -> Column:
+    """The words' different first four letters, in order."""
+    return F.array_sort(F.array_distinct(F.transform(name_words(name), lambda w: F.substring(w, 1, 4))))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def letter_marks(text: pd.Series) -> pd.Series:
+    """256 bits in four numbers; each letter's n-th occurrence sets one of them.
+
+    Two texts match in no more letters than their common bits and the
+    occurrences that share a bit with another in one of them.
+    """
+
+    def marks(x: str) -> list[int]:
+        bits, seen = bytearray(32), Counter()
+        for c in x:
+            at = crc32(f"{c}{seen[c]}".encode()) % 256
+            bits[at // 8] |= 1 << at % 8
+            seen[c] += 1
+        return np.frombuffer(bytes(bits), dtype="<i8").tolist()
+
+    return text.map(marks)
+
+
 def near_quote(quote: str, page: str, least: float = QUOTE_RATIO) -> bool:
     """Whether a window of as many words as ``quote`` has is at least ``least`` similar to it.
 

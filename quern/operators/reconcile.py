@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.periods import DISJOINT, EQUAL, PERPETUAL, SUBSET, SUPERSET, interval_relation
-from quern.functions.similarity import SAME_NAME, similarity, similarity_bound
+from quern.functions.similarity import (
+    JACCARD_SHARE, RATIO_SHARE, SAME_NAME, compared_text, letter_marks, match_ratio, name_stems, similarity, similarity_bound,
+)
 from quern.functions.text import strip
 from quern.functions.values import values_match
+from quern.session import checkpointed
 
 # The case names, dimension labels and rationales.
 CORROBORATION, CONTRADICTION, RECONCILED = "CASE_1_CORROBORATION", "CASE_2_GENUINE_CONTRADICTION", "CASE_3_CONTEXT_RECONCILED"
@@ -65,14 +70,73 @@ def similar_names(facts: DataFrame, least: float = SAME_NAME) -> DataFrame:
     return possible.withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))).where(F.col("similarity") >= least)
 
 
+def _names(side: DataFrame, prefix: str) -> DataFrame:
+    """What a side's names, each with its key, are compared by: texts, stems, bits of both, and the attributes they occur with."""
+    name, key = f"{prefix}_name", f"{prefix}_entity_canonical"
+    seen = side.where(F.col(name) != "").groupBy(name, key).agg(F.collect_set(F.xxhash64(f"{prefix}_attribute_canonical")).alias("attributes"))
+    read = seen.select("*", F.length(name).alias("n"), name_stems(F.col(name)).alias("stems"), letter_marks(F.col(name)).alias("m"))
+    bits = F.expr("aggregate(stems, 0L, (x, s) -> x | shiftleft(1L, int(pmod(xxhash64(s), 64))))")
+    marked = read.select("*", F.size("stems").alias("k"), bits.alias("bits"), *(F.col("m")[i].alias(f"m{i}") for i in range(4))).drop("m")
+    # letters and stems that share a bit with another
+    hidden = F.col("n") - sum((F.bit_count(f"m{i}") for i in range(1, 4)), F.bit_count("m0"))
+    own = marked.select("*", hidden.alias("n_hidden"), (F.col("k") - F.bit_count("bits")).alias("k_hidden"))
+    own = own.withColumnsRenamed({c: f"{prefix}_{c}" for c in own.columns if c not in (name, key)})
+    # a name without words meets only itself
+    stems = F.col(f"{prefix}_stems")
+    return own.withColumn("stem", F.explode(F.when(F.size(stems) > 0, stems).otherwise(F.array(name))))
+
+
+def _near_names(a: DataFrame, b: DataFrame, least: float = SAME_NAME) -> DataFrame:
+    """(a_name, a_entity_canonical, b_name, b_entity_canonical, attribute) of unequal keys whose names reach ``least``, a's the first.
+
+    ``attribute`` is the hash of one that both occur with, a row for each.
+
+    Names share a word beginning, or the blend can't reach 0.7, and are joined
+    on each of those. What bounds the blend from above goes from cheap to dear:
+    bits and lengths, attributes in common, the word overlap itself; the
+    characters of the rest are matched in Python.
+    """
+    c = F.col
+    both = lambda *names: [F.bit_count(c(f"a_{n}").bitwiseAND(c(f"b_{n}"))) for n in names]
+    letters = sum(both("m1", "m2", "m3"), both("m0")[0]) + F.least("a_n_hidden", "b_n_hidden")
+    shared = both("bits")[0] + F.least("a_k_hidden", "b_k_hidden")
+    ratio = 2 * F.least(letters, "a_n", "b_n") / (c("a_n") + c("b_n"))
+    overlap = lambda x: F.coalesce(F.try_divide(x, c("a_k") + c("b_k") - x), F.lit(0.0))
+    blend = lambda x, y: F.lit(JACCARD_SHARE) * x + F.lit(RATIO_SHARE) * y
+    equal = c("a_name") == c("b_name")
+    differ = ~F.coalesce(c("a_entity_canonical") == c("b_entity_canonical"), F.lit(False))
+    met = a.join(b, "stem").where(differ & (equal | (blend(overlap(shared), ratio) >= least - 1e-9))).where(F.arrays_overlap("a_attributes", "b_attributes"))
+    common = F.array_intersect("a_stems", "b_stems")
+    once = met.where(F.coalesce(F.try_element_at(common, F.lit(1)), c("a_name")) == c("stem"))
+    likely = once.withColumn("jaccard", overlap(F.size(common))).where(equal | (blend(c("jaccard"), ratio) >= least - 1e-9))
+    pair = ("a_name", "a_entity_canonical", "b_name", "b_entity_canonical")
+    matched = likely.select(*pair, "jaccard", F.array_intersect("a_attributes", "b_attributes").alias("attributes"), match_ratio(c("a_name"), c("b_name")).alias("ratio"))
+    return matched.where(equal | (blend(c("jaccard"), c("ratio")) >= least)).select(*pair, F.explode("attributes").alias("attribute"))
+
+
 def fuzzy_candidates(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
-    """``candidates`` plus the pairs whose entity spellings differ in key but are similar enough."""
-    a, b = _side(facts, "a"), _side(facts if newer is None else newer, "b")
-    names = similar_names(facts if newer is None else facts.unionByName(newer)).select(F.col("name_a").alias("a_entity_raw"), F.col("name_b").alias("b_entity_raw"))
-    fuzzy = a.join(names, "a_entity_raw").join(b, "b_entity_raw").where(
-        "a_attribute_canonical = b_attribute_canonical AND a_entity_canonical <> b_entity_canonical AND a_doc_hash <> b_doc_hash AND a_ingest_seq < b_ingest_seq"
+    """``candidates`` plus the pairs whose entity spellings differ in key but are similar enough.
+
+    ``similarity`` depends on the compared texts alone, so each spelling is
+    read once and only those texts are matched that occur with one attribute.
+    A key that is null equals none.
+    """
+    sides = {"a": _side(facts, "a"), "b": _side(facts if newer is None else newer, "b")}
+    raw = [x.select(F.col(f"{p}_entity_raw").alias("raw")) for p, x in sides.items() if p == "a" or newer is not None]
+    spellings = reduce(DataFrame.union, raw).where("raw IS NOT NULL").distinct()
+    texts = checkpointed(spellings.select("raw", compared_text(F.col("raw")).alias("name")))
+    a, b = (x.join(texts.select(F.col("raw").alias(f"{p}_entity_raw"), F.col("name").alias(f"{p}_name")), f"{p}_entity_raw") for p, x in sides.items())
+    names = checkpointed(_names(a, "a"))
+    newer_names = checkpointed(_names(b, "b")) if newer is not None else names.withColumnsRenamed({c: f"b_{c[2:]}" for c in names.columns if c != "stem"})
+    near = _near_names(names, newer_names)
+    near = near.withColumnsRenamed({c: f"_{c}" for c in near.columns})
+    same = lambda p: (F.col(f"_{p}_name") == F.col(f"{p}_name")) & F.col(f"_{p}_entity_canonical").eqNullSafe(F.col(f"{p}_entity_canonical"))
+    # by attribute too, so that a fact meets only names that have a fact to pair it with
+    fuzzy = a.join(near, same("a") & (F.xxhash64("a_attribute_canonical") == F.col("_attribute"))).join(b, same("b") & (F.col("a_attribute_canonical") == F.col("b_attribute_canonical"))).where(
+        "a_doc_hash <> b_doc_hash AND a_ingest_seq < b_ingest_seq"
     )
-    return candidates(facts, newer).unionByName(fuzzy)
+    found = candidates(facts, newer)
+    return found.unionByName(fuzzy.select(*found.columns))
 
 
 def _tests() -> dict[str, Column]:

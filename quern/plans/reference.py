@@ -203,9 +203,13 @@ def q29_candidates(spark, sf_dir):
     return pairs.groupBy(F.col("a_attribute_canonical").alias("attribute"), F.col("a_entity_canonical").alias("entity")).agg(F.count("*").alias("pairs"))
 
 
+def _cases(pairs):
+    return reconcile.classify(pairs).groupBy(F.col("a_attribute_canonical").alias("attribute"), "case_type", "relation").agg(F.count("*").alias("pairs"))
+
+
 def q30_reconcile(spark, sf_dir):
-    found = reconcile.classify(reconcile.candidates(_current(spark, sf_dir)))
-    return found.groupBy(F.col("a_attribute_canonical").alias("attribute"), "case_type", "relation").agg(F.count("*").alias("pairs"))
+    """The pairs of equal keys, which SQL can follow; ``q46_reconcile_similar`` has all."""
+    return _cases(reconcile.candidates(_current(spark, sf_dir)))
 
 
 def q31_reconcile_detail(spark, sf_dir):
@@ -213,7 +217,7 @@ def q31_reconcile_detail(spark, sf_dir):
     return found.select("id", "case_type", F.array_join("differing_dimensions", " | ").alias("dimensions"), "rationale")
 
 
-def q32_incremental_equals_bulk(spark, sf_dir):
+def _two_batches(spark, sf_dir, pairing):
     """The pairs of two batches of documents, parted by hash and compared as the store does, as cases."""
     facts = _current(spark, sf_dir)
     late = F.pmod(F.xxhash64("doc_hash"), F.lit(2)) == 1
@@ -221,10 +225,15 @@ def q32_incremental_equals_bulk(spark, sf_dir):
     seq = F.col("ingest_seq") + F.when(late, F.lit(10**15)).otherwise(F.lit(0))
     ordered = facts.withColumn("ingest_seq", seq)
     first, second = ordered.where(~late), ordered.where(late)
-    pairs = reconcile.candidates(first).unionByName(reconcile.candidates(ordered, second))
+    pairs = pairing(first).unionByName(pairing(ordered, second))
     return reconcile.classify(pairs).groupBy("case_type").agg(F.count("*").alias("pairs"))
 
 
+def q32_incremental_equals_bulk(spark, sf_dir):
+    """Two batches compared by equal keys, which SQL can follow; ``q47_incremental_similar`` has all pairs."""
+    return _two_batches(spark, sf_dir, reconcile.candidates)
+
+
 def q33_upsert_latest(spark, sf_dir):
     return reconcile.latest(_facts(spark, sf_dir, "fact_id", "confidence_score", "provenance_modality", "ingest_seq"))
 
@@ -294,4 +303,14 @@ def q45_similar_names(spark, sf_dir):
     return reconcile.similar_names(named).select("name_a", "name_b", F.round("similarity", _R).alias("similarity"))
 
 
+def q46_reconcile_similar(spark, sf_dir):
+    """All pairs of one attribute across documents, by equal keys or similar spellings, as cases."""
+    return _cases(reconcile.fuzzy_candidates(_current(spark, sf_dir)))
+
+
+def q47_incremental_similar(spark, sf_dir):
+    """Two batches compared as the store does, by equal keys or similar spellings."""
+    return _two_batches(spark, sf_dir, reconcile.fuzzy_candidates)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
