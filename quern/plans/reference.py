@@ -187,11 +187,16 @@ def q27_numeric_fact(spark, sf_dir):
     )
 
 
-def q28_gate(spark, sf_dir):
+def _gated(spark, sf_dir, fuzzy):
     facts = _facts(spark, sf_dir, "ingest_seq", "doc_hash", "page_number", "verbatim_quote", "provenance_modality", "canonical_value_num", "raw_value",
                    "attribute_raw", "temporal_raw", "granularity", "is_quarantined", "quarantine_reason")
     texts = gate.page_texts(_chunks(spark, sf_dir, "doc_hash", "page_number", "chunk_index", "clean_text"))
-    return gate.gate(facts, texts, fuzzy=False).select("ingest_seq", "is_quarantined", "quarantine_reason")
+    return gate.gate(facts, texts, fuzzy).select("ingest_seq", "is_quarantined", "quarantine_reason")
+
+
+def q28_gate(spark, sf_dir):
+    """The gate with quotes found as written only, which SQL can follow; ``q48_gate_near`` takes near ones too."""
+    return _gated(spark, sf_dir, fuzzy=False)
 
 
 def _current(spark, sf_dir):
@@ -313,4 +318,9 @@ def q47_incremental_similar(spark, sf_dir):
     return _two_batches(spark, sf_dir, reconcile.fuzzy_candidates)
 
 
+def q48_gate_near(spark, sf_dir):
+    """The whole gate: a quote is grounded by a near window of its page too."""
+    return _gated(spark, sf_dir, fuzzy=True)
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}
