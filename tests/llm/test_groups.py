@@ -49,3 +49,13 @@ def test_case_types(spark):
     kinds = ["CASE_1_CORROBORATION", "case 1 corroboration\n", "Case-1 Corroboration", "CASE_2_GENUINE_CONTRADICTION", None, ""]
     df = spark.createDataFrame([(f"a{i}", f"b{i}", k) for i, k in enumerate(kinds)], "fact_id_a string, fact_id_b string, case_type string")
     assert rows(groups.corroborated_groups(df)) == sorted((f"{x}{i}", f"a{i}") for i in range(3) for x in "ab")
+
+
+def test_many_levels(spark):
+    """A monotone chain, a giant star and small groups through several levels of tiny partitions."""
+    rnd = random.Random(5)
+    pairs = [(f"c{i:05}", f"c{i + 1:05}") for i in range(1500)] + [("hub", f"h{i}") for i in range(1500)]
+    pairs += [(f"s{i}", f"s{i + 1}") for i in range(0, 1500, 3)]
+    rnd.shuffle(pairs)
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(6)
+    assert rows(groups.linked_groups(df, "a", "b", 200)) == plain(pairs)
