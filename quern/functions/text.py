@@ -12,17 +12,17 @@ NO_ATTRIBUTE, ONLY_MARKS = "general_attribute", "attribute"
 TOKENS_PER_WORD = 1.3
 
 #: Blank characters beyond ASCII, as a Java character class body.
-_BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """``text`` without blanks of any kind at its ends."""
-    return F.regexp_replace(text, rf"^[{_BLANK}]+|[{_BLANK}]+$", "")
+    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words."""
-    return F.regexp_extract_all(text, F.lit(rf"[^{_BLANK}]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"[^{BLANK}]+"), F.lit(0))
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -41,8 +41,8 @@ def clean_page_text(raw: Column) -> Column:
 
 def grounding_text(text: Column) -> Column:
     """Lower case, marks deleted, blanks collapsed: the form in which quotes are looked for. Null gives ''."""
-    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}_{_BLANK}]", "")
-    return strip(F.regexp_replace(t, rf"[{_BLANK}]+", " "))
+    t = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^\p{{L}}\p{{N}}_{BLANK}]", "")
+    return strip(F.regexp_replace(t, rf"[{BLANK}]+", " "))
 
 
 def token_set(text: Column) -> Column:
