@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "page_chunks", "chunk_id", "clean_text")
-    return splitting.split_plan(chunks, "chunk_id", "clean_text").selectExpr("key AS chunk_id").distinct()
+    return splitting.over_limit(chunks, "chunk_id", "clean_text").selectExpr("key AS chunk_id")
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

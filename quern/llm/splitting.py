@@ -2,13 +2,14 @@
 
 No task holds a whole text. A text (or file) is a row of ranges of fixed size:
 
-1. each range finds the words that *start* in it and the best boundaries among
+1. each range finds the words that *start* in it and the natural boundaries among
    them, looking back a halo of ``HALO`` characters over its left edge,
-2. word counts per range are stitched to a prefix sum per text, which gives
-   every range the number of its first word and every text its length,
-3. cuts are planned on word numbers, from the thinned boundary tables of
-   blocks of ``BLOCK`` ranges, so that a giant text is planned in bounded parts;
-   a block begins at a natural boundary near its left edge,
+2. word counts per range are stitched to prefix sums in two steps, over blocks of
+   ``BLOCK`` ranges and within them, which gives every range the number of its
+   first word and every text its length,
+3. cuts are planned on word numbers, block by block, from the boundary tables, so
+   that a giant text is planned in bounded parts; a block begins at a natural
+   boundary near its left edge,
 4. pieces are emitted by offset: each meets only the ranges that it covers.
 
 Range and block sizes move cuts among equally good boundaries, nothing else.
@@ -28,10 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.text import BLANK
+from quern.session import checkpointed
+
 RANGE, HALO, BLOCK = 32_768, 64, 64
 LIMIT, OVERLAP = 2048, 128
-#: Words among which the one best boundary is kept for planning.
-THIN = 16
 _WORD = re.compile(r"\S+")
 # Marks that end a sentence or a clause, and what may close after them.
 _SENTENCE = re.compile(r"[.!?…।。！？][\"'”’»)\]]*$")
@@ -75,14 +77,24 @@ def word_starts(before: str, text: str) -> list[int]:
     return starts
 
 
+def boundary_classes(joined: str, starts: list[int]) -> list[int]:
+    """``boundary_class`` of the words that start at ``starts``; a letter and one space before a word make it 0 at a glance."""
+    return [0 if joined[s - 1 : s] == " " and joined[s - 2 : s - 1].isalnum() else boundary_class(joined[max(0, s - HALO) : s]) for s in starts]
+
+
 def text_ranges(df: DataFrame, key: str, text: str, size: int = RANGE) -> DataFrame:
-    """(key, range_no, before, text): the ranges of each text; null and empty texts have none."""
-    length = F.char_length(text)
-    count = F.ceil(length / F.lit(size)).cast("int")
-    rows = df.where(length > 0).select(F.col(key).alias("key"), F.col(text).alias("t"), F.explode(F.sequence(F.lit(0), count - 1)).alias("range_no"))
-    start = F.col("range_no") * size
-    halo = F.least(F.lit(HALO), start)
-    return rows.select("key", "range_no", F.substring("t", start - halo + 1, halo).alias("before"), F.substring("t", start + 1, F.lit(size)).alias("text"))
+    """(key, range_no, before, text): the ranges of each text, sliced in one pass; null and empty texts have none."""
+    parts = df.where(F.char_length(text) > 0).select(F.col(key).alias("key"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("parts"))
+    # of the range before only the halo goes along
+    halo = F.concat(F.array(F.lit("")), F.transform("parts", lambda x: F.right(x, F.lit(HALO))))
+    rows = parts.select("key", F.posexplode(F.arrays_zip(F.col("parts").alias("text"), F.slice(halo, 1, F.size("parts")).alias("before"))).alias("range_no", "r"))
+    return rows.select("key", "range_no", "r.before", "r.text")
+
+
+def counted_words(ranges: DataFrame) -> DataFrame:
+    """(key, range_no, n): the words that start in each range, without leaving the JVM."""
+    continued = F.rlike("before", F.lit(f"[^{BLANK}]\\z")) & F.rlike("text", F.lit(f"^[^{BLANK}]"))
+    return ranges.select("key", "range_no", (F.regexp_count("text", F.lit(f"[^{BLANK}]+")) - continued.cast("int")).alias("n"))
 
 
 def file_ranges(spark: SparkSession, files: DataFrame, size: int = RANGE) -> DataFrame:
@@ -120,14 +132,42 @@ def _boundaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, no, before, text in zip(batch["key"], batch["range_no"], batch["before"], batch["text"]):
             before = before or ""
             starts = word_starts(before, text)
-            joined = before + text
-            shift = len(before)
-            cls = [boundary_class(joined[max(0, s + shift - HALO) : s + shift]) for s in starts]
-            at = [max(range(i, min(i + THIN, len(cls))), key=lambda w: (cls[w], w)) for i in range(0, len(cls), THIN)]
+            cls = boundary_classes(before + text, [s + len(before) for s in starts])
+            at = [w for w, c in enumerate(cls) if c]
             rows.append((key, no, len(starts), at, [cls[w] for w in at]))
         yield pd.DataFrame(rows, columns=["key", "range_no", "n", "word", "cls"])
 
 
+def boundary_tables(ranges: DataFrame) -> DataFrame:
+    """(key, range_no, n, word, cls): the words of each range, and those of them that a natural boundary precedes; counted once."""
+    kind = ranges.schema["key"].dataType.simpleString()
+    return checkpointed(ranges.mapInPandas(_boundaries, f"key {kind}, range_no int, n int, word array<int>, cls array<int>"))
+
+
+def stitched(tables: DataFrame, limit: int, shared: int = 0, block: int = BLOCK) -> DataFrame:
+    """``tables`` of the texts over ``limit`` with ``first``, the number of the range's first word, and what planning needs.
+
+    ``total`` words and ``last_range`` are the text's, ``b`` is the planning
+    block and ``edge`` tells whether the range begins one.
+    """
+    at = F.floor(F.col("range_no") / block).cast("int")
+    # the block's first range begins a planning block if it holds more words than the overlap
+    opens = F.max(F.when(F.col("range_no") % block == 0, F.col("n"))) > shared
+    sums = tables.groupBy("key", at.alias("block")).agg(F.sum("n").alias("words"), F.max("range_no").alias("last"), opens.alias("opens"))
+    order, whole = Window.partitionBy("key").orderBy("block"), Window.partitionBy("key")
+    edge = F.coalesce("opens", F.lit(False)) & (F.col("block") > 0)
+    blocks = sums.select(
+        "key", "block", (F.sum("words").over(order) - F.col("words")).alias("words_before"), F.sum("words").over(whole).alias("total"),
+        F.max("last").over(whole).alias("last_range"), edge.alias("opens"), F.sum(edge.cast("int")).over(order).cast("int").alias("b"),
+    ).where(estimate(F.col("total")) > limit)
+    within = Window.partitionBy("key", "block").orderBy("range_no")
+    numbered = tables.withColumn("block", at).join(blocks, ["key", "block"])
+    return numbered.select(
+        *tables.columns, "total", "last_range", "b", (F.col("opens") & (F.col("range_no") % block == 0)).alias("edge"),
+        (F.col("words_before") + F.sum("n").over(within) - F.col("n")).alias("first"),
+    )
+
+
 def cut_points(first: int, end: int, words: np.ndarray, classes: np.ndarray, limit: int, overlap: int) -> list[int]:
     """Word numbers at which the words ``first``..``end`` are cut, so that no piece with its overlap exceeds ``limit``."""
     cuts, start = [], first
@@ -144,35 +184,25 @@ def cut_points(first: int, end: int, words: np.ndarray, classes: np.ndarray, lim
     return cuts
 
 
-def plan_pieces(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
+def plan_pieces(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK, tables: DataFrame | None = None) -> DataFrame:
     """(key, piece, word_start, word_end, range_from, range_to) of the texts over the limit.
 
     ``limit`` and ``overlap`` are estimated tokens. ``range_to`` is the range in
-    which the word after the piece starts, or the text's last range.
+    which the word after the piece starts, or the text's last range. ``tables``
+    are the ranges' ``boundary_tables``, if at hand.
     """
     most, shared = words_within(limit), words_within(overlap)
     if shared >= most:
         raise ValueError("the overlap must be smaller than the limit")
-    kind = ranges.schema["key"].dataType.simpleString()
-    found = ranges.mapInPandas(_boundaries, f"key {kind}, range_no int, n int, word array<int>, cls array<int>")
-    order = Window.partitionBy("key").orderBy("range_no")
-    whole = Window.partitionBy("key")
-    stitched = found.select(
-        "*", (F.sum("n").over(order) - F.col("n")).alias("first"), F.sum("n").over(whole).alias("total"), F.max("range_no").over(whole).alias("last_range"),
-        # the range in which the next word starts; ranges inside a giant word have none
-        F.min(F.when(F.col("n") > 0, F.col("range_no"))).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("next_range"),
-    ).where(estimate(F.col("total")) > limit)
-    # a block begins in a range that holds more words than the overlap; that range also ends the block before
-    edge = (F.col("range_no") % block == 0) & (F.col("range_no") > 0) & (F.col("n") > shared)
-    numbered = stitched.withColumn("edge", edge).withColumn("b", F.sum(F.col("edge").cast("int")).over(order).cast("int"))
+    rows = stitched(boundary_tables(ranges) if tables is None else tables, limit, shared, block).where("n > 0")
     b = F.col("b")
-    blocks = numbered.withColumn("b", F.explode(F.when(F.col("edge"), F.array(b - 1, b)).otherwise(F.array(b))))
+    # the range that begins a block also ends the one before
+    blocks = rows.withColumn("b", F.explode(F.when(F.col("edge"), F.array(b - 1, b)).otherwise(F.array(b))))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("range_no")
         b, total, last = int(pdf["b"].iloc[0]), int(pdf["total"].iloc[0]), int(pdf["last_range"].iloc[0])
         no, first = pdf["range_no"].to_numpy(), pdf["first"].to_numpy(dtype=np.int64)
-        following = pdf["next_range"].fillna(last).to_numpy(dtype=np.int64)
         words = np.concatenate([np.asarray(w, dtype=np.int64) + f for w, f in zip(pdf["word"], first)])
         classes = np.concatenate([np.asarray(c, dtype=np.int64) for c in pdf["cls"]])
 
@@ -194,32 +224,30 @@ def plan_pieces(ranges: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, b
         for a, z in zip(cuts, cuts[1:]):
             if z > a:
                 a = max(0, a - shared)
-                # the last range whose first word is not after the word, empty ranges being passed over
+                # the ranges in which the first word and the one after the last start
                 at = no[max(0, np.searchsorted(first, a, side="right") - 1)] if a else 0
-                to = last if z == total else following[np.searchsorted(first, z, side="right") - 1]
-                rows.append((pdf["key"].iloc[0], a, z, int(at), int(to)))
-        return pd.DataFrame(rows, columns=["key", "word_start", "word_end", "range_from", "range_to"])
+                to = last if z == total else no[np.searchsorted(first, z, side="right") - 1]
+                rows.append((pdf["key"].iloc[0], b, len(rows), a, z, int(at), int(to)))
+        return pd.DataFrame(rows, columns=["key", "b", "i", "word_start", "word_end", "range_from", "range_to"])
 
     schema = T.StructType([T.StructField("key", ranges.schema["key"].dataType)] + [T.StructField(n, t) for n, t in (
-        ("word_start", T.LongType()), ("word_end", T.LongType()), ("range_from", T.IntegerType()), ("range_to", T.IntegerType()))])
-    pieces = blocks.groupBy("key", "b").applyInPandas(plan, schema)
-    number = F.row_number().over(Window.partitionBy("key").orderBy("word_start", "word_end")) - 1
-    return pieces.select("key", number.alias("piece"), "word_start", "word_end", "range_from", "range_to")
+        ("b", T.IntegerType()), ("i", T.IntegerType()), ("word_start", T.LongType()), ("word_end", T.LongType()), ("range_from", T.IntegerType()),
+        ("range_to", T.IntegerType()))])
+    pieces = checkpointed(blocks.groupBy("key", "b").applyInPandas(plan, schema))
+    # numbered in two steps too: within the block, and by the pieces of the blocks before
+    counts = pieces.groupBy("key", "b").agg(F.count("*").alias("n"))
+    before = counts.select("key", "b", (F.sum("n").over(Window.partitionBy("key").orderBy("b")) - F.col("n")).alias("before"))
+    number = (F.col("before") + F.col("i")).cast("int")
+    return pieces.join(before, ["key", "b"]).select("key", number.alias("piece"), "word_start", "word_end", "range_from", "range_to")
 
 
-def cut_pieces(ranges: DataFrame, plan: DataFrame) -> DataFrame:
-    """(key, piece, word_start, word_end, text): the planned pieces with their texts."""
-    kind = ranges.schema["key"].dataType.simpleString()
-    # first word of each range of the texts concerned
-    counted = ranges.join(plan.select("key").distinct(), "key", "left_semi")
+def cut_pieces(ranges: DataFrame, plan: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """(key, piece, word_start, word_end, text): the planned pieces with their texts.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[["key", "range_no"]].assign(n=[len(word_starts(x or "", t)) for x, t in zip(batch["before"], batch["text"])])
-
-    sizes = counted.mapInPandas(count, f"key {kind}, range_no int, n int")
-    order = Window.partitionBy("key").orderBy("range_no")
-    firsts = sizes.select("key", "range_no", "n", (F.sum("n").over(order) - F.col("n")).alias("first"))
+    ``tables`` are the ranges' ``boundary_tables``, if at hand.
+    """
+    kind = ranges.schema["key"].dataType.simpleString()
+    firsts = stitched((boundary_tables(ranges) if tables is None else tables).select("key", "range_no", "n"), 0).select("key", "range_no", "n", "first")
     wanted = plan.select("key", "piece", "word_start", "word_end", F.explode(F.sequence("range_from", "range_to")).alias("range_no"))
     parts = wanted.join(firsts, ["key", "range_no"]).join(ranges, ["key", "range_no"])
 
@@ -245,6 +273,12 @@ def long_texts(df: DataFrame, text: str, limit: int = LIMIT) -> DataFrame:
     return df.where(F.char_length(text) >= 2 * words_within(limit))
 
 
+def over_limit(df: DataFrame, key: str, text: str, limit: int = LIMIT) -> DataFrame:
+    """(key): the texts over ``limit``, by the stitched word counts of their ranges; null and empty texts are none."""
+    counts = counted_words(text_ranges(long_texts(df, text, limit), key, text))
+    return counts.groupBy("key").agg(F.sum("n").alias("n")).where(estimate(F.col("n")) > limit).select("key")
+
+
 def split_plan(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces (without texts) of every text over ``limit``; texts within it, null and empty texts have none."""
     return plan_pieces(text_ranges(long_texts(df, text, limit), key, text), limit, overlap)
@@ -253,4 +287,5 @@ def split_plan(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
 def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(key, piece, word_start, word_end, text) of every text over ``limit``. ``key`` must be unique."""
     ranges = text_ranges(long_texts(df, text, limit), key, text)
-    return cut_pieces(ranges, plan_pieces(ranges, limit, overlap)).withColumnRenamed("key", key)
+    tables = boundary_tables(ranges)
+    return cut_pieces(ranges, plan_pieces(ranges, limit, overlap, tables=tables), tables).withColumnRenamed("key", key)

@@ -75,3 +75,20 @@ def test_files_are_read_by_ranges(spark, tmp_path):
     assert "".join(r["text"] for r in ranges.orderBy("range_no").collect()) == body
     pieces = splitting.cut_pieces(ranges, splitting.plan_pieces(ranges, block=16)).collect()
     assert check(pieces, {str(path): body}) == {str(path)}
+
+
+def test_counts_agree_with_the_boundary_tables(spark):
+    odd = "a b c\x1cd\x85e　f​g " * 40 + "w" * 500 + "\n\n  " + "🚚 x" * 60
+    df = spark.createDataFrame([(i, odd[i:]) for i in range(6)], "id long, body string")
+    for size in (1, 7, 50, 4000):
+        ranges = splitting.text_ranges(df, "id", "body", size)
+        ours = {(r["key"], r["range_no"]): r["n"] for r in splitting.counted_words(ranges).collect()}
+        assert ours == {(r["key"], r["range_no"]): r["n"] for r in splitting.boundary_tables(ranges).collect()}
+        for i in range(6):
+            assert sum(n for (k, _), n in ours.items() if k == i) == len(odd[i:].split())
+
+
+def test_over_limit(spark):
+    t = texts(7)
+    df = spark.createDataFrame(list(t.items()), "id long, body string")
+    assert {r["key"] for r in splitting.over_limit(df, "id", "body").collect()} == {k for k, v in t.items() if v and len(v.split()) >= 1577}
