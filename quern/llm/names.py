@@ -1,78 +1,76 @@
 """Variant spellings of names typed by people, linked by a metric-space join.
 
 A name is taken apart into its *root* (the surname or brand that tells families
-apart) and its *signature* (the known words around it, with short forms, nicknames
-and misspelt known words replaced). Spelling differences are then a matter of one
-metric: two names are near if their roots are at most one edit apart (insertion,
-deletion, substitution or exchange of neighbours) under equal signatures.
-
-The near pairs are found by metric-space partitioning over the points (root,
-signature) under the sum of the Levenshtein distances of roots and, weighted, of
-signatures, which is a metric (one edit as above is at most two there, so the
-radius is 2): every point goes to the cell of its nearest pivot and, by the
-triangle inequality, also to each pivot that is at most twice the radius farther
-away, so that every pair within the radius meets in a home cell. Inside the cells an exact radius join runs over deletion
-neighbourhoods, hashed by cell, signature and neighbourhood, so that neither a
-crowded cell nor a common signature ends in one task. The exact distance is then
-checked on each candidate.
-
-Links between near or equal names form groups; names that say less (a dropped
-word, initials for the given name) join a group only if just one fits.
+apart) and its *signature* (the words around it that many names share, with short
+forms, nicknames and misspelt words replaced). What is a word, which of them are
+given names and what is short for what is learnt from the names themselves
+(``learn_words``) and from the known short forms, never from a list in this code.
+
+Spelling differences are then a matter of one metric over the points (text,
+signature): the Levenshtein distance of the texts plus that of the signatures,
+weighted so that points within the radius have one signature. Every name is a
+point by its root and another by how that sounds; names that leave a word out are
+points of what they would have said. All links come from one radius join:
+
+* every point goes to the cell of its nearest pivot and, by the triangle
+  inequality, also to each pivot that is at most twice the radius farther away, so
+  that every pair within the radius meets in a home cell;
+* inside its cell a point is looked up by what its text is after up to two
+  deletions (long texts by their fifths), so that neither a crowded cell nor a
+  common signature ends in one task or in all of its pairs;
+* a pair that meets is kept if its distances from the pivot allow it and its
+  edits (insertion, deletion, substitution, exchange of neighbours) do.
+
+Names of one point are at distance 0 and form a class; links between near classes
+form groups. Names that say less (a dropped word, initials for the given name)
+join a group only if just one fits, misspellings by two edits only then too.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.groups import linked_groups
 from quern.session import checkpointed, collect_bounded, slices
 
-#: Pivots, and the sample of strings that they are chosen from.
-PIVOTS, PIVOT_SAMPLE, RADIUS = 40, 1500, 2
-#: Letters of a pivot at most, and the length from which roots meet on their thirds instead of deletion neighbourhoods.
-PIVOT_LETTERS, LONG_ROOT = 64, 32
-#: Weight of the signature in the metric; any weight keeps it a metric, a larger one sets the cells further apart.
-SIG_WEIGHT = 2
-#: A token is a word of the vocabulary from so many names, or this share of all names, on.
-WORD_NAMES, WORD_SHARE = 40, 0.002
-
-# Given names and their familiar forms, common in the names' languages.
-NICKNAMES = {
-    "william": "will bill billy willy", "robert": "bob rob bobby bert", "margaret": "peggy maggie meg", "katherine": "kate kathy katie",
-    "richard": "dick rick rich", "charles": "charlie chuck", "edward": "ned ed eddie ted", "alexander": "alex sasha",
-    "christopher": "chris kit", "patricia": "trish pat patty tricia", "anthony": "tony", "samuel": "sam sammy", "joseph": "joe joey",
-    "thomas": "tom tommy", "rajendra": "raju raj", "venkatesh": "venky venkat", "subramanian": "subbu", "abhishek": "abhi",
-    "siddharth": "sid", "vikramaditya": "vikram vicky", "priyanka": "priya", "aishwarya": "aish", "francisco": "paco pancho",
-    "guillermo": "memo", "johannes": "hans", "heinrich": "heinz", "genevieve": "jenny", "lakshmi": "laxmi", "frederick": "fred",
-    "elizabeth": "liz beth betty eliza lisa", "michael": "mike mick", "benjamin": "ben benny", "james": "jim jimmy", "deborah": "deb debbie",
-    "muhammad": "mohd mohammed mohammad md", "david": "dave", "daniel": "dan danny", "matthew": "matt", "andrew": "andy", "nicholas": "nick",
-    "jonathan": "jon", "susan": "sue", "jennifer": "jen", "steven": "steve", "timothy": "tim", "gregory": "greg",
-}
-# Words that companies and public bodies are called by.
-WORDS = """national consolidated eastern western northern southern allied united international holdings global general central foods
-aviation management steel industries port ports services research design mining minerals agro products development infrastructure power
-shipping pharmaceuticals beverages hospitality finance technologies manufacturing chemicals telecommunications engineering electricals
-cement warehousing textiles logistics government department ministry office statistics authority inland waterways trade bank insurance
-energy transport construction associates company brothers group""".split()
-# Words that say nothing about who is meant.
+#: Pivots, the sample of points that they are chosen from, and the letters that a pivot has at most.
+PIVOTS, PIVOT_SAMPLE, PIVOT_LETTERS = 24, 1500, 64
+#: One edit is at most two in the metric, so two are four; the weight of signatures sets points of different ones further apart.
+RADIUS, SIG_WEIGHT = 2, 32
+#: Letters that a text has at least for one and for two edits to be a misspelling rather than another name.
+ONE_EDIT_FROM, TWO_EDITS_FROM = 4, 8
+#: Letters from which texts are looked up by their fifths: deletions and fifths find the same pairs.
+LONG_TEXT = 32
+#: A token is a word from this share of all names on, next to so many other tokens (alike ones, by their beginnings, count once).
+WORD_SHARE, WORD_BESIDE, BEGINNING = 0.002, 5, 3
+#: A token is short for a word from this share of all names on, and from so many names.
+SHORT_SHARE, SHORT_NAMES = 0.0002, 2
+#: How often the long form must stand where a short form does.
+SHORT_FOR = 0.5
+#: Most readings of a name; the ambiguous words of a name with more stand for themselves.
+READINGS = 1024
+# Words that say nothing about who is meant, and legal forms with those that exclude each other.
 TITLES = "mr mrs ms miss dr shri sri smt prof sir messrs the of and".split()
 LEGAL = "limited ltd inc incorporated corp corporation llp pvt private plc gmbh ag sa".split()
 _FORMS = (("llp", 1), ("inc|incorporated", 2), ("corp|corporation", 4), ("pvt|private", 8))
+# Digits typed for letters, and letters that sound or look alike.
 _DIGITS = str.maketrans("015689", "olsbbg")
 _SPOKEN = (("rn", "m"), ("ee", "i"), ("ai", "e"), ("vv", "w"), ("oo", "u"), ("ph", "f"), ("th", "t"), ("ck", "k"))
+# European accents; the marks of other scripts are letters of their own
+_ACCENT = re.compile("[̀-ͯ]")
 
 
 def fold(token: str) -> str:
     """A token without accents and with digits typed for letters undone."""
-    t = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+    t = unicodedata.normalize("NFC", _ACCENT.sub("", unicodedata.normalize("NFKD", token)))
     return t.translate(_DIGITS) if re.search(r"[^\W\d_]", t) else t
 
 
@@ -83,11 +81,23 @@ def spoken(root: str) -> str:
     return re.sub(r"(.)\1", r"\1", root)
 
 
-def tokens_of(raw: str) -> list[str]:
-    """Folded tokens of a name as typed, in order, without legal forms."""
-    t = re.sub(r"\bm/s\b\.?", " ", raw.lower())
-    t = re.sub(r"['’`]", "", t).replace("&", " and ")
-    return [x for w in re.split(r"[\W_]+", t) if w and (x := fold(w)) not in LEGAL]
+def sound_of(root: Column) -> Column:
+    """``spoken`` as an expression."""
+    for a, b in _SPOKEN:
+        root = F.replace(root, F.lit(a), F.lit(b))
+    return F.regexp_replace(root, r"(.)\1", "$1")
+
+
+def plain_name(raw: Column) -> Column:
+    """A name in lower case with its words parted by single spaces; marks of all scripts stay with their letters."""
+    t = F.regexp_replace(F.lower(raw), r"\bm/s\b\.?", " ")
+    t = F.replace(F.regexp_replace(t, "['’`]", ""), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " "))
+
+
+def tokens_of(plain: str) -> list[str]:
+    """Folded tokens of a plain name, in order, without legal forms."""
+    return [x for w in plain.split(" ") if w and (x := fold(w)) not in LEGAL]
 
 
 def _deletions(word: str) -> Iterable[str]:
@@ -122,9 +132,17 @@ def _edits_towards(a: str, b: str) -> Iterable[str]:
     yield a[:i] + a[i : i + 2][::-1] + a[i + 2 :]
 
 
-def two_edits(a: str, b: str) -> bool:
-    """Whether at most two edits part ``a`` and ``b``; the first place where they differ needs one of them."""
-    return one_edit(a, b) or any(one_edit(x, b) for x in _edits_towards(a, b))
+def edits_between(a: Column, b: Column) -> Column:
+    """0, 1 or 2 edits between two texts, null if there are more."""
+    swaps = lambda t: F.transform(
+        F.when(F.length(t) > 1, F.sequence(F.lit(1), F.length(t) - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.lit(1)), F.substring(t, i, F.lit(1)), F.substring(t, i + 2, F.length(t))),
+    )
+    d = F.levenshtein(a, b, 2 * RADIUS)
+    swapped = (d == 2) & (F.length(a) == F.length(b)) & F.array_contains(swaps(a), b)
+    after = lambda x, y: F.exists(swaps(x), lambda s: F.levenshtein(s, y).between(0, 1))
+    twice = F.exists(swaps(a), lambda s: (F.levenshtein(s, b) == 2) & F.array_contains(swaps(s), b))
+    return F.when(d.between(0, 1), d).when(swapped, 1).when(d == 2, 2).when((d > 2) & (after(a, b) | after(b, a) | ((F.length(a) == F.length(b)) & twice)), 2)
 
 
 def abbreviates(short: str, word: str) -> bool:
@@ -140,38 +158,31 @@ def abbreviates(short: str, word: str) -> bool:
 
 
 class Lexicon:
-    """Known words with their short forms; takes names apart."""
+    """Words, given names and short forms; takes names apart."""
 
-    def __init__(self, words: Iterable[str], forms: Iterable[tuple[str, str, str]]):
-        self.given = set(NICKNAMES)
-        self.short: dict[str, list[str]] = {}
-        self.words = set(WORDS) | {w for w in words if len(w) > 3}
+    def __init__(self, words: Iterable[str], given: Iterable[str], forms: Iterable[tuple[str, str, str]]):
+        self.given, self.words, self.short = set(given), set(words), {}
         for full, short, kind in forms:
-            full, short = fold(full.lower()), re.sub(r"\W", "", fold(short.lower()))
-            (self.given if kind == "given_name" else self.words).add(full)
-            self._shorten(short, full)
-        for full, shorts in NICKNAMES.items():
-            for short in shorts.split():
-                self._shorten(short, full)
+            full, short = fold(full.lower()), re.sub(r"[\W_]", "", fold(short.lower()))
+            if short and full:
+                (self.given if kind == "given_name" else self.words).add(full)
+                self.short.setdefault(short, []).append(full)
+        self.short = {s: sorted(set(w)) for s, w in self.short.items()}
         # a frequent short form isn't a word of its own
-        self.words = {w for w in self.words if w not in self.short and not any(abbreviates(w, v) for v in self.words | self.given if v != w)} | set(WORDS)
-        self.words -= self.given | set(self.short) | set(TITLES) | set(LEGAL)
+        self.words = {w for w in self.words if not any(abbreviates(w, v) for v in self.words | self.given)} - self.given - set(self.short) - set(TITLES) - set(LEGAL)
+        self.given -= set(self.short)
         self.near: dict[str, list[str]] = {}
         for w in sorted(self.words | self.given | {s for s in self.short if len(s) > 5}):
             if len(w) > 4:
                 for d in _deletions(w) if len(w) < 8 else {y for x in _deletions(w) for y in _deletions(x)}:
                     self.near.setdefault(d, []).append(w)
         self.longest = max(map(len, self.words | self.given), default=0)
-        self.meanings = lru_cache(maxsize=200_000)(self._meanings)
+        self.meanings = lru_cache(maxsize=100_000)(self._meanings)
 
-    def _shorten(self, short: str, full: str) -> None:
-        if full not in self.short.setdefault(short, []):
-            self.short[short].append(full)
-
-    def _meanings(self, token: str) -> tuple[str, ...]:
-        """Known words that a token may stand for, none for a part of the root."""
+    def _meanings(self, token: str) -> tuple[bool, tuple[str, ...]]:
+        """(sure, words that a token may stand for); none for a part of the root. What only may abbreviate a word isn't sure."""
         if token in self.words or token in self.given:
-            return (token,)
+            return True, (token,)
         found = list(self.short.get(token, ()))
         # a token longer than any word by more than two letters is near to none
         if not found and 4 < len(token) <= self.longest + 2:
@@ -181,55 +192,54 @@ class Lexicon:
             if not near and len(token) > 6:
                 twice = dict.fromkeys(w for x in _deletions(token) for d in _deletions(x) for w in self.near.get(d, ()) if len(w) > 7)
                 near = [w for w in twice if any(one_edit(x, w) for x in _edits_towards(token, w))]
-            found = [x for w in near for x in (self.short[w] if w in self.short else [w])]
-        if len(token) <= 8 and len(token) > 1:
+            found = [x for w in near for x in self.short.get(w, (w,))]
+        sure = bool(found)
+        if 1 < len(token) <= 8:
             found += [w for w in sorted(self.words) if len(w) > 4 and abbreviates(token, w)]
-        return tuple(dict.fromkeys(found))[:4]
-
-    def take_apart(self, raw: str) -> tuple[str, list[str], list[str], str, list[str]]:
-        """(root, signatures, shorter signatures, given name, initials) of a name as typed."""
-        tokens = tokens_of(raw)
-        known, unknown, initials = [], [], []
-        for t in tokens:
-            if t in TITLES:
-                continue
-            if len(t) == 1:
-                initials.append(t)
-            elif meant := self.meanings(t):
-                known.append(meant)
-            else:
-                unknown.append(t)
-        long = [t for t in unknown if len(t) > 3]
-        if long:
-            unknown = long
+        return sure, tuple(dict.fromkeys(found))
+
+    def take_apart(self, plain: str) -> tuple[str, list[str], list[str], str, list[str]]:
+        """(root, signatures, shorter signatures, given name, initials) of a plain name."""
+        tokens = [t for t in tokens_of(plain) if t not in TITLES]
+        initials = [t for t in tokens if len(t) == 1]
+        meant = [(t, *self.meanings(t)) for t in tokens if len(t) > 1]
+        if all(words for _, _, words in meant):
+            # something must be left that tells the name apart, and a guess is the first to go
+            meant = [(t, sure, words if sure else ()) for t, sure, words in meant]
+        known = [words for _, _, words in meant if words]
+        unknown = [t for t, _, words in meant if not words]
         given = [m for m in known if any(x in self.given for x in m)]
         if not unknown and known:
-            # a name of known words only: the rarest guess is the last one typed
-            unknown = ["_".join(m[0] for m in known)]
-            known, given = [], []
+            # a name of known words only is told apart by all of them
+            unknown, known, given = ["_".join(m[0] for m in known)], [], []
+        if not unknown:
+            unknown, initials = initials, []
         root = "".join(unknown)
+        letters = sorted(set(initials))
         if given and len(known) == len(given):
             names = [x for x in given[0] if x in self.given]
-            return root, [f"p:{x}" for x in names], [f"i:{x[0]}" for x in names], names[0], sorted(set(initials))
+            return root, [f"p:{x}" for x in names], sorted({f"i:{x[0]}" for x in names}), names[0], letters
         if not known and initials:
-            return root, [f"j:{''.join(sorted(set(initials)))}"], [], "", sorted(set(initials))
-        full = [frozenset(c) for c in _choices(known)]
+            return root, [f"j:{''.join(letters)}"], [], "", letters
+        full = _readings(known)
         shorter = {c - {w} for c in full for w in c if len(c) > 1}
-        if any("department" in c or "ministry" in c or "office" in c for c in full):
-            shorter |= {frozenset([w]) for c in full for w in ("department", "ministry", "office") if w in c and len(c) > 1}
         text = lambda c: "o:" + " ".join(sorted(c))
         return root, sorted({text(c) for c in full}), sorted({text(c) for c in shorter}), "", []
 
 
-def _choices(known: list[tuple[str, ...]], most: int = 8) -> list[tuple[str, ...]]:
-    out: list[tuple[str, ...]] = [()]
+def _readings(known: list[tuple[str, ...]]) -> set[frozenset[str]]:
+    """The sets of words that a name's tokens may stand for, a choice for each different one."""
+    known = list(dict.fromkeys(known))
+    if np.prod([float(len(m)) for m in known]) > READINGS:
+        known = [m if len(m) == 1 else ("/".join(m),) for m in known]
+    out: set[frozenset[str]] = {frozenset()}
     for meanings in known:
-        out = [(*c, m) for c in out for m in meanings][:most]
+        out = {c | {m} for c in out for m in meanings}
     return out
 
 
 def choose_pivots(sample: list[tuple[str, str]], count: int) -> list[tuple[str, str]]:
-    """Farthest-first choice of ``count`` points (root, signature); deterministic."""
+    """Farthest-first choice of ``count`` points (text, signature); deterministic."""
     if not sample:
         return []
     roots, sigs = [list(x) for x in zip(*sample)]
@@ -257,185 +267,224 @@ def levenshtein_all(a: str, words: list[str]) -> np.ndarray:
     return row[np.arange(len(words)), [len(w) for w in words]]
 
 
-def near_pairs(elements: DataFrame, pivots: int = PIVOTS, edits: int = 1, asking: DataFrame | None = None) -> DataFrame:
-    """(sig, root_a, root_b) of all distinct elements (root, sig) of equal signature whose roots are one edit apart.
+def _lookups(text: Column, deep: Column) -> Column:
+    """Keys that two texts share whenever one edit parts them or, if both are deep, two."""
+    size = F.length(text)
+    cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.concat(F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r))))
+    less = cut(text)
+    short = F.concat(F.array(text), F.when(deep, F.concat(less, F.flatten(F.transform(less, cut)))).otherwise(less))
+    # two edits leave one of five parts as it was, moved by two letters at most
+    fifths = F.flatten(F.transform(F.sequence(size - 2, size + 2), lambda n: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda p: F.transform(
+        F.sequence(F.lit(-2), F.lit(2)),
+        lambda s: F.concat_ws(":", n, p, F.sha2(F.substring(text, F.greatest(F.lit(1), F.floor(n * p / 5).cast("int") + 1 + s), F.floor(n / 5).cast("int")), 256)),
+    )))))
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.when(size <= LONG_TEXT + 2, short).otherwise(none), F.when(size > LONG_TEXT - 2, fifths).otherwise(none))
+    return F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k)))
 
-    With ``edits`` 2 they may be two edits apart, as long as one root is shorter
-    than ``LONG_ROOT``; with ``asking``, one of the two must be among those.
 
-    Each pair once, ``root_a`` < ``root_b``. The pivots are chosen from a bounded
-    sample; every element is assigned and joined. An empty input has no pairs.
+def near_pairs(elements: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+    """(sig, root_a, root_b, edits) of all distinct elements (root, sig) of equal signature that are 1 edit apart.
+
+    With a column ``deep`` that is true for both elements, also of those 2
+    edits apart. Each pair once, ``root_a`` < ``root_b``. The pivots are chosen
+    from a bounded sample; every element is assigned and joined. An empty input
+    has no pairs, nor has an empty root.
     """
-    spark = elements.sparkSession
-    radius = RADIUS * edits
+    if "deep" not in elements.columns:
+        elements = elements.withColumn("deep", F.lit(False))
     # few bytes, much to compute: a fixed number of tasks, not one
-    points = elements.select("root", "sig").repartition(slices(spark), "root", "sig")
-    picked = collect_bounded(points.select("root", "sig", F.xxhash64("root", "sig").alias("h")).orderBy("h").limit(PIVOT_SAMPLE), PIVOT_SAMPLE, "pivot sample")
-    # a pivot may be any string, so those of overlong names are their beginnings
+    spark = elements.sparkSession
+    points = elements.where("root <> ''").repartition(slices(spark), "root", "sig").groupBy("root", "sig").agg(F.bool_or("deep").alias("deep"))
+    points = checkpointed(points.select("root", "sig", "deep", F.xxhash64("root", "sig").alias("id")))
+    picked = collect_bounded(points.orderBy("id").limit(PIVOT_SAMPLE), PIVOT_SAMPLE, "pivot sample")
+    # a pivot may be any point, so those of overlong names are their beginnings
     centres = choose_pivots(sorted({(r["root"][:PIVOT_LETTERS], r["sig"][:PIVOT_LETTERS]) for r in picked}), pivots)
     if not centres:
-        return elements.select("sig", F.col("root").alias("root_a"), F.col("root").alias("root_b")).where(F.lit(False))
-    # signatures are few and long: their share of the distance is computed once for each
-    of_sig = points.select("sig").distinct().repartition(slices(spark), "sig").select(
-        "sig", F.transform(F.array(*(F.lit(c[1]) for c in centres)), lambda p: F.levenshtein("sig", p) * SIG_WEIGHT).alias("far")
-    )
-    by_root = F.transform(F.array(*(F.lit(c[0]) for c in centres)), lambda p: F.levenshtein("root", p))
-    distances = points.join(of_sig, "sig").select("root", "sig", F.zip_with(by_root, "far", lambda x, y: x + y).alias("d"))
-    least = F.array_min("d")
-    placed = distances.select("root", "sig", least.alias("least"), (F.array_position("d", least) - 1).cast("int").alias("home"), F.posexplode("d").alias("cell", "d"))
+        return elements.select("sig", F.col("root").alias("root_a"), F.col("root").alias("root_b"), F.lit(1).alias("edits")).where(F.lit(False))
+    distances = F.array(*(F.levenshtein("root", F.lit(r)) + F.levenshtein("sig", F.lit(s)) * SIG_WEIGHT for r, s in centres))
+    far = points.select("*", distances.alias("d")).select("*", F.array_min("d").alias("least"))
     # y within r of x meets it in x's home cell: d(y, home of x) <= d(y, home of y) + 2r
-    cells = placed.where(F.col("d") <= F.col("least") + 2 * radius).select("root", "sig", "cell", (F.col("cell") == F.col("home")).alias("at_home"))
-    # these rows are few and small, what they are exploded into is not: spread them first
-    cells = cells.repartition(slices(spark), "root", "sig", "cell")
-    size = F.length("root")
-    cut = lambda r: F.transform(F.sequence(F.lit(1), F.length(r)), lambda i: F.concat(F.substring(r, F.lit(1), i - 1), F.substring(r, i + 1, F.length(r))))
-    shorter = cut(F.col("root"))
-    if edits == 2:
-        shorter = F.array_distinct(F.concat(shorter, F.flatten(F.transform(shorter, cut))))
-    # one edit leaves the first or the last third of a root as it was; long roots meet on those, by hash
-    third = lambda n: F.floor(n / 3).cast("int")
-    ends = F.flatten(F.transform(F.array(size - 1, size, size + 1), lambda n: F.array(
-        F.concat_ws(":", F.lit("<"), n, F.sha2(F.substring("root", F.lit(1), third(n)), 256)),
-        F.concat_ws(":", F.lit(">"), n, F.sha2(F.substring("root", size - third(n) + 1, third(n)), 256)),
-    )))
-    none = F.array().cast("array<string>")
-    keys = F.concat(F.when(size <= LONG_ROOT + 1, F.concat(F.array("root"), shorter)).otherwise(none), F.when(size >= LONG_ROOT, ends).otherwise(none))
-    hood = cells.select("root", "sig", "cell", "at_home", F.explode(F.array_distinct(keys)).alias("v"))
-    # the keys meet whenever one edit parts two roots; what meets is checked exactly below
-    a = hood.where("at_home") if asking is None else hood.where("at_home").join(asking, ["root", "sig"], "left_semi")
-    a = a.select(F.col("root").alias("root_a"), "sig", "cell", "v")
-    b = hood.select(F.col("root").alias("root_b"), "sig", "cell", "v")
-    met = a.join(b, ["cell", "sig", "v"]).where("root_a <> root_b").select(
-        "sig", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b")
-    ).distinct()
-    test = one_edit if edits == 1 else two_edits
-    near = F.pandas_udf(lambda a, b: pd.Series([test(x, y) for x, y in zip(a, b)], dtype="bool"), "boolean")
-    return met.where(near("root_a", "root_b"))
-
-
-def alike_pairs(elements: DataFrame) -> DataFrame:
-    """``near_pairs`` of the roots as they sound: each sound's first root stands for all that share it."""
-    sound = F.pandas_udf(lambda s: s.map(spoken), "string")
-    heard = checkpointed(elements.select("root", "sig", sound("root").alias("sound")))
-    heads = heard.groupBy("sound", "sig").agg(F.min("root").alias("head"))
-    same = heard.join(heads, ["sound", "sig"]).where("root > head").select("sig", F.col("head").alias("root_a"), F.col("root").alias("root_b"))
-    near = near_pairs(heads.select(F.col("sound").alias("root"), "sig"))
-    a = heads.select("sig", F.col("sound").alias("root_a"), F.col("head").alias("a"))
-    b = heads.select("sig", F.col("sound").alias("root_b"), F.col("head").alias("b"))
-    linked = near.join(a, ["sig", "root_a"]).join(b, ["sig", "root_b"]).select("sig", F.least("a", "b").alias("root_a"), F.greatest("a", "b").alias("root_b"))
-    return linked.unionByName(same)
-
-
-def vocabulary_of(names: DataFrame) -> list[str]:
-    """Tokens of ``names.tokens`` that occur in enough different names to be words.
-
-    A name has few tokens, so those in a share ``WORD_SHARE`` of all names are
-    at most tokens per name / ``WORD_SHARE``.
+    reach = F.when(F.col("deep"), 4 * RADIUS).otherwise(2 * RADIUS)
+    cells = F.filter(F.transform("d", lambda d, i: F.struct(i.alias("cell"), d.alias("d"))), lambda c: c["d"] <= F.col("least") + reach)
+    placed = far.select("root", "sig", "deep", "id", F.explode(cells).alias("c"), (F.array_position("d", F.col("least")) - 1).alias("home"))
+    keyed = placed.select(
+        "id", F.col("c.d").cast("int").alias("d"), "deep", (F.col("c.cell") == F.col("home")).alias("home"), F.xxhash64("sig", "c.cell").alias("cell"),
+        F.explode(_lookups(F.col("root"), F.col("deep"))).alias("v"),
+    )
+    hood = keyed.select("id", "d", "deep", "home", F.xxhash64("cell", "v").alias("v"))
+    a, b = (hood.select("v", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "d", "deep", "home"))) for side in "ab")
+    # what the triangle inequality lets pass; the pairs themselves are checked below
+    reach = F.when(F.col("deep_a") & F.col("deep_b"), 2 * RADIUS).otherwise(RADIUS)
+    met = a.join(b, "v").where((F.col("id_a") < F.col("id_b")) & (F.col("home_a") | F.col("home_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= reach))
+    ids = met.select("id_a", "id_b").distinct()
+    left, right = (points.select(F.col("id").alias(f"id_{s}"), F.col("root").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("deep").alias(f"deep_{s}")) for s in "ab")
+    pairs = ids.join(left, "id_a").join(right, "id_b").where("sig_a = sig_b").withColumn("edits", edits_between(F.col("a"), F.col("b")))
+    near = pairs.where("edits = 1 OR (edits = 2 AND deep_a AND deep_b)")
+    return near.select(F.col("sig_a").alias("sig"), F.least("a", "b").alias("root_a"), F.greatest("a", "b").alias("root_b"), "edits")
+
+
+def _rests(words: frozenset[str]):
+    def rests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kept in batch["kept"]:
+                for t in kept:
+                    rest = sorted(set(kept) - {t})
+                    # a rest of words alone says nothing about who is meant
+                    if any(x not in words for x in rest):
+                        rows.append((" ".join(rest), t, t in words))
+            yield pd.DataFrame(rows, columns=["rest", "token", "word"])
+
+    return rests
+
+
+def learn_words(names: DataFrame, forms: list[tuple[str, str, str]]) -> tuple[list[str], list[str], list[tuple[str, str, str]]]:
+    """(words, given names, short forms) of the names (``name``, ``tokens``, ``legal``).
+
+    * A token in ``WORD_SHARE`` of all names is a word, if it stands next to
+      different tokens; those of one name's variants begin alike.
+    * A word is a given name if most of its names are it and one token more,
+      without a legal form.
+    * A token is short for a word that stands in its place, next to the same
+      rest, in at least ``SHORT_FOR`` of the names that it occurs in.
+
+    A name has few tokens, so what reaches the driver is bounded by tokens per
+    name over the shares, whatever the number of names.
     """
-    n = names.count()
-    frequent = names.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    enough = max(WORD_NAMES, int(n * WORD_SHARE))
-    return [r["t"] for r in collect_bounded(frequent.where(F.col("n") >= enough), 200_000, "vocabulary")]
+    kept = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: (F.length(t) > 1) & ~t.isin(*TITLES))))
+    # the spellings of a key differ in order, not in tokens
+    once = checkpointed(names.groupBy("name").agg(F.min(F.struct(kept.alias("kept"), "legal")).alias("n")).select("n.kept", "n.legal"))
+    total = once.count()
+    personal = (F.size("kept") == 2) & ~F.col("legal")
+    others = F.transform(F.filter("kept", lambda x: x != F.col("t")), lambda x: F.left(x, F.lit(BEGINNING)))
+    each = once.select("kept", F.explode("kept").alias("t"), personal.alias("personal")).select("t", "personal", F.posexplode_outer(others).alias("i", "beside"))
+    first = F.coalesce(F.col("i") == 0, F.lit(True))
+    tokens = each.groupBy("t").agg(F.count_if(first).alias("n"), F.count_if(first & F.col("personal")).alias("personal"), F.approx_count_distinct("beside").alias("beside"))
+    frequent = collect_bounded(tokens.where((F.col("n") >= total * WORD_SHARE) & (F.col("beside") >= WORD_BESIDE)), 1_000_000, "words")
+    words = {r["t"] for r in frequent}
+    given = {r["t"] for r in frequent if 2 * r["personal"] > r["n"]}
+    fulls = {fold(f.lower()) for f, _, _ in forms}
+    given_fulls = {fold(f.lower()) for f, _, kind in forms if kind == "given_name"}
+    rows = checkpointed(once.where(F.size("kept") > 1).mapInPandas(_rests(frozenset(words | fulls)), "rest string, token string, word boolean").distinct())
+    beside = rows.groupBy("rest").agg(F.collect_set("token").alias("token"), F.collect_set(F.when(F.col("word"), F.col("token"))).alias("full"))
+    both = beside.where("size(full) > 0 AND size(token) > 1").select("full", F.explode("token").alias("token")).select("token", F.explode("full").alias("full")).where("token <> full")
+    support = both.groupBy("token", "full").agg(F.count("*").alias("both"))
+    short = support.join(rows.groupBy("token").agg(F.count("*").alias("n")), "token").where(
+        (F.col("both") >= max(SHORT_NAMES, total * SHORT_SHARE)) & (F.col("both") >= F.col("n") * SHORT_FOR)
+    )
+    learnt = collect_bounded(short.select("token", "full"), 1_000_000, "short forms")
+    # of two forms that stand for each other the longer one is the word
+    pairs = {(r["full"], r["token"]) for r in learnt if r["token"] not in fulls}
+    pairs = {(full, token) for full, token in pairs if (token, full) not in pairs or (len(full), full) > (len(token), token)}
+    return sorted(words - given), sorted(given), sorted((full, token, "given_name" if full in given | given_fulls else "word") for full, token in pairs)
+
+
+def _allowed(edits: Column, a: Column, b: Column) -> Column:
+    """Whether texts are long enough for so many edits to be misspellings."""
+    return F.least(F.length(a), F.length(b)) >= F.when(edits == 1, ONE_EDIT_FROM).otherwise(TWO_EDITS_FROM)
 
 
 def linked_names(facts: DataFrame, name_forms: DataFrame) -> DataFrame:
     """(name, group): every entity key that is linked to another, with the group it belongs to.
 
-    Keys whose raw spelling is null or has no letters stay alone. Companies of
-    different legal form and persons with different middle initials are not
-    linked, nor are names that fit several groups.
+    Keys whose raw spelling is null or has no letters or digits stay alone.
+    Companies of different legal form and persons with different middle
+    initials are not linked, nor are names that fit several groups.
     """
     raw = F.lower(F.trim("entity_raw"))
     forms = sum((F.when(raw.rlike(rf"\b({p})\b"), F.lit(bit)).otherwise(F.lit(0)) for p, bit in _FORMS[1:]), F.when(raw.rlike(r"\b(llp)\b"), F.lit(1)).otherwise(F.lit(0)))
-    keys = facts.where("entity_canonical IS NOT NULL AND entity_raw IS NOT NULL").select("entity_canonical", raw.alias("raw"), forms.alias("form"))
-    # every raw spelling of a key has the same tokens; the first stands for all
-    named = keys.groupBy(F.col("entity_canonical").alias("name")).agg(F.min("raw").alias("raw"), F.bit_or("form").alias("form"), F.count("*").alias("rows"))
+    legal = raw.rlike(rf"\b({'|'.join(LEGAL)})\b")
+    keys = facts.where("entity_canonical IS NOT NULL AND entity_raw IS NOT NULL").select(F.col("entity_canonical").alias("name"), plain_name(F.col("entity_raw")).alias("plain"), forms.alias("form"), legal.alias("legal"))
+    spelt = keys.groupBy("name", "plain").agg(F.bit_or("form").alias("form"), F.bool_or("legal").alias("legal"), F.count("*").alias("rows"))
     tokens = F.pandas_udf(lambda s: s.map(tokens_of), "array<string>")
-    names = checkpointed(named.withColumn("tokens", tokens("raw")))
-    known = collect_bounded(name_forms.select("full_form", "short_form", "kind").where("full_form IS NOT NULL AND short_form IS NOT NULL").distinct(), 100_000, "name_forms")
-    lexicon = facts.sparkSession.sparkContext.broadcast(([*vocabulary_of(names)], [tuple(r) for r in known]))
+    names = checkpointed(spelt.repartition(slices(facts.sparkSession), "name").withColumn("tokens", tokens("plain")))
+    known = [tuple(r) for r in collect_bounded(name_forms.select("full_form", "short_form", "kind").where("full_form IS NOT NULL AND short_form IS NOT NULL").distinct(), 100_000, "name_forms")]
+    words, given, short = learn_words(names, known)
+    lexicon = facts.sparkSession.sparkContext.broadcast((words, given, known + short))
     parse = F.pandas_udf(_parser(lexicon), "root string, full array<string>, less array<string>, given string, initials array<string>")
-    parsed = checkpointed(names.select("name", "form", "rows", parse("raw").alias("p")).select("name", "form", "rows", "p.*").where("length(root) > 2"))
+    own = names.groupBy("name").agg(F.bit_or("form").alias("form"), F.sum("rows").alias("rows"))
+    parsed = checkpointed(names.select("name", parse("plain").alias("p")).select("name", "p.*").where("root <> ''").join(own, "name"))
 
     # what tells namesakes apart: the legal form of companies, the middle initials of persons
     mark = F.when(F.col("given") != "", F.array_join("initials", "")).otherwise(F.when(F.col("form") > 0, F.col("form").cast("string")).otherwise(""))
-    full = parsed.select("name", "root", F.explode("full").alias("sig"), mark.alias("mark"), "initials", "given")
-    marks = full.groupBy("root", "sig").agg(F.size(F.collect_set(F.nullif("mark", F.lit("")))).alias("marks"))
-    full = full.join(marks, ["root", "sig"])
-    # a class: names of one element that nothing tells apart
-    cls = F.concat_ws("\u0001", "root", "sig", F.when(F.col("marks") > 1, F.col("mark")).otherwise(""))
-    full = checkpointed(full.withColumn("class", cls))
-    classes = full.groupBy("class", "root", "sig").agg(
-        F.min("name").alias("name"), F.max("mark").alias("mark"), F.first("marks").alias("marks"), F.array_distinct(F.flatten(F.collect_set("initials"))).alias("initials")
-    )
-    less = parsed.select("name", "root", F.explode("less").alias("sig")).distinct()
+    texts = F.array(F.struct(F.col("root").alias("text"), F.col("sig")), F.struct(sound_of(F.col("root")).alias("text"), F.concat(F.lit("s"), "sig").alias("sig")))
+    points = lambda rows, *kept: rows.select(*kept, F.explode(texts).alias("p")).select(*kept, "p.text", "p.sig").distinct()
+    full = checkpointed(points(parsed.select("name", "root", F.explode("full").alias("sig"), mark.alias("mark"), "form", "initials", "rows"), "name", "mark", "form", "initials", "rows"))
+    less = points(parsed.select("name", "root", F.explode("less").alias("sig")), "name")
     # names that give initials only are near to the elements that offer such an initial
-    lone = full.where(F.col("sig").startswith("j:")).select("name", "root", F.explode("initials").alias("i")).select("name", "root", F.concat(F.lit("i:"), "i").alias("sig"))
-    elements = classes.select("root", "sig").unionByName(less.select("root", "sig")).unionByName(lone.select("root", "sig")).distinct()
-    near = checkpointed(near_pairs(elements).unionByName(alike_pairs(elements)).distinct())
-
-    member = full.join(full.groupBy("class").agg(F.min("name").alias("head")), "class").select(F.col("head").alias("a"), F.col("name").alias("b"))
-    left = classes.select(F.col("root").alias("root_a"), "sig", F.col("name").alias("a"), F.col("mark").alias("mark_a"), F.col("marks").alias("marks_a"))
-    right = classes.select(F.col("root").alias("root_b"), "sig", F.col("name").alias("b"), F.col("mark").alias("mark_b"), F.col("marks").alias("marks_b"))
-    both = near.join(left, ["root_a", "sig"]).join(right, ["root_b", "sig"])
-    alone = (F.col("marks_a") < 2) & (F.col("marks_b") < 2) & ((F.col("mark_a") == "") | (F.col("mark_b") == ""))
-    spelt = both.where((F.col("mark_a") == F.col("mark_b")) & (F.col("mark_a") != "") | alone).select("a", "b")
-    first = checkpointed(linked_groups(member.unionByName(spelt), "a", "b"))
+    lone = full.where(F.col("sig").rlike("^s?j:")).select("name", "text", F.explode("initials").alias("i"), F.regexp_extract("sig", "^s?", 0).alias("s"))
+    lone = lone.select("name", "text", F.concat("s", F.lit("i:"), "i").alias("sig"))
+    deep = ~F.col("sig").startswith("s") & (F.length("text") >= TWO_EDITS_FROM)
+    elements = full.select(F.col("text").alias("root"), "sig", deep.alias("deep"))
+    for more in (less, lone):
+        elements = elements.unionByName(more.select(F.col("text").alias("root"), "sig", F.lit(False).alias("deep")))
+    found = near_pairs(elements).where(_allowed(F.col("edits"), F.col("root_a"), F.col("root_b")))
+    near = checkpointed(found.select("sig", F.col("root_a").alias("a"), F.col("root_b").alias("b"), "edits"))
+    mirrored = near.unionByName(near.select("sig", F.col("b").alias("a"), F.col("a").alias("b"), "edits"))
+
+    # a class: names of one point that nothing tells apart
+    marks = full.groupBy("text", "sig").agg(F.max("mark").alias("top"), (F.min(F.nullif("mark", F.lit(""))) != F.max("mark")).alias("several"))
+    marked = full.join(marks, ["text", "sig"])
+    several = F.coalesce("several", F.lit(False))
+    classed = checkpointed(marked.select(
+        F.concat(F.lit("n:"), "name").alias("node"), "text", "sig", several.alias("several"), F.when(several, F.col("mark")).otherwise(F.col("top")).alias("mark"),
+    ).withColumn("class", F.concat(F.lit("c:"), F.substring(F.sha2(F.concat_ws("\u0001", "text", "sig", F.when(F.col("several"), F.col("mark"))), 256), 1, 32))))
+    classes = classed.select("text", "sig", "several", "mark", "class").distinct()
+    left, right = (classes.select("sig", F.col("text").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("several", "mark", "class"))) for s in "ab")
+    both = near.where("edits = 1").join(left, ["sig", "a"]).join(right, ["sig", "b"])
+    agree = "(mark_a = mark_b AND mark_a <> '') OR (NOT several_a AND NOT several_b AND (mark_a = '' OR mark_b = ''))"
+    links = classed.select(F.col("node").alias("a"), F.col("class").alias("b")).unionByName(both.where(agree).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    group = lambda g: g.where("node LIKE 'n:%'").select(F.substring("node", 3, 1_000_000).alias("name"), F.col("root").alias("group"))
+    first = checkpointed(group(linked_groups(links, "a", "b")))
 
     # names that say less: linked if all they fit is one group
-    mirrored = near.select("sig", "root_a", "root_b").unionByName(near.select("sig", F.col("root_b").alias("root_a"), F.col("root_a").alias("root_b")))
-    group = first.select(F.col("node").alias("name"), F.col("root").alias("group"))
-    info = parsed.select("name", "form", F.col("initials").alias("held"))
-    offers = less.join(group, "name").join(info, "name").select("root", "sig", "group", "form", "held")
-    offers = offers.groupBy("root", "sig", "group").agg(F.bit_or("form").alias("form"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("held"))
-    asking = full.where(F.col("sig").startswith("o:")).select("name", "root", "sig").unionByName(lone).distinct().join(info.withColumnRenamed("form", "own").withColumnRenamed("held", "given_i"), "name")
-    same = asking.join(offers, ["root", "sig"])
-    alike = asking.join(mirrored, [asking["root"] == mirrored["root_a"], asking["sig"] == mirrored["sig"]]).drop(mirrored["sig"]).drop("root_a", "root")
-    alike = alike.withColumnRenamed("root_b", "root").join(offers, ["root", "sig"])
-    fits = same.select("name", "own", "given_i", "sig", "group", "form", "held", F.lit(0).alias("far")).unionByName(
-        alike.select("name", "own", "given_i", "sig", "group", "form", "held", F.lit(1).alias("far"))
-    ).join(group.withColumnRenamed("group", "mine"), "name")
-    by_form = F.col("sig").startswith("o:") & ((F.col("own") == F.col("form")) | (F.col("own") == 0) | (F.col("form") == 0))
+    offers = less.join(first, "name").join(parsed.select("name", "form", "initials").distinct(), "name")
+    offers = offers.groupBy("text", "sig", "group").agg(F.bit_or("form").alias("form"), F.array_distinct(F.flatten(F.collect_set("initials"))).alias("held"))
+    asking = full.where(F.col("sig").rlike("^s?o:")).select("name", "text", "sig").unionByName(lone).join(full.select("name", F.col("form").alias("own"), F.col("initials").alias("given")).distinct(), "name")
+    exact = asking.select("*", F.when(F.col("sig").startswith("s"), 1).otherwise(0).alias("far"))
+    misspelt = asking.withColumnRenamed("text", "a").join(mirrored.where("edits = 1"), ["sig", "a"]).select("name", F.col("b").alias("text"), "sig", "own", "given", F.lit(1).alias("far"))
+    by_form = F.col("sig").rlike("^s?o:") & ((F.col("own") == F.col("form")) | (F.col("own") == 0) | (F.col("form") == 0))
     # J. K. Smith fits John K. Smith and John Smith, not John L. Smith
-    by_initials = F.col("sig").startswith("i:") & F.forall("held", lambda h: F.array_contains("given_i", h) | (F.size("given_i") == 1))
-    fits = fits.where(by_form | by_initials)
+    by_initials = F.col("sig").rlike("^s?i:") & F.forall("held", lambda h: F.array_contains("given", h) | (F.size("given") == 1))
+    fits = exact.unionByName(misspelt).join(offers, ["text", "sig"]).where(by_form | by_initials)
     # the exact root goes before a near one; a group may not be asked for by several that exclude each other
-    nearest = fits.withColumn("least", F.min("far").over(Window.partitionBy("name"))).where(F.col("far") == F.col("least"))
-    one = nearest.groupBy("mine").agg(F.collect_set("group").alias("groups")).where(F.size("groups") == 1)
-    more = one.select(F.col("mine").alias("a"), F.col("groups")[0].alias("b"))
-    second = checkpointed(linked_groups(first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more), "a", "b").select(F.col("node").alias("name"), F.col("root").alias("group")))
-    worse = twice_misspelt(second, full, parsed.select("name", "rows"))
-    return linked_groups(second.select(F.col("group").alias("a"), F.col("name").alias("b")).unionByName(worse), "a", "b").select(F.col("node").alias("name"), F.col("root").alias("group"))
+    nearest = fits.groupBy("name", "far").agg(F.collect_set("group").alias("groups")).groupBy("name").agg(F.min_by("groups", "far").alias("groups"))
+    mine = nearest.join(first.withColumnRenamed("group", "mine"), "name").select("mine", F.explode("groups").alias("group")).distinct()
+    one = mine.groupBy("mine").agg(F.count("*").alias("n"), F.min("group").alias("group")).where("n = 1 AND mine <> group")
+    second = checkpointed(_merged(first, one.select(F.col("mine").alias("a"), F.col("group").alias("b"))))
+    return _merged(second, _twice_misspelt(second, full, mirrored))
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (name, group) with those that ``links`` (a, b) name as one."""
+    into = linked_groups(links, "a", "b").select(F.col("node").alias("group"), F.col("root").alias("into"))
+    return groups.join(into, "group", "left").select("name", F.coalesce("into", "group").alias("group"))
 
 
-def twice_misspelt(groups: DataFrame, full: DataFrame, counts: DataFrame) -> DataFrame:
-    """(a, b): names that are still alone, with the one group that two edits part them from.
+def _twice_misspelt(groups: DataFrame, full: DataFrame, near: DataFrame) -> DataFrame:
+    """(a, b): groups of one name, with the one group that two edits part them from.
 
     Two edits also part names that only happen to be alike, so the group must be
     the only one in reach, agree in what tells namesakes apart, and be written
     at least twice as often as the name that is taken for its misspelling.
     """
-    sized = groups.join(counts, "name").groupBy("group").agg(F.count("*").alias("names"), F.sum("rows").alias("rows"))
-    named = full.where(~F.col("sig").startswith("j:")).select("name", "root", "sig", "mark").join(groups, "name").join(sized, "group")
-    named = checkpointed(named.where(F.length("root") < LONG_ROOT))
-    alone = named.where("names = 1").select("root", "sig").distinct()
-    near = near_pairs(named.select("root", "sig").distinct(), edits=2, asking=alone)
-    both = near.select("sig", "root_a", "root_b").unionByName(near.select("sig", F.col("root_b").alias("root_a"), F.col("root_a").alias("root_b")))
-    asks = named.where("names = 1").select(F.col("root").alias("root_a"), "sig", F.col("group").alias("a"), F.col("mark").alias("mark_a"), F.col("rows").alias("rows_a"))
-    has = named.groupBy(F.col("root").alias("root_b"), "sig", "mark", F.col("group").alias("b")).agg(F.max("rows").alias("rows_b"))
-    met = asks.join(both, ["root_a", "sig"]).join(has, ["root_b", "sig"]).where("a <> b AND (mark_a = mark OR mark_a = '' OR mark = '')")
-    once = met.groupBy("a").agg(F.collect_set("b").alias("b"), F.first("rows_a").alias("rows_a"), F.max("rows_b").alias("rows_b"))
-    return once.where("size(b) = 1 AND 2 * rows_a <= rows_b").select("a", F.col("b")[0].alias("b"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("names"))
+    named = full.where(~F.col("sig").rlike("^(s|j:)")).join(groups, "name").join(sizes, "group")
+    asks = named.where("names = 1").select(F.col("text").alias("a"), "sig", F.col("group").alias("mine"), F.col("mark").alias("mark_a"), F.col("rows").alias("rows_a"))
+    has = named.groupBy(F.col("text").alias("b"), "sig", "mark", "group").agg(F.max("rows").alias("rows_b"))
+    met = asks.join(near, ["sig", "a"]).join(has, ["sig", "b"]).where("mine <> group AND (mark_a = mark OR mark_a = '' OR mark = '')")
+    once = met.groupBy("mine").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.max("rows_a").alias("rows_a"), F.max("rows_b").alias("rows_b"))
+    return once.where("least = most AND 2 * rows_a <= rows_b").select(F.col("mine").alias("a"), F.col("least").alias("b"))
 
 
 def _parser(lexicon):
     made: dict[int, Lexicon] = {}
 
-    def parse(raw: pd.Series) -> pd.DataFrame:
+    def parse(plain: pd.Series) -> pd.DataFrame:
         if 0 not in made:
             made[0] = Lexicon(*lexicon.value)
-        rows = [made[0].take_apart(x) for x in raw]
-        return pd.DataFrame(rows, columns=["root", "full", "less", "given", "initials"])
+        return pd.DataFrame([made[0].take_apart(x) for x in plain], columns=["root", "full", "less", "given", "initials"])
 
     return parse
 
