@@ -52,7 +52,7 @@ LONG_TEXT = 32
 #: A token is a word from this share of all names on, next to so many other tokens (alike ones, by their beginnings, count once).
 WORD_SHARE, WORD_BESIDE, BEGINNING = 0.002, 5, 3
 #: A token is short for a word from this share of all names on, and from so many names.
-SHORT_SHARE, SHORT_NAMES = 0.0002, 2
+SHORT_SHARE, SHORT_NAMES = 0.00005, 2
 #: How often the long form must stand where a short form does.
 SHORT_FOR = 0.5
 #: Most readings of a name; the ambiguous words of a name with more stand for themselves.
@@ -167,7 +167,9 @@ class Lexicon:
             if short and full:
                 (self.given if kind == "given_name" else self.words).add(full)
                 self.short.setdefault(short, []).append(full)
-        self.short = {s: sorted(set(w)) for s, w in self.short.items()}
+        # what is short for a short form is short for its word
+        whole = lambda w: [x for x in self.short.get(w, ()) if x not in self.short] or [w]
+        self.short = {s: sorted({x for w in fulls for x in whole(w) if x != s}) for s, fulls in self.short.items()}
         # a frequent short form isn't a word of its own
         self.words = {w for w in self.words if not any(abbreviates(w, v) for v in self.words | self.given)} - self.given - set(self.short) - set(TITLES) - set(LEGAL)
         self.given -= set(self.short)
@@ -469,11 +471,11 @@ def _twice_misspelt(groups: DataFrame, full: DataFrame, near: DataFrame) -> Data
     the only one in reach, agree in what tells namesakes apart, and be written
     at least twice as often as the name that is taken for its misspelling.
     """
-    sizes = groups.groupBy("group").agg(F.count("*").alias("names"))
-    named = full.where(~F.col("sig").rlike("^(s|j:)")).join(groups, "name").join(sizes, "group")
+    sizes = full.select("name", "rows").distinct().join(groups, "name").groupBy("group").agg(F.count("*").alias("names"), F.sum("rows").alias("rows"))
+    named = checkpointed(full.where(~F.col("sig").rlike("^(s|j:)")).select("name", "text", "sig", "mark").join(groups, "name").join(sizes, "group"))
     asks = named.where("names = 1").select(F.col("text").alias("a"), "sig", F.col("group").alias("mine"), F.col("mark").alias("mark_a"), F.col("rows").alias("rows_a"))
-    has = named.groupBy(F.col("text").alias("b"), "sig", "mark", "group").agg(F.max("rows").alias("rows_b"))
-    met = asks.join(near, ["sig", "a"]).join(has, ["sig", "b"]).where("mine <> group AND (mark_a = mark OR mark_a = '' OR mark = '')")
+    has = named.select(F.col("text").alias("b"), "sig", "mark", "group", F.col("rows").alias("rows_b")).distinct()
+    met = asks.join(near.where("edits = 2"), ["sig", "a"]).join(has, ["sig", "b"]).where("mine <> group AND (mark_a = mark OR mark_a = '' OR mark = '')")
     once = met.groupBy("mine").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.max("rows_a").alias("rows_a"), F.max("rows_b").alias("rows_b"))
     return once.where("least = most AND 2 * rows_a <= rows_b").select(F.col("mine").alias("a"), F.col("least").alias("b"))
 
