@@ -3,16 +3,18 @@
 A unit is an exponent vector over the base dimensions, a factor to the base
 units (exact, as a fraction) and an offset. An expression is a sequence of
 terms; every term has one or more readings (``m`` is a metre or a million,
-``K`` a kelvin or a thousand), and the reading kept is the first whose product
-has the exponents that the attribute's dimension asks for.
+``K`` a kelvin or a thousand), and the reading kept is the first of those that
+use the most terms and whose product has the exponents that the attribute's
+dimension asks for. It is found in one pass over the terms: what may still follow
+depends on the currency, the unit and an open power only.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from fractions import Fraction
 from functools import lru_cache
-from itertools import product
 
 BASE = ("length", "mass", "time", "temperature", "money", "item")
 
@@ -128,14 +130,26 @@ _LONGEST = 3  # words that a compound name such as "degrees_celsius" has at most
 _TERM = re.compile(r"us\$|[°℃℉%‰₹$€£]\s?[cf]?(?![a-z])|[°℃℉%‰₹$€£]|000|[a-z]+|[²³]|\^[23]")
 
 
-@lru_cache(maxsize=100_000)
-def parse_unit(text: str, dimension: str) -> tuple[str | None, Fraction | None, tuple[Fraction, Fraction] | None]:
+_Parsed = tuple[str | None, Fraction | None, tuple[Fraction, Fraction] | None]
+#: Texts up to this length are remembered with what they state.
+_REMEMBERED = 80
+
+
+def parse_unit(text: str, dimension: str) -> _Parsed:
     """(currency, scale, unit) that ``text`` states for ``dimension``.
 
     Each is None where it is not stated or does not fit; ``unit`` is (factor,
     offset) to the base unit. Words that are no terms are skipped.
     """
-    want = DIMENSIONS[dimension]
+    return _remembered(text, dimension) if len(text) <= _REMEMBERED else _parse(text, dimension)
+
+
+@lru_cache(maxsize=50_000)
+def _remembered(text: str, dimension: str) -> _Parsed:
+    return _parse(text, dimension)
+
+
+def _terms(text: str) -> list[str]:
     # letter case separates nothing here: kwh, KWH and kWh are one unit
     words = [w.replace(" ", "") for w in _TERM.findall(text.lower().replace("sq.", "sq ").replace("cu.", "cu "))]
     terms, i = [], 0
@@ -147,62 +161,69 @@ def parse_unit(text: str, dimension: str) -> tuple[str | None, Fraction | None,
                 i += n
                 break
         else:
-            terms.append(None)
             i += 1
-    best = (None, None, None)
-    score = -1
-    choices = [[*_read(t), ("skip",)] for t in terms if t]
-    for pick in product(*choices):
-        got = _combine(pick, want, dimension)
-        if got is not None:
-            used = sum(p[0] != "skip" for p in pick)
-            if used > score:
-                best, score = got, used
-    return best
+    return terms
+
+
+def _parse(text: str, dimension: str) -> _Parsed:
+    want = DIMENSIONS[dimension]
+    # (currency, unit, open power, whether a power may follow the unit) -> (terms used, scale), in order of the first readings
+    states = {(None, None, 1, False): (0, None)}
+    for term in _terms(text):
+        after: dict[tuple, tuple[int, Fraction | None]] = {}
+        for state, (used, scale) in states.items():
+            for reading in _read(term):
+                if (to := _after(state, reading, want, dimension)) is not None:
+                    factor = (scale or 1) * reading[1] if reading[0] == "scale" else scale
+                    if to not in after or after[to][0] < used + 1:
+                        after.pop(to, None)
+                        after[to] = (used + 1, factor)
+            if state not in after or after[state][0] < used:
+                after.pop(state, None)
+                after[state] = (used, scale)
+        states = after
+    done = [(used, currency, scale, unit) for (currency, unit, power, _), (used, scale) in states.items() if power == 1 and (unit is None or unit[0] == want)]
+    _, currency, scale, unit = max(done, key=lambda d: d[0])
+    return currency, scale, unit and unit[1:]
 
 
 def _read(term: str) -> list[tuple]:
     return _READINGS[term] if term in _READINGS else [("after", 2 if term[-1] in "²2" else 3)]
 
 
-def _combine(pick: tuple, want: tuple[int, ...], dimension: str):
-    currency, scale, unit, power, last = None, None, None, 1, None
-    for p in pick:
-        kind = p[0]
-        if kind == "skip":
-            continue
-        if kind == "money":
-            if currency not in (None, p[1]):
-                return None
-            currency = p[1]
-        elif kind == "scale":
-            scale = (scale or 1) * p[1]
-        elif kind == "power":
-            power = p[1]
-        elif kind == "after":
-            if last is None:
-                return None
-            vector, factor, offset = last
-            unit, last = (tuple(e * p[1] for e in vector), factor ** p[1], offset), None
-        else:
-            if unit is not None:
-                return None
-            unit = last = (tuple(e * power for e in p[1]), p[2] ** power, p[3])
-            power = 1
-    if power != 1:
+def _after(state: tuple, reading: tuple, want: tuple[int, ...], dimension: str) -> tuple | None:
+    """The state that a term's reading leads to, None if it doesn't fit."""
+    currency, unit, power, open_ = state
+    kind = reading[0]
+    if kind == "scale":
+        return state
+    if kind == "money":
+        return (reading[1], unit, power, open_) if dimension == "money" and currency in (None, reading[1]) else None
+    if kind == "power":
+        return currency, unit, reading[1], open_
+    if kind == "after":
+        return (currency, _raised(unit, reading[1]), power, False) if open_ else None
+    if unit is not None or dimension == "money":
         return None
-    if dimension == "money":
-        return None if unit is not None else (currency, scale, None)
-    if currency is not None or (unit is not None and unit[0] != want):
-        return None
-    return None, scale, unit and (unit[1], unit[2])
+    unit = _raised(reading[1:4], power)
+    # a unit that no power can bring to the dimension leads nowhere
+    return (currency, unit, 1, True) if any(_raised(unit, n)[0] == want for n in (1, 2, 3)) else None
+
+
+def _raised(unit: tuple, power: int) -> tuple:
+    vector, factor, offset = unit
+    return tuple(e * power for e in vector), factor**power, offset
 
 
-_DIGITS = str.maketrans("०१२३४५६७८९", "0123456789")
 _THOUSAND = re.compile(r"(?<![\d])\s*['’‘`]000\b")
 _NUMBER = re.compile(r"(\(\s*)?([-−–]\s?)?(\d(?:[\d.,'’]|[ \u00a0\u202f\u2009](?=\d{3}(?!\d)))*)(\s*\))?")
 
 
+def _ascii_digits(text: str) -> str:
+    """``text`` with the decimal digits of all scripts as ASCII digits."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def parse_number(text: str) -> tuple[int, int, str] | None:
     """(mantissa, decimals, rest) of the first number of ``text``, or None.
 
@@ -211,7 +232,7 @@ def parse_number(text: str) -> tuple[int, int, str] | None:
     lone commas are decimal; several points part thousands. A minus sign or
     parentheses around the number make it negative.
     """
-    t = text.translate(_DIGITS)
+    t = _ascii_digits(text)
     t = re.sub(r"(?<=\s)['’‘`]000\b|^['’‘`]000\b", " thousand ", t)
     m = _NUMBER.search(t)
     if not m:
@@ -234,22 +255,77 @@ def parse_number(text: str) -> tuple[int, int, str] | None:
     return (-mantissa if negative else mantissa), len(part), t[: m.start()] + " " + t[m.end() :]
 
 
+# Number words, and those that stand for parts of one.
+_NUMBER_WORDS = {w: n for n, w in enumerate(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+)} | {w: 10 * n for n, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_SPELT = re.compile(rf"\b(minus\s+|negative\s+)?({'|'.join(sorted(_NUMBER_WORDS, key=len, reverse=True))})(?:[\s-]+({'|'.join(list(_NUMBER_WORDS)[1:10])}))?\b(?!\s*-)", re.I)
+_EXPONENT = re.compile(r"\s*(?:[eE]|[x×*·]\s*10\s*\^?)\s*([-+−]?)(\d{1,3})(?![\w.])")
+_SUPERSCRIPTS = str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹⁻", "0123456789-")
+_RAISED_TEN = re.compile(r"([x×*·]\s*10)\s*([⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+)")
+_FRACTION = re.compile(r"(?<![\d/.,])(\d{1,3})\s?/\s?(\d{1,3})(?![\d/.,])")
+_PART = re.compile(r"\s?([½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞])")
+
+
+def stated_number(text: str) -> tuple[Fraction, str] | None:
+    """(number, rest) of the first number of ``text``: digits of any script, with a power of ten or a fraction, or number words."""
+    t = _ascii_digits(text)
+    if "10" in t:
+        t = _RAISED_TEN.sub(lambda m: f"{m[1]}^{m[2].translate(_SUPERSCRIPTS)}", t)
+    # 1½, ½ and 1 1/2; the sign and the parentheses stay where they are
+    if any(c in "½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞" for c in t):
+        part = _PART.search(t)
+        extra = Fraction(unicodedata.numeric(part[1])).limit_denominator(8)
+        before = t[: part.start()]
+        t = (before if before[-1:].isdigit() else before + " 0") + t[part.end() :]
+    elif (part := _FRACTION.search(t)) and int(part[2]) > int(part[1]) > 0:
+        extra = Fraction(int(part[1]), int(part[2]))
+        before = t[: part.start()].rstrip()
+        t = (before if before[-1:].isdigit() else before + " 0") + t[part.end() :]
+    else:
+        extra = Fraction(0)
+    m = parse_number(t)
+    if m is None:
+        spelt = _SPELT.search(t)
+        if not spelt:
+            return None
+        first, second = _NUMBER_WORDS[spelt[2].lower()], _NUMBER_WORDS[spelt[3].lower()] if spelt[3] else 0
+        if second and (first < 20 or first % 10):
+            second = 0
+        value = Fraction(first + second)
+        return (-value if spelt[1] else value), t[: spelt.start()] + " " + t[spelt.end() :]
+    mantissa, decimals, rest = m
+    value = Fraction(mantissa, 10**decimals)
+    negative = mantissa < 0 or bool(_NUMBER.search(t)[2])
+    if extra:
+        value = -(abs(value) + extra) if negative else value + extra
+    # a power of ten right after the digits
+    number = _NUMBER.search(re.sub(r"(?<=\s)['’‘`]000\b|^['’‘`]000\b", " thousand ", t))
+    tail = number.string[number.end() :]
+    if power := _EXPONENT.match(tail):
+        ten = Fraction(10) ** int(power[2])
+        value = value / ten if power[1] in ("-", "−") else value * ten
+        rest = number.string[: number.start()] + " " + tail[power.end() :]
+    return value, rest
+
+
+# what a quote says of all its figures: a noun for figures, then "in" and the unit, in brackets or up to the end of the clause
+_FIGURES = r"(?:figures|amounts|values|numbers|quantities|data|sums)"
+_SAID = r"(?:(?:are|is|being)\s+)?(?:(?:stated|expressed|given|shown|reported|presented|quoted)\s+)?in"
+# a full stop ends a clause unless it ends an abbreviation that goes on with the unit
+_CLAUSE = r"((?:[^.;:—\])]|(?<=\brs)\.|(?<=\bsq)\.|(?<=\bcu)\.|(?<=\bno)\.|\([^()]*\))+)"
 _HEADERS = (
-    re.compile(r"\[in ([^\]]+)\]"),
-    re.compile(r"\(all figures in ([^)]+)\)", re.I),
-    re.compile(r"\(([^()]+(?:\([^()]*\))?[^()]*), unless stated otherwise\)", re.I),
-    re.compile(r"(?:^|[\s\]])unit: ((?:[^.—]|(?<=\brs)\.|(?<=\bsq)\.|(?<=\bcu)\.)+)", re.I),
-    re.compile(r"(?:amounts|figures|values) (?:are )?stated in (.+?) —", re.I),
-    re.compile(r"(?:amounts|figures|values)(?: are)? in (.+?)(?: —|[.;:])", re.I),
+    re.compile(rf"\[\s*(?:all\s+)?(?:{_FIGURES}\s+)?(?:{_SAID}|in)\s+([^\]]+)\]", re.I),
+    re.compile(rf"\(\s*(?:all\s+)?{_FIGURES}\s+{_SAID}\s+((?:[^()]|\([^()]*\))+)\)", re.I),
+    re.compile(r"\(([^()]+(?:\([^()]*\))?[^()]*),\s*(?:unless|except)\b[^()]*\)", re.I),
+    re.compile(rf"\bunits?\s*[:=]\s*{_CLAUSE}", re.I),
+    re.compile(rf"\b{_FIGURES}\s+{_SAID}\s+{_CLAUSE}", re.I),
 )
 
 
-def quoted_unit(quote: str | None) -> str:
-    """The unit that a quote declares for its figures, or an empty text."""
-    for pattern in _HEADERS if quote else ():
-        if m := pattern.search(quote):
-            return m[1]
-    return ""
+def quoted_units(quote: str | None) -> list[str]:
+    """The units that a quote declares for its figures, as written."""
+    return [m[1] for pattern in _HEADERS if (m := pattern.search(quote))] if quote else []
 
 
 def to_common(raw: str | None, canonical_unit: str | None, quote: str | None, dimension: str | None, common: str | None) -> tuple[str, int] | None:
@@ -261,15 +337,15 @@ def to_common(raw: str | None, canonical_unit: str | None, quote: str | None, di
     """
     if raw is None or dimension not in DIMENSIONS:
         return None
-    number = parse_number(raw)
+    number = stated_number(raw)
     if number is None:
         return None
-    mantissa, decimals, rest = number
+    value, rest = number
     currency, scale, unit = parse_unit(rest, dimension)
     told = (canonical_unit or "").strip()
-    other = quoted_unit(quote) if told.upper() == "RAW" else told.replace("_", " ")
-    currency2, scale2, unit2 = parse_unit(other, dimension) if other else (None, None, None)
-    value = Fraction(mantissa, 10**decimals)
+    others = quoted_units(quote) if told.upper() == "RAW" else [told.replace("_", " ")]
+    # the first declaration that means something for the dimension
+    currency2, scale2, unit2 = next((p for p in (parse_unit(o, dimension) for o in others) if p != (None, None, None)), (None, None, None))
     if dimension == "money":
         currency = currency or currency2
         if currency is None:

@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import strip
+from quern.functions.text import let, strip
 
 # Scale words of recorded values, and currency marks in order of precedence.
 MULTIPLIERS = {
@@ -37,8 +37,11 @@ def value_and_unit(raw: Column, unit: Column) -> Column:
     word. Blank values give (null, RAW). Marks are looked for inside words, and
     scales glued to digits do not count: both are the recorded data's rules.
     """
-    value = strip(F.coalesce(raw, F.lit("")))
-    both = F.lower(F.concat(value, F.lit(" "), strip(F.coalesce(unit, F.lit("")))))
+    texts = let(strip(F.coalesce(raw, F.lit(""))), lambda v: F.struct(v.alias("value"), F.lower(F.concat(v, F.lit(" "), strip(F.coalesce(unit, F.lit(""))))).alias("both")))
+    return let(texts, lambda x: _value_and_unit(x["value"], x["both"]))
+
+
+def _value_and_unit(value: Column, both: Column) -> Column:
     money = reduce(lambda c, m: c.when(F.contains(both, F.lit(m[0])), F.lit(m[1])), CURRENCY_MARKS[1:], F.when(F.contains(both, F.lit(CURRENCY_MARKS[0][0])), F.lit(CURRENCY_MARKS[0][1])))
     percent = reduce(lambda c, m: c | F.contains(both, F.lit(m)), PERCENT_MARKS[1:], F.contains(both, F.lit(PERCENT_MARKS[0])))
     kind = F.when(percent, F.lit("PERCENT")).otherwise(money.otherwise(F.lit("COUNT")))
@@ -53,16 +56,18 @@ def value_and_unit(raw: Column, unit: Column) -> Column:
 
 def extracted_number(text: Column) -> Column:
     """Number of an extracted value (double), null if what is left after marks and one scale is no number."""
-    t = F.regexp_replace(text, r"₹|\$|Rs\.?|INR|,", "")
-    t = strip(t)
-    found = [F.regexp_like(t, F.lit(rf"(?i)\b(?:{p})\b")) for p, _ in EXTRACTED_SCALES]
-    scale = reduce(lambda c, x: c.when(x[0], F.lit(x[1][1])), list(zip(found, EXTRACTED_SCALES))[1:], F.when(found[0], F.lit(EXTRACTED_SCALES[0][1]))).otherwise(F.lit(1.0))
-    bare = reduce(
-        lambda c, x: c.when(x[0], F.regexp_replace(t, rf"(?i)\b(?:{x[1][0]})\b", "")), list(zip(found, EXTRACTED_SCALES))[1:],
-        F.when(found[0], F.regexp_replace(t, rf"(?i)\b(?:{EXTRACTED_SCALES[0][0]})\b", "")),
-    ).otherwise(F.when(F.endswith(t, F.lit("%")), F.replace(t, F.lit("%"), F.lit(""))).otherwise(t))
-    bare = strip(F.regexp_replace(strip(bare), r"^[>~<]+", ""))
-    return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double")) * scale
+    return let(strip(F.regexp_replace(text, r"₹|\$|Rs\.?|INR|,", "")), _scaled_number)
+
+
+def _scaled_number(t: Column) -> Column:
+    alone = lambda p: rf"(?i)\b(?:{p})\b"
+    first = reduce(lambda c, x: c.when(F.regexp_like(t, F.lit(alone(x[1][0]))), x[0]), list(enumerate(EXTRACTED_SCALES))[1:], F.when(F.regexp_like(t, F.lit(alone(EXTRACTED_SCALES[0][0]))), 0)).otherwise(-1)
+    removed = lambda n: reduce(lambda c, x: c.when(n == x[0], F.regexp_replace(t, alone(x[1][0]), "")), list(enumerate(EXTRACTED_SCALES))[1:], F.when(n == 0, F.regexp_replace(t, alone(EXTRACTED_SCALES[0][0]), "")))
+    unscaled = F.when(F.endswith(t, F.lit("%")), F.replace(t, F.lit("%"), F.lit(""))).otherwise(t)
+    scales = F.array(*(F.lit(v) for _, v in EXTRACTED_SCALES))
+    number = lambda b: F.when(b.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), b.try_cast("double"))
+    bare = lambda n: strip(F.regexp_replace(strip(removed(n).otherwise(unscaled)), r"^[>~<]+", ""))
+    return let(first, lambda n: let(bare(n), number) * F.coalesce(F.get(scales, n), F.lit(1.0)))
 
 
 def numbers_match(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
@@ -80,3 +85,17 @@ def values_match(num_a: Column, str_a: Column, num_b: Column, str_b: Column, tol
     text = lambda n, s: F.lower(strip(F.coalesce(F.when(n.isNotNull(), F.coalesce(s, n.cast("string"))), s)))
     numeric = num_a.isNotNull() & num_b.isNotNull()
     return F.when(numeric, numbers_match(num_a, num_b, tolerance)).otherwise(F.coalesce(text(num_a, str_a) == text(num_b, str_b), F.lit(False)))
+
+
+def typed_values_match(num_a: Column, str_a: Column, bool_a: Column, num_b: Column, str_b: Column, bool_b: Column, tolerance: float = TOLERANCE) -> Column:
+    """``values_match`` of values that may be booleans too (at most one of the three columns of a value is not null).
+
+    Booleans count as the numbers 0 and 1 against numbers and each other;
+    against a text they are compared by its truth, which only '' lacks.
+    """
+    number = lambda n, b: F.coalesce(n, b.cast("double"))
+    boolean = bool_a.isNotNull() | bool_b.isNotNull()
+    true = lambda s, b: F.coalesce(b, s != "")
+    mixed = boolean & (number(num_a, bool_a).isNull() | number(num_b, bool_b).isNull())
+    truth = F.coalesce(true(str_a, bool_a) == true(str_b, bool_b), F.lit(False))
+    return F.when(mixed, truth).otherwise(values_match(number(num_a, bool_a), str_a, number(num_b, bool_b), str_b, tolerance))

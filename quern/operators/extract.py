@@ -1,8 +1,10 @@
 """Candidate facts from page text by declarative rules.
 
-Each rule is a pattern with a label part and a value part; matches come out of
-``regexp_extract_all`` with their position and are exploded, so extraction is
-one pass of JVM expressions over the pages.
+Each rule is a pattern with a label part and a value part. One scan of the pages
+collects the matches of all rules by ``regexp_extract_all`` into one array, with
+their positions, and explodes it once; what is needed of the page besides (the
+organisation it names, the period it hints at) is read before, so that no page
+text travels with the matches.
 """
 
 from __future__ import annotations
@@ -12,24 +14,27 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.periods import temporal_hint
-from quern.functions.text import strip
+from quern.functions.periods import hinted_period, page_hints
+from quern.functions.text import let, short_name, strip, title
 from quern.functions.values import extracted_number
+from quern.session import spread
 
-# The rules' vocabulary. Money and count amounts, then the words that introduce them.
+# The rules' vocabulary. Money and count amounts, scales, the words between label and value, notes and what follows a label.
 _MONEY = r"(?:₹|Rs\.?|INR|\$)\s*\d+(?:\.\d+)?"
 _GROUPED = r"\d{1,3}(?:,\d{3})*"
 _SCALE = r"(?:Cr|crore|crores|million|billion|Mn|Bn|Lakh|Lakhs|M|B)"
+_SHORT_SCALE = r"(?:million|Cr|crores|billion)"
 _VERBS = r"(?:of|was|reached|grew to|aggregating to|is|stood at)"
 _NOTE = r"(?:\(\d+(?:,\d+)?\))?"
+_MARK = r"(?:\(\d+\))?"
 _TAIL = r"[A-Za-z\s\n]*"
 # Measures that documents state beside or above their name: (pattern, attribute, unit).
 KPI_RULES = (
-    (rf"[>~]?\d+(?:\.\d+)?\s*(?:Bn|billion|Mn|million)?\s*(?:\(\d+\))?\s*\n?\s*Express parcel shipments{_TAIL}", "Express Parcel Volume", "PARCELS"),
-    (rf"(?:{_GROUPED}|\d+)\s*(?:\(\d+\))?\s*\n?\s*(?:Pin codes covered|pin codes)", "PIN Code Coverage", "PIN_CODES"),
+    (rf"[>~]?\d+(?:\.\d+)?\s*(?:Bn|billion|Mn|million)?\s*{_MARK}\s*\n?\s*Express parcel shipments{_TAIL}", "Express Parcel Volume", "PARCELS"),
+    (rf"(?:{_GROUPED}|\d+)\s*{_MARK}\s*\n?\s*(?:Pin codes covered|pin codes)", "PIN Code Coverage", "PIN_CODES"),
     (rf"[>~]?\d+(?:\.\d+)?\s*(?:Mn|million|K)?\s*tonnes\s*{_NOTE}\s*\n?\s*Part-truckload freight{_TAIL}", "PTL Freight Delivered", "TONNES"),
     (rf"(?:{_GROUPED}|\d+)\s*{_NOTE}\s*\n?\s*(?:Workforce strength|employees|workforce)", "Workforce Strength", "COUNT"),
-    (rf"\d+(?:\.\d+)?\s*(?:Mn|million)?\s*Sq ft\s*(?:\(\d+\))?\s*\n?\s*Logistics area{_TAIL}", "Logistics Area Under Management", "SQ_FT"),
+    (rf"\d+(?:\.\d+)?\s*(?:Mn|million)?\s*Sq ft\s*{_MARK}\s*\n?\s*Logistics area{_TAIL}", "Logistics Area Under Management", "SQ_FT"),
     (rf"(?:[>~]?{_GROUPED}|\d+)\s*{_NOTE}\s*\n?\s*Active customers", "Active Customers", "COUNT"),
     (r"\d+(?:\.\d+)?\s*(?:Mn|million|Bn|billion|K)?\s*Express parcels shipped", "Express Parcel Volume", "PARCELS"),
     (rf"(?:{_MONEY}|{_GROUPED})\s*(?:Mn|million|Cr|crore|crores|Bn|billion)?\s*Revenue from services", "Revenue from Services", "INR"),
@@ -37,28 +42,38 @@ KPI_RULES = (
 )
 #: Number inside a KPI match; its first alternative stops before a comma.
 KPI_NUMBER = rf"[>~]?\d+(?:\.\d+)?\s*(?:Bn|Mn|million|billion|K)?|{_GROUPED}"
-MONEY_RULE = rf"([A-Z][A-Za-z0-9\s,\(\)]{{3,40}}?)\s*{_VERBS}\s*({_MONEY}\s*{_SCALE}?|{_GROUPED}(?:\.\d+)?\s*(?:million|Cr|crores|billion))"
+MONEY_RULE = rf"([A-Z][A-Za-z0-9\s,\(\)]{{3,40}}?)\s*{_VERBS}\s*({_MONEY}\s*{_SCALE}?|{_GROUPED}(?:\.\d+)?\s*{_SHORT_SCALE})"
 PERCENT_RULE = r"([A-Z][A-Za-z0-9\s]{2,30}?)\s*(?:of|margin|growth|cagr|share)?\s*[:=]?\s*(\d+(?:\.\d+)?\s*%)"
 CHART_RULE = (
     r"(?:Chart|Graph|Figure|Plot|Infographic)\s*[:\-]?\s*([A-Za-z0-9\s,\(\)]{3,40}?)\s*(?:stood at|reached|was|grew to)?\s*"
-    rf"({_MONEY}\s*{_SCALE}?|{_GROUPED}(?:\.\d+)?\s*(?:million|Cr|crores|billion)?)"
+    rf"({_MONEY}\s*{_SCALE}?|{_GROUPED}(?:\.\d+)?\s*{_SHORT_SCALE}?)"
 )
 SKIPPED_LABELS = ("table", "page", "section", "dated")
 RUPEE_MARKS = ("₹", "Rs", "INR", "Cr")
 LONGEST_LABEL = 35
 
 
+# Endings of the names of organisations, words in the names of documents of the state, and who speaks in those.
+ORGANISATIONS = "Limited|Ltd|Corporation|Corp|Bank|Ministry|Department|Government|Inc|LLP|Authority|Council|Institute|Company"
+STATE_DOCUMENTS, STATE = "economic survey|pib|press release|bulletin|budget", "Government of India"
+
+
 @dataclass(frozen=True)
 class Rule:
-    """How matches of a pattern become facts."""
+    """How the matches of patterns become facts: ``patterns`` are (pattern, attribute, unit), None where the match tells."""
 
     number: int
     scope: str
     confidence: float
+    patterns: tuple[tuple[str, str | None, str | None], ...]
     fallback: str | None = None
+    modality: str = "TEXT"
 
 
-KPI, MONEY, PERCENT, CHART = Rule(1, "India", 0.92), Rule(2, "Consolidated", 0.90, "Financial Metric"), Rule(3, "GLOBAL", 0.88), Rule(4, "Consolidated", 0.92, "Visual Chart Metric")
+KPI = Rule(1, "India", 0.92, KPI_RULES)
+MONEY = Rule(2, "Consolidated", 0.90, ((MONEY_RULE, None, None),), "Financial Metric")
+PERCENT = Rule(3, "GLOBAL", 0.88, ((PERCENT_RULE, None, "PERCENT"),))
+CHART = Rule(4, "Consolidated", 0.92, ((CHART_RULE, None, None),), "Visual Chart Metric", "VISUAL_CHART")
 
 
 def rupees_or_dollars(value: Column) -> Column:
@@ -69,66 +84,73 @@ def rupees_or_dollars(value: Column) -> Column:
     return F.when(marked, F.lit("INR")).otherwise(F.lit("USD"))
 
 
-def entity_of_page(doc_name: Column, text: Column) -> Column:
-    """The first organisation that the text names, else one guessed from the document's name."""
-    stem = F.regexp_replace(doc_name, r"^\d+\s*[\-_]?", "")
-    stem = strip(F.translate(F.replace(F.replace(stem, F.lit("-excerpt.pdf"), F.lit("")), F.lit(".pdf"), F.lit("")), "-_", "  "))
-    state = F.regexp_like(F.lower(stem), F.lit("economic survey|pib|press release|bulletin|budget"))
-    kinds = "Limited|Ltd|Corporation|Corp|Bank|Ministry|Department|Government|Inc|LLP|Authority|Council|Institute|Company"
-    named = F.regexp_extract(text, rf"\b([A-Z][A-Za-z0-9&.\s]{{2,35}}\s+(?:{kinds}))\b", 1)
-    return F.when(named != "", strip(named)).when(state, F.lit("Government of India")).otherwise(F.initcap(stem))
-
+def document_speaker(doc_name: Column) -> Column:
+    """Who a document's name tells that it is by: the state, or the name itself without number and endings."""
+    bare = F.translate(short_name(F.regexp_replace(doc_name, r"^\d+\s*[\-_]?", "")), "-_", "  ")
+    return let(strip(bare), lambda stem: F.when(F.regexp_like(F.lower(stem), F.lit(STATE_DOCUMENTS)), F.lit(STATE)).otherwise(title(stem)))
 
-def _matches(pages: DataFrame, pattern: str, label: int | None, value: int | None) -> DataFrame:
-    """One row per match: the page's columns, ``match_pos``, ``m`` (whole), ``label``, ``value``.
 
-    The page is searched once; the parts are read off the short matches.
+def entity_of_page(doc_name: Column, text: Column) -> Column:
+    """The first organisation that the text names, else the document's speaker."""
+    named = F.regexp_extract(text, rf"\b([A-Z][A-Za-z0-9&.\s]{{2,35}}\s+(?:{ORGANISATIONS}))\b", 1)
+    return F.coalesce(F.nullif(strip(named), F.lit("")), document_speaker(doc_name))
+
+
+def _found(rule: Rule, n: int, where: Column) -> Column:
+    """array<struct> of the facts that a pattern finds in ``clean_text``; ``where`` is the note that charts add to their quotes."""
+    pattern, attribute, unit = rule.patterns[n]
+    part = lambda m, i: F.regexp_extract(m, "(?i)^" + pattern, i)
+
+    def fact(m: Column, i: Column) -> Column:
+        quote = strip(m)
+        if attribute is not None:
+            label, name = F.lit(""), F.lit(attribute)
+            number = strip(F.regexp_extract(quote, KPI_NUMBER, 0))
+            value = F.coalesce(F.nullif(number, F.lit("")), quote)
+        else:
+            label, value = part(m, 1), strip(part(m, 2))
+            name = strip(label)
+            if rule.fallback is not None:
+                name = F.when(F.length(name) < LONGEST_LABEL, name).otherwise(F.lit(rule.fallback))
+        if rule is CHART:
+            quote = F.concat(F.lit("[Visual Chart]: "), quote, where)
+        return F.struct(
+            F.lit(rule.number).alias("rule"), F.lit(n).alias("pattern_no"), i.alias("match_pos"), name.alias("attribute"), value.alias("raw_value"),
+            (F.lit(unit) if unit else rupees_or_dollars(value)).alias("canonical_unit"), F.lit(rule.scope).alias("scope"), F.lit(rule.confidence).alias("confidence_score"),
+            quote.alias("verbatim_quote"), F.lit(rule.modality).alias("provenance_modality"), label.alias("label"),
+        )
+
+    facts = F.transform(F.regexp_extract_all("clean_text", F.lit("(?i)" + pattern), F.lit(0)), fact)
+    if rule is MONEY:
+        return F.filter(facts, lambda f: ~F.regexp_like(F.lower(f["label"]), F.lit("|".join(SKIPPED_LABELS))))
+    return F.filter(facts, lambda f: f["raw_value"] != "") if rule is CHART else facts
+
+
+def rule_facts(pages: DataFrame, *rules: Rule) -> DataFrame:
+    """The columns of ``pages`` but its text, with one row per match of the rules' patterns.
+
+    The page is searched once per pattern; the parts are read off the short matches.
     """
-    found = pages.select("*", F.posexplode(F.regexp_extract_all("clean_text", F.lit("(?i)" + pattern), F.lit(0))).alias("match_pos", "m"))
-    part = lambda i: F.regexp_extract("m", "(?i)^" + pattern, i)
-    return found.select("*", *([part(label).alias("label")] if label else []), *([part(value).alias("value")] if value else []))
-
-
-def _facts(found: DataFrame, rule: Rule, attribute: Column, unit: Column, raw: Column, quote: Column, pattern_no: int, modality: str = "TEXT") -> DataFrame:
-    rows = found.select(
-        "*", F.lit(rule.number).alias("rule"), F.lit(pattern_no).alias("pattern_no"), attribute.alias("attribute"), raw.alias("raw_value"),
-        unit.alias("canonical_unit"), F.lit(rule.scope).alias("scope"), F.lit(rule.confidence).alias("confidence_score"),
-        quote.alias("verbatim_quote"), F.lit(modality).alias("provenance_modality"),
-    )
-    return rows.drop("m", "label", "value")
+    where = F.concat(F.lit(" (X-Axis: "), F.col("doc_name"), F.lit(" Pg "), F.col("page_number").cast("string"), F.lit(")"))
+    kept = [c for c in pages.columns if c != "clean_text"]
+    found = F.concat(*(_found(rule, n, where) for rule in rules for n in range(len(rule.patterns))))
+    return spread(pages).select(*kept, F.inline(found)).drop("label")
 
 
 def kpi_facts(pages: DataFrame) -> DataFrame:
-    out = None
-    for n, (pattern, attribute, unit) in enumerate(KPI_RULES):
-        found = _matches(pages, pattern, None, None)
-        quote = strip(F.col("m"))
-        number = strip(F.regexp_extract(quote, KPI_NUMBER, 0))
-        rows = _facts(found, KPI, F.lit(attribute), F.lit(unit), F.when(number != "", number).otherwise(quote), quote, n)
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-def _label(rule: Rule) -> Column:
-    label = strip(F.col("label"))
-    return label if rule.fallback is None else F.when(F.length(label) < LONGEST_LABEL, label).otherwise(F.lit(rule.fallback))
+    return rule_facts(pages, KPI)
 
 
 def money_facts(pages: DataFrame) -> DataFrame:
-    found = _matches(pages, MONEY_RULE, 1, 2).where(~F.regexp_like(F.lower("label"), F.lit("|".join(SKIPPED_LABELS))))
-    value = strip(F.col("value"))
-    return _facts(found, MONEY, _label(MONEY), rupees_or_dollars(value), value, strip(F.col("m")), 0)
+    return rule_facts(pages, MONEY)
 
 
 def percent_facts(pages: DataFrame) -> DataFrame:
-    return _facts(_matches(pages, PERCENT_RULE, 1, 2), PERCENT, _label(PERCENT), F.lit("PERCENT"), strip(F.col("value")), strip(F.col("m")), 0)
+    return rule_facts(pages, PERCENT)
 
 
 def chart_facts(pages: DataFrame) -> DataFrame:
-    found = _matches(pages, CHART_RULE, 1, 2).where(strip(F.col("value")) != "")
-    value = strip(F.col("value"))
-    quote = F.concat(F.lit("[Visual Chart]: "), strip(F.col("m")), F.lit(" (X-Axis: "), F.col("doc_name"), F.lit(" Pg "), F.col("page_number").cast("string"), F.lit(")"))
-    return _facts(found, CHART, _label(CHART), rupees_or_dollars(value), value, quote, 0, "VISUAL_CHART")
+    return rule_facts(pages, CHART)
 
 
 def extract_facts(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -137,14 +159,10 @@ def extract_facts(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     ``chunks`` has ``key``, doc_name, doc_hash, page_number, clean_text. Chunks
     with a null or empty text give nothing.
     """
-    pages = chunks.where(F.col("clean_text") != "").select(key, "doc_name", "doc_hash", "page_number", "clean_text")
-    every = kpi_facts(pages).unionByName(money_facts(pages)).unionByName(percent_facts(pages)).unionByName(chart_facts(pages))
+    pages = spread(chunks.where(F.col("clean_text") != "")).select(
+        key, "doc_name", "doc_hash", "page_number", "clean_text", entity_of_page(F.col("doc_name"), F.col("clean_text")).alias("entity"), page_hints(F.col("clean_text")).alias("hints")
+    )
+    every = rule_facts(pages, KPI, MONEY, PERCENT, CHART)
     first = Window.partitionBy(key, F.lower(strip(F.col("verbatim_quote")))).orderBy("rule", "pattern_no", "match_pos")
     once = every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    hint = temporal_hint(F.col("verbatim_quote"), F.col("clean_text"))
-    return (
-        once.withColumn("entity", entity_of_page(F.col("doc_name"), F.col("clean_text")))
-        .withColumn("canonical_value_num", extracted_number(F.col("raw_value")))
-        .withColumn("temporal", hint)
-        .drop("clean_text")
-    )
+    return once.withColumn("canonical_value_num", extracted_number(F.col("raw_value"))).withColumn("temporal", hinted_period(F.col("verbatim_quote"), F.col("hints"))).drop("hints")

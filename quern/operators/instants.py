@@ -21,6 +21,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
+
 # Month names and their short forms, by number.
 MONTHS = {
     1: "january jan januar jänner enero ene janvier janv janeiro जनवरी января январь",
@@ -73,11 +75,6 @@ def moments(text: Column) -> Column:
     return F.split(F.regexp_replace(t, r"^(.+?) [—–-] (.+)$", bar), _BAR)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _unless_split(pattern: str, to: str):
     return lambda x: F.when(F.contains(x, F.lit(_BAR)), x).otherwise(F.regexp_replace(x, pattern, to))
 
@@ -87,7 +84,7 @@ def _parts(m: Column) -> Column:
     t = F.regexp_replace(F.trim(m), _COMPACT, f"$1{_BAR}$2:$3:$4{_BAR}$5")
     t = F.regexp_replace(t, r":(?=\u0001)", "")
     for pattern, to in ((_DATE_FIRST, f"$1{_BAR}$2{_BAR}$3"), (_TIME_FIRST, f"$3{_BAR}$1{_BAR}$2"), (_DATE_ONLY, f"$1{_BAR}{_BAR}$2")):
-        t = _let(t, _unless_split(pattern, to))
+        t = let(t, _unless_split(pattern, to))
     return F.split(t, _BAR)
 
 
@@ -174,20 +171,20 @@ def utc_text(seconds: Column) -> Column:
 def _moment(m: Column, zone: Column, day_first: Column) -> Column:
     """struct(s, e): first and last UTC second of one moment, null where it states no day."""
     epoch = F.when(m.rlike(r"^\d{10}$"), m.try_cast("bigint")).when(m.rlike(r"^\d{13}$"), F.floor(m.try_cast("bigint") / 1000))
-    return _let(epoch, lambda x: F.when(x.isNotNull(), F.struct(x.alias("s"), x.alias("e"))).otherwise(_let(_parts(m), lambda p: _worded(p, zone, day_first))))
+    return let(epoch, lambda x: F.when(x.isNotNull(), F.struct(x.alias("s"), x.alias("e"))).otherwise(let(_parts(m), lambda p: _worded(p, zone, day_first))))
 
 
 def _worded(p: Column, zone: Column, day_first: Column) -> Column:
     part = lambda i: F.coalesce(F.try_element_at(p, F.lit(i)), F.lit(""))
-    day = _let(F.split(_date_fields(part(1), day_first), _BAR), _days)
+    day = let(F.split(_date_fields(part(1), day_first), _BAR), _days)
     timed = part(2) != ""
-    clock = _let(F.when(timed, _clock(part(2))), _clock_span)
+    clock = let(F.when(timed, _clock(part(2))), _clock_span)
     named = F.nullif(part(3), F.lit(""))
     facts = F.struct(
-        day.alias("d"), timed.alias("t"), clock["c"].alias("c"), clock["n"].alias("n"), _let(named, _offset).alias("o"),
+        day.alias("d"), timed.alias("t"), clock["c"].alias("c"), clock["n"].alias("n"), let(named, _offset).alias("o"),
         F.when(named.isNull(), zone).when(named.contains("/"), F.try_element_at(_region_map(), F.lower(named))).alias("g"),
     )
-    return _let(facts, _seconds)
+    return let(facts, _seconds)
 
 
 def _clock_span(t: Column) -> Column:
@@ -201,7 +198,7 @@ def _clock_span(t: Column) -> Column:
         clock = F.when((f["z"] == 4) & (minute < 60) & (second < 60), hour * 3600 + minute * 60 + second)
         return F.struct(clock.alias("c"), F.when(f["s"].isNotNull(), 1).when(f["m"].isNotNull(), 60).otherwise(3600).alias("n"))
 
-    return _let(fields, span)
+    return let(fields, span)
 
 
 def _seconds(f: Column) -> Column:
@@ -209,7 +206,7 @@ def _seconds(f: Column) -> Column:
     utc = lambda x: F.when(f["o"].isNotNull(), x - f["o"]).when(f["g"].isNotNull(), local_to_utc(x, f["g"]))
     start = f["d"] * 86400 + F.when(f["t"], f["c"]).otherwise(0)
     whole_day = F.struct(utc(start).alias("s"), (utc(start + 86400) - 1).alias("e"))
-    timed = _let(utc(start), lambda s: F.struct(s.alias("s"), (s + f["n"] - 1).alias("e")))
+    timed = let(utc(start), lambda s: F.struct(s.alias("s"), (s + f["n"] - 1).alias("e")))
     return F.when(f["t"], timed).otherwise(whole_day)
 
 
@@ -230,7 +227,7 @@ def stated_span(text: Column, zone: Column, day_first: Column) -> Column:
             F.when(whole, F.when(two, F.try_element_at(x, F.lit(2))["e"]).otherwise(x[0]["e"])).alias("last"),
         )
 
-    return _let(F.transform(moments(text), lambda m: _moment(m, zone, day_first)), span)
+    return let(F.transform(moments(text), lambda m: _moment(m, zone, day_first)), span)
 
 
 def fact_instants(facts: DataFrame, source_docs: DataFrame) -> DataFrame:

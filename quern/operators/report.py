@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import short_name, title
+
 
 def chosen(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     """Rows whose ``column`` is one of ``values``; no values mean no restriction."""
@@ -24,17 +26,6 @@ def case_counts(relations: DataFrame, case: str = "case_type") -> DataFrame:
     return relations.groupBy(F.col(case).alias("case_type")).agg(F.count("*").alias("n"))
 
 
-def short_name(doc: Column) -> Column:
-    """A document's name without its file endings."""
-    return F.replace(F.replace(doc, F.lit("-excerpt.pdf"), F.lit("")), F.lit(".pdf"), F.lit(""))
-
-
-def title(text: Column) -> Column:
-    """Each run of letters with a capital first letter and small others, digits and marks separating runs."""
-    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1_000_000)))), "")
-
-
 def quarantine_report(facts: DataFrame) -> DataFrame:
     c = F.col
     return quarantined(facts).select(

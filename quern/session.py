@@ -70,3 +70,9 @@ def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
 def slices(spark: SparkSession, factor: int = 1) -> int:
     """Partition count that follows the session's shuffle setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer tasks, as of one small file that is costly to compute on."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,28 @@ def test_to_common(raw, unit, quote, dimension, common, expected):
     assert to_common(raw, unit, quote, dimension, common) == expected
 
 
+@pytest.mark.parametrize("raw, value", [
+    ("٣٥ km", 35_000), ("१२.५ km", 12_500), ("12½ km", 12_500), ("½ km", 500), ("1 1/2 km", 1_500), ("(2½) km", -2_500), ("1.2e6 km", 1_200_000_000), ("1.2 x 10^3 km", 1_200_000),
+    ("1.2×10⁻² km", 12), ("two crore km", 20_000_000_000), ("minus twenty-five km", -25_000), ("several km", None), ("n.a.", None), ("", None),
+])
+def test_stated_numbers(raw, value):
+    assert to_common(raw, "COUNT", "", "distance", "KM") == (value if value is None else ("KM", value))
+
+
+@pytest.mark.parametrize("quote, value", [
+    ("(Values are expressed in thousand km) Route 7", 7_000_000), ("Amounts shown in miles; Route 7", 11_265), ("[in lakh km] Route 7", 700_000_000), ("(km, except where noted) Route 7", 7_000),
+    ("Units = m. Route 7", 7), ("[in 2019] (All figures in m) Route 7", 7), ("Route 7 in the period", 7_000), (None, 7_000), ("x" * 200_000, 7_000),
+])
+def test_declared_units(quote, value):
+    assert to_common("7", "RAW", quote, "distance", "KM") == ("KM", value)
+
+
+def test_many_unit_words_in_linear_time():
+    start = time.perf_counter()
+    assert parse_unit("km m ft square mi k lakh rs " * 2500, "distance")[2] is not None
+    assert time.perf_counter() - start < 10
+
+
 def test_unit_exponents():
     assert parse_unit("m^2", "area")[2] == (1, 0) and parse_unit("cubic ft", "volume")[2][0] > 0
     assert parse_unit("kg", "distance") == (None, None, None)
