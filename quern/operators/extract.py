@@ -9,15 +9,17 @@ text travels with the matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.periods import hinted_period, page_hints
 from quern.functions.text import let, short_name, strip, title
 from quern.functions.values import extracted_number
-from quern.session import spread
+from quern.session import checkpointed, spread
 
 # The rules' vocabulary. Money and count amounts, scales, the words between label and value, notes and what follows a label.
 _MONEY = r"(?:₹|Rs\.?|INR|\$)\s*\d+(?:\.\d+)?"
@@ -166,3 +168,43 @@ def extract_facts(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     first = Window.partitionBy(key, F.lower(strip(F.col("verbatim_quote")))).orderBy("rule", "pattern_no", "match_pos")
     once = every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return once.withColumn("canonical_value_num", extracted_number(F.col("raw_value"))).withColumn("temporal", hinted_period(F.col("verbatim_quote"), F.col("hints"))).drop("hints")
+
+
+MODEL_FACT = "entity string, attribute string, raw_value string, canonical_value_num double, canonical_unit string, scope string, confidence_score double, temporal_raw string, verbatim_quote string"
+
+
+def model_facts(chunks: DataFrame, model: Callable[[dict], Iterable[dict]], key: str = "chunk_id") -> DataFrame:
+    """Facts that ``model`` reads from chunks; the rules read those on which it fails.
+
+    ``model`` gets a chunk as a dict (the columns of ``chunks``) and gives dicts
+    with the fields of ``MODEL_FACT``, missing ones being null. Whatever it says
+    of their source, facts belong to their chunk: document, page and modality are
+    the chunk's (charts where the quote says so or the page has pictures). A
+    chunk without text and pictures isn't shown to it. The result has the
+    columns of ``extract_facts`` that both ways have.
+    """
+    fields = [f.split()[0] for f in MODEL_FACT.split(", ")]
+    source = f"{key} {dict(chunks.dtypes)[key]}, doc_name string, doc_hash string, page_number int, provenance_modality string"
+    columns = [c.split()[0] for c in source.split(", ")]
+    has_images = F.coalesce("has_images", F.lit(False)) if "has_images" in chunks.columns else F.lit(False)
+    shown = chunks.where((F.coalesce("clean_text", F.lit("")) != "") | has_images)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for chunk in batch.to_dict("records"):
+                own = [chunk[key], chunk["doc_name"], chunk["doc_hash"], chunk["page_number"]]
+                try:
+                    facts = [dict(f) for f in model(dict(chunk))]
+                except Exception:  # whatever a model raises, the rules take over
+                    rows.append([*own, None, True, *[None] * len(fields)])
+                    continue
+                for f in facts:
+                    chart = "[visual chart]" in str(f.get("verbatim_quote") or "").lower() or chunk.get("has_images") is True
+                    rows.append([*own, CHART.modality if chart else chunk.get("provenance_modality") or "TEXT", False, *(f.get(x) for x in fields)])
+            yield pd.DataFrame(rows, columns=[*columns, "failed", *fields])
+
+    found = checkpointed(shown.mapInPandas(read, f"{source}, failed boolean, {MODEL_FACT}"))
+    kept = [*columns, *(f for f in fields if f != "temporal_raw")]
+    ruled = extract_facts(chunks.join(found.where("failed").select(key).distinct(), key, "left_semi"), key).withColumn("temporal_raw", F.col("temporal.raw"))
+    return found.where("NOT failed").select(*kept, "temporal_raw").unionByName(ruled.select(*kept, "temporal_raw"))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from quern.functions.periods import DISJOINT, EQUAL, PERPETUAL, SUBSET, SUPERSET, interval_relation
 from quern.functions.similarity import (
-    JACCARD_SHARE, RATIO_SHARE, SAME_NAME, compared_text, letter_marks, match_ratio, name_stems, similarity, similarity_bound,
+    JACCARD_SHARE, RATIO_SHARE, SAME_NAME, compared_text, letter_marks, match_ratio, name_stems, similarity,
 )
 from quern.functions.text import strip
 from quern.functions.values import values_match
 from quern.session import checkpointed
 
-# The case names, dimension labels and rationales.
+# The case names, dimension labels and rationales (four more labels in ``classify``).
 CORROBORATION, CONTRADICTION, RECONCILED = "CASE_1_CORROBORATION", "CASE_2_GENUINE_CONTRADICTION", "CASE_3_CONTEXT_RECONCILED"
 CONFLICT = "Value Conflict"
 AGGREGATION = "Aggregation Scope (Quarterly sub-period vs Full Fiscal Year)"
@@ -53,23 +53,6 @@ def candidates(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
     return a.join(b, same & (F.col("a_doc_hash") != F.col("b_doc_hash")) & (F.col("a_ingest_seq") < F.col("b_ingest_seq")))
 
 
-def similar_names(facts: DataFrame, least: float = SAME_NAME) -> DataFrame:
-    """(name_a, name_b, similarity) of different entity spellings that reach ``least``, both ways round.
-
-    The word overlap must be positive for the blend to reach 0.7, so names meet
-    on shared word beginnings; word overlap and lengths bound the blend from
-    above, and only what passes the bound is compared in Python.
-    """
-    from quern.functions.similarity import name_words
-
-    names = facts.select(F.col("entity_raw").alias("name")).where(F.col("name").isNotNull()).distinct()
-    stems = names.select("name", F.explode(F.array_distinct(F.transform(name_words(F.col("name")), lambda w: F.substring(w, 1, 4)))).alias("stem"))
-    left, right = stems.withColumnRenamed("name", "name_a"), stems.withColumnRenamed("name", "name_b")
-    met = left.join(right, "stem").where("name_a <> name_b").select("name_a", "name_b").distinct()
-    possible = met.where(similarity_bound(F.col("name_a"), F.col("name_b")) >= least)
-    return possible.withColumn("similarity", similarity(F.col("name_a"), F.col("name_b"))).where(F.col("similarity") >= least)
-
-
 def _names(side: DataFrame, prefix: str) -> DataFrame:
     """What a side's names, each with its key, are compared by: texts, stems, bits of both, and the attributes they occur with."""
     name, key = f"{prefix}_name", f"{prefix}_entity_canonical"
@@ -114,6 +97,24 @@ def _near_names(a: DataFrame, b: DataFrame, least: float = SAME_NAME) -> DataFra
     return matched.where(equal | (blend(c("jaccard"), c("ratio")) >= least)).select(*pair, F.explode("attributes").alias("attribute"))
 
 
+def similar_names(facts: DataFrame, least: float = SAME_NAME) -> DataFrame:
+    """(name_a, name_b, similarity) of different entity spellings that reach ``least``, both ways round.
+
+    Only the texts that are compared count, and many spellings share one: each
+    pair of those is bounded and matched once (``_near_names``), then spelt out.
+    """
+    names = facts.select(F.col("entity_raw").alias("raw")).where(F.col("raw").isNotNull()).distinct()
+    texts = checkpointed(names.select("raw", compared_text(F.col("raw")).alias("name")))
+    distinct = texts.select(F.col("name").alias("a_name"), F.col("name").alias("a_entity_canonical"), F.lit("").alias("a_attribute_canonical")).distinct()
+    read = checkpointed(_names(distinct, "a"))
+    near = _near_names(read, read.withColumnsRenamed({c: f"b_{c[2:]}" for c in read.columns if c != "stem"}), least).select("a_name", "b_name")
+    scored = near.withColumn("similarity", similarity(F.col("a_name"), F.col("b_name")))
+    # spellings of one text: its words and letters are the same
+    same = read.where(F.size("a_stems") > 0).select("a_name", F.col("a_name").alias("b_name"), F.lit(JACCARD_SHARE + RATIO_SHARE).alias("similarity")).distinct()
+    side = lambda p: texts.select(F.col("raw").alias(f"name_{p}"), F.col("name").alias(f"{p}_name"))
+    return scored.unionByName(same).join(side("a"), "a_name").join(side("b"), "b_name").where(f"name_a <> name_b AND similarity >= {least}").select("name_a", "name_b", "similarity")
+
+
 def fuzzy_candidates(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
     """``candidates`` plus the pairs whose entity spellings differ in key but are similar enough.
 
@@ -165,6 +166,7 @@ def classify(pairs: DataFrame) -> DataFrame:
     aligned = c("relation").isin(EQUAL, PERPETUAL)
     settled = aligned & c("same_scope") & c("same_unit")
     case = F.when(settled & c("same_value"), F.lit(CORROBORATION)).when(settled, F.lit(CONTRADICTION)).otherwise(F.lit(RECONCILED))
+    # The labels of the dimensions, and None for a missing value.
     text = lambda x: F.coalesce(x, F.lit("None"))
     versus = lambda label, x: F.concat(F.lit(label + " ("), text(c(f"a_{x}")), F.lit(" vs "), text(c(f"b_{x}")), F.lit(")"))
     time = (
@@ -192,7 +194,6 @@ def relationships(pairs: DataFrame) -> DataFrame:
 
 def recorded_pairs(relations: DataFrame, facts: DataFrame) -> DataFrame:
     """Recorded relationships with both facts (a_*, b_*); rows with an unknown or null id are dropped."""
-    kept = [x for x in FACT_COLUMNS if x in facts.columns]
-    side = lambda p: facts.select(*(F.col(x).alias(f"{p}_{x}") for x in kept))
+    side = lambda p: facts.select(*(F.col(x).alias(f"{p}_{x}") for x in facts.columns))
     rows = relations.select("id", F.col("fact_id_a").alias("a_fact_id"), F.col("fact_id_b").alias("b_fact_id"), F.col("case_type").alias("recorded_case"))
     return rows.join(side("a"), "a_fact_id").join(side("b"), "b_fact_id")

@@ -87,3 +87,27 @@ def scorecard(scores: Column, passed_from: float = 8.0) -> Column:
 
 def relative_scale_error(a: Column, b: Column) -> Column:
     return F.try_divide(F.abs(a - b), F.greatest(a, b))
+
+
+def document_names(facts: DataFrame) -> DataFrame:
+    """(source_doc_name): the documents, in order."""
+    return facts.select("source_doc_name").where("source_doc_name IS NOT NULL").distinct().orderBy("source_doc_name")
+
+
+def is_visual_badge(modality: Column) -> Column:
+    """Whether a fact is shown with the badge of visual charts."""
+    return F.coalesce((modality == "VISUAL_CHART") | F.contains(F.lower(modality), F.lit("visual chart")), F.lit(False))
+
+
+def card_title(entity: Column, attribute: Column) -> Column:
+    """Entity and attribute of an evidence card."""
+    named = lambda c, none: F.coalesce(F.nullif(title(c), F.lit("")), F.lit(none))
+    return F.concat(named(entity, "Entity"), F.lit(" — "), named(F.replace(attribute, F.lit("_"), F.lit(" ")), "Attribute"))
+
+
+def evidence_cards(pairs: DataFrame) -> DataFrame:
+    """(id, title, document_a, page_a, visual_a, document_b, page_b, visual_b, bounds_differ) of recorded pairs."""
+    c = F.col
+    side = lambda p: (short_name(c(f"{p}_source_doc_name")).alias(f"document_{p}"), c(f"{p}_page_number").alias(f"page_{p}"), is_visual_badge(c(f"{p}_provenance_modality")).alias(f"visual_{p}"))
+    differ = bounds_differ(c("a_start_date"), c("a_end_date"), c("b_start_date"), c("b_end_date"))
+    return pairs.select("id", card_title(c("a_entity_raw"), c("a_attribute_raw")).alias("title"), *side("a"), *side("b"), differ.alias("bounds_differ"))

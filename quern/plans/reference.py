@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import periods, similarity, text, values
 from quern.operators import extract, gate, reconcile, report
-from quern.session import table
+from quern.session import ensure_checkpoint_dir, table
 from quern.sources import pages, schemas, store
 from quern.streaming import ingest
 
@@ -86,7 +89,7 @@ def q11_quarter_interval(spark, sf_dir):
 
 
 def q12_exact_date(spark, sf_dir):
-    return _periods(spark, sf_dir).where("granularity IN ('EXACT_DATE', 'PERPETUAL')").na.fill("", ["temporal_raw", "start_date", "end_date"])
+    return _periods(spark, sf_dir).where("granularity IN ('EXACT_DATE', 'PERPETUAL')")
 
 
 def q13_extractor_number(spark, sf_dir):
@@ -323,4 +326,70 @@ def q48_gate_near(spark, sf_dir):
     return _gated(spark, sf_dir, fuzzy=True)
 
 
+def q49_documents_without_pictures(spark, sf_dir):
+    """Facts of documents of which no page with a picture is stored, as an anti join that leaves rows."""
+    stored = _chunks(spark, sf_dir, "doc_hash", "has_images").where("has_images")
+    return store.unseen_documents(_facts(spark, sf_dir, "ingest_seq", "doc_hash"), stored).select("ingest_seq")
+
+
+def q50_cases_chosen(spark, sf_dir):
+    """Relationships by chosen case, for each case and for none, which means all."""
+    plain = F.upper(F.regexp_replace(F.regexp_replace("case_type", r"^\s+|\s+$", ""), r"[\s_]+", "_"))
+    rows = table(spark, sf_dir, "relationships", "id", "case_type").withColumn("case_type", plain)
+    choices = {"All": [], "1": [reconcile.CORROBORATION], "2": [reconcile.CONTRADICTION], "3": [reconcile.RECONCILED]}
+    shown = [report.chosen(rows, "case_type", cases).select(F.lit(name).alias("choice"), "id") for name, cases in choices.items()]
+    return reduce(lambda a, b: a.unionByName(b), shown)
+
+
+def q51_document_names(spark, sf_dir):
+    return report.document_names(_facts(spark, sf_dir, "source_doc_name"))
+
+
+def q52_ingest_totals(spark, sf_dir):
+    facts = _facts(spark, sf_dir, "fact_id", "source_doc_name", "ingest_seq")
+    return store.ingest_totals(facts, table(spark, sf_dir, "relationships", "fact_id_a", "fact_id_b"))
+
+
+def q53_evidence_cards(spark, sf_dir):
+    facts = reconcile.latest(_facts(spark, sf_dir, "fact_id", "entity_raw", "attribute_raw", "source_doc_name", "page_number", "provenance_modality", "start_date", "end_date", "ingest_seq"))
+    return report.evidence_cards(reconcile.recorded_pairs(table(spark, sf_dir, "relationships", "id", "fact_id_a", "fact_id_b", "case_type"), facts))
+
+
+def q54_scale_error(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).where("greatest(a_canonical_value_num, b_canonical_value_num) > 0 AND a_canonical_value_num IS NOT NULL AND b_canonical_value_num IS NOT NULL")
+    return pairs.select("id", F.round(report.relative_scale_error(F.col("a_canonical_value_num"), F.col("b_canonical_value_num")), _R).alias("error"))
+
+
+def q55_macro_scores(spark, sf_dir):
+    found = reconcile.classify(_pairs(spark, sf_dir))
+    plain = F.upper(F.regexp_replace(F.regexp_replace("recorded_case", r"^\s+|\s+$", ""), r"[\s_]+", "_"))
+    macro = report.macro_scores(report.classification_scores(found.withColumn("truth", plain), "truth", "case_type"))
+    score = report.scorecard(F.array(*(F.col(x) * 10 for x in ("precision", "recall", "f1"))))
+    return macro.select(*(F.round(x, _R).alias(x) for x in ("precision", "recall", "f1")), F.round(score["score"], _R).alias("score"), score["passed"].alias("passed"))
+
+
+def q56_values_match_texts(spark, sf_dir):
+    """Agreement of recorded pairs' values as numbers or, where one has none, as texts."""
+    same = values.values_match(F.col("a_canonical_value_num"), F.col("a_canonical_value_str"), F.col("b_canonical_value_num"), F.col("b_canonical_value_str"))
+    both = F.col("a_canonical_value_num").isNotNull() & F.col("b_canonical_value_num").isNotNull()
+    # a number written as text looks differently in every engine
+    pairs = _pairs(spark, sf_dir).where(both | (F.col("a_canonical_value_num").isNull() & F.col("b_canonical_value_num").isNull()))
+    return pairs.select("id", same.alias("same_value"))
+
+
+def q57_dimensions_json(spark, sf_dir):
+    return table(spark, sf_dir, "relationships", "id", "differing_dimensions").select("id", schemas.dimensions_json(F.col("differing_dimensions")).alias("dimensions"))
+
+
+def q58_store_two_batches(spark, sf_dir):
+    """The whole table through the store in two batches of documents: its relationships as cases."""
+    ensure_checkpoint_dir(spark)
+    kept = store.FactStore(spark, f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/store-{uuid.uuid4().hex}")
+    facts = schemas.conform(_facts(spark, sf_dir), schemas.FACTS)
+    late = F.pmod(F.xxhash64("doc_hash"), F.lit(2)) == 1
+    for n, batch in enumerate((facts.where(~late), facts.where(late).withColumn("ingest_seq", F.col("ingest_seq") + 10**15))):
+        kept.ingest(batch, batch_id=f"q{n}")
+    return kept.relationships().groupBy("case_type").agg(F.count("*").alias("pairs"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit()}

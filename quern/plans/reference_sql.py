@@ -110,8 +110,8 @@ p AS (SELECT *, {pick('NULL', q_start, "y0 || '-04-01'", "yc || '-01-01'", 'iso'
   coalesce({pick("'PERPETUAL'", "'QUARTER'", "'YEAR'", "'YEAR'", "'EXACT_DATE'")}, 'UNKNOWN') AS granularity2 FROM e)"""
 
 
-def periods(where: str, fill: bool = False) -> str:
-    out = ("coalesce({0}, '') AS {1}" if fill else "{0} AS {1}").format
+def periods(where: str) -> str:
+    out = "{0} AS {1}".format
     return (
         f"WITH s AS (SELECT DISTINCT temporal_raw FROM facts), {stated('s')} SELECT {out('temporal_raw', 'temporal_raw')}, {out('start_date2', 'start_date')}, "
         f"{out('end_date2', 'end_date')}, granularity2 AS granularity FROM p WHERE {where}"
@@ -236,6 +236,8 @@ classified AS (SELECT *, {CASE} AS case_type, {_DIMS} AS dims FROM tested)"""
 _STEMS = lambda n: f"list_distinct(list_transform({_KEPT(n)}, lambda w: w[1:4]))"
 _KEPT = lambda n: f"CASE WHEN len(list_filter({token_list(n)}, lambda w: w NOT IN ({names(NAME_NOISE)}))) > 0 THEN list_filter({token_list(n)}, lambda w: w NOT IN ({names(NAME_NOISE)})) ELSE {token_list(n)} END"
 _SHORT = "replace(replace(source_doc_name, '-excerpt.pdf', ''), '.pdf', '')"
+_TITLE = lambda e, none: f"coalesce(nullif(array_to_string(list_transform(regexp_extract_all({e}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1:1]) || lower(w[2:])), ''), ''), {q(none)})"
+_CARD = lambda t: f"replace(replace({t}.source_doc_name, '-excerpt.pdf', ''), '.pdf', '') AS document_{t}, {t}.page_number AS page_{t}, coalesce({t}.provenance_modality = 'VISUAL_CHART' OR contains(lower({t}.provenance_modality), 'visual chart'), false) AS visual_{t}"
 _VALID = "NOT coalesce(is_quarantined, false)"
 _PLAIN = "upper(regexp_replace(regexp_replace({}, '^\\s+|\\s+$', '', 'g'), '[\\s_]+', '_', 'g'))"
 
@@ -264,7 +266,7 @@ UNION ALL SELECT chunk_id, 0, CASE WHEN bare THEN 50 ELSE {tokens('c')} END, sha
     "q09_fiscal_interval": periods("granularity2 = 'YEAR' AND start_date2 LIKE '%-04-01'"),
     "q10_calendar_interval": periods("granularity2 = 'YEAR' AND start_date2 LIKE '%-01-01'"),
     "q11_quarter_interval": periods("granularity2 = 'QUARTER'"),
-    "q12_exact_date": periods("granularity2 IN ('EXACT_DATE', 'PERPETUAL')", fill=True),
+    "q12_exact_date": periods("granularity2 IN ('EXACT_DATE', 'PERPETUAL')"),
     "q13_extractor_number": f"SELECT DISTINCT raw_value, round({extracted('raw_value')}, 2) AS value FROM facts",
     "q14_temporal_hint": f"WITH {PAGED}, {hint('paged', 'verbatim_quote', 'page_text')} SELECT ingest_seq, hint_start AS start_date, hint_end AS end_date, hint_granularity AS granularity, hint_raw AS raw FROM h",
     "q15_jaccard_prefix": f"""
@@ -348,4 +350,27 @@ WITH v AS (
   UNION ALL SELECT 'provenance_modality' FROM facts WHERE provenance_modality IS NOT NULL AND provenance_modality NOT IN ('TEXT', 'VISUAL_CHART', 'HYBRID')
   UNION ALL SELECT 'fact_id' FROM facts WHERE fact_id IS NULL UNION ALL SELECT 'doc_hash' FROM facts WHERE doc_hash IS NULL
 ) SELECT broken, count(*) AS n FROM v GROUP BY broken""",
+    "q49_documents_without_pictures": "SELECT ingest_seq FROM facts f WHERE NOT EXISTS (SELECT 1 FROM page_chunks c WHERE c.doc_hash = f.doc_hash AND c.has_images)",
+    "q50_cases_chosen": f"""
+WITH r AS (SELECT id, {_PLAIN.format('case_type')} AS c FROM relationships)
+SELECT 'All' AS choice, id FROM r UNION ALL SELECT '1', id FROM r WHERE c = 'CASE_1_CORROBORATION' UNION ALL SELECT '2', id FROM r WHERE c = 'CASE_2_GENUINE_CONTRADICTION'
+UNION ALL SELECT '3', id FROM r WHERE c = 'CASE_3_CONTEXT_RECONCILED'""",
+    "q51_document_names": "SELECT DISTINCT source_doc_name FROM facts WHERE source_doc_name IS NOT NULL",
+    "q52_ingest_totals": f"""
+WITH {LATEST}, n AS (SELECT a.source_doc_name, count(*) AS n FROM relationships l JOIN latest a ON a.fact_id = l.fact_id_b GROUP BY 1)
+SELECT f.source_doc_name, count(*) AS facts, coalesce(any_value(n.n), 0) AS relations FROM facts f LEFT JOIN n USING (source_doc_name) GROUP BY 1""",
+    "q53_evidence_cards": f"""
+WITH {LATEST}
+SELECT l.id, {_TITLE('a.entity_raw', 'Entity')} || ' — ' || {_TITLE("replace(a.attribute_raw, '_', ' ')", 'Attribute')} AS title, {_CARD('a')}, {_CARD('b')},
+  a.start_date IS NOT NULL AND b.start_date IS NOT NULL AND (a.start_date <> b.start_date OR a.end_date IS DISTINCT FROM b.end_date) AS bounds_differ {RECORDED}""",
+    "q54_scale_error": f"""
+WITH {LATEST}
+SELECT l.id, round(abs(a.canonical_value_num - b.canonical_value_num) / greatest(a.canonical_value_num, b.canonical_value_num), 6) AS error {RECORDED}
+WHERE a.canonical_value_num IS NOT NULL AND b.canonical_value_num IS NOT NULL AND greatest(a.canonical_value_num, b.canonical_value_num) > 0""",
+    "q56_values_match_texts": f"WITH {LATEST} SELECT l.id, {SAME_VALUE} AS same_value {RECORDED} WHERE (a.canonical_value_num IS NULL) = (b.canonical_value_num IS NULL)",
+    "q57_dimensions_json": "SELECT id, '[' || array_to_string(list_transform(differing_dimensions, lambda d: '\"' || replace(replace(d, '\\', '\\\\'), '\"', '\\\"') || '\"'), ', ') || ']' AS dimensions FROM relationships",
 }
+SQL["q55_macro_scores"] = f"""
+WITH s AS ({SQL["q40_metrics"].replace("round(pre, 6) AS precision, round(rec, 6) AS recall, round(coalesce(2 * pre * rec / nullif(pre + rec, 0), 0.0), 6) AS f1", "pre, rec, coalesce(2 * pre * rec / nullif(pre + rec, 0), 0.0) AS f")}),
+m AS (SELECT avg(pre) AS p, avg(rec) AS r, avg(f) AS f FROM s), k AS (SELECT *, 10 * (p + r + f) / 3 AS k FROM m)
+SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round(k, 6) AS score, k >= 8 AS passed FROM k"""

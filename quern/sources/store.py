@@ -1,23 +1,39 @@
 """The fact store: an append-only log of deliveries, with incremental reconciliation.
 
-Two parquet tables under one folder: ``facts`` (partitioned by batch) and
-``relationships``. The current state of a fact is its last delivery
-(``reconcile.latest``); nothing is rewritten, so a batch is one atomic append
-and a reader never sees half of it.
+Two parquet tables under one folder, ``facts`` and ``relationships``, each with a
+partition per batch. The current state of a fact is its last delivery
+(``reconcile.latest``). A batch replaces its own partitions, relationships first
+and facts last, and its relationships are seen only with its facts: a batch that
+failed half-way shows nothing, and one that is replayed adds nothing twice.
+
+Within a batch, facts lie in buckets of their attribute, so that a later batch is
+compared with the buckets of its own attributes only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.periods import stated_period
 from quern.functions.text import attribute_key, entity_key, fact_id, strip
 from quern.functions.values import value_and_unit
 from quern.operators.reconcile import candidates, fuzzy_candidates, latest, relationships
-from quern.session import checkpointed
+from quern.session import checkpointed, collect_bounded
 from quern.sources.schemas import FACTS, RELATIONSHIPS, conform
 
+#: Buckets of attributes that a batch's facts are laid out in.
+BUCKETS = 32
+_PLACE = {
+    "facts": [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())],
+    "relationships": [T.StructField("batch", T.StringType())],
+}
+
+
+def attribute_bucket(attribute: Column) -> Column:
+    return F.pmod(F.xxhash64(attribute), F.lit(BUCKETS)).cast("int")
+
 
 def canonicalize(facts: DataFrame) -> DataFrame:
     """Facts with canonical keys, value, unit and period, as they enter the store.
@@ -50,15 +66,23 @@ class FactStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, name: str, schema) -> DataFrame:
+    def _exists(self, name: str) -> bool:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+    def _read(self, name: str, schema: T.StructType) -> DataFrame:
+        placed = T.StructType([*schema.fields, *_PLACE[name]])
+        return self.spark.read.schema(placed).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], placed)
+
+    def _write(self, rows: DataFrame, name: str, batch_id: str, *by: str) -> None:
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{name}/batch={batch_id}")
+
+    def _placed(self) -> DataFrame:
+        return self._read("facts", FACTS)
 
     def deliveries(self) -> DataFrame:
         """Every delivery."""
-        return self._read("facts", FACTS)
+        return self._placed().select(*FACTS.names)
 
     def facts(self) -> DataFrame:
         """The current facts."""
@@ -68,7 +92,8 @@ class FactStore:
         return self.facts().where("is_quarantined")
 
     def relationships(self) -> DataFrame:
-        return self._read("relationships", RELATIONSHIPS)
+        """The relationships of the batches whose facts are stored."""
+        return self._read("relationships", RELATIONSHIPS).join(self._placed().select("batch").distinct(), "batch", "left_semi").select(*RELATIONSHIPS.names)
 
     def has_document(self, doc_hash: str) -> bool:
         return not self.deliveries().where(F.col("doc_hash") == doc_hash).isEmpty()
@@ -78,22 +103,45 @@ class FactStore:
             hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-    def ingest(self, batch: DataFrame, fuzzy: bool = True) -> DataFrame:
+    def _current(self, stored: DataFrame, buckets: list[int]) -> DataFrame:
+        """The current facts in ``buckets``: whole rows are read of those only, of the others just ids and numbers."""
+        last = stored.groupBy("fact_id").agg(F.max("ingest_seq").alias("ingest_seq"))
+        return stored.where(F.col("bucket").isin(*buckets)).join(last, ["fact_id", "ingest_seq"], "left_semi").select(*FACTS.names)
+
+    def ingest(self, batch: DataFrame, fuzzy: bool = True, batch_id: str | None = None) -> DataFrame:
         """Adds a batch and returns the new relationships.
 
         Facts of documents that are already stored are dropped. The rest is
         canonicalised and compared with what was there and within the batch
         (different documents only, by ``ingest_seq``); pairs of old facts are
-        never looked at again. Relationships are written first and facts last,
-        so a batch that failed half-way is not taken for stored.
+        never looked at again.
+
+        ``batch_id`` names the batch's partitions; without it they are named by
+        the batch's content. A batch that comes again under its name replaces
+        what it wrote before, and is compared as if it hadn't been there.
         """
-        stored = self.deliveries()
-        # checkpoints, as caches of plans over the store's own files are dropped when it is written
-        fresh = checkpointed(conform(canonicalize(unseen_documents(conform(batch, FACTS), stored)), FACTS))
+        given = checkpointed(conform(batch, FACTS))
+        if batch_id is None:
+            sums = given.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*FACTS.names).cast("decimal(38,0)")).alias("h")).first()
+            batch_id = f"c{sums['n']}_{abs(sums['h'] or 0)}"
+        stored = self._placed().where(F.col("batch") != batch_id)
+        # checkpoints, as plans over the store's own files must not be read after those are replaced
+        fresh = checkpointed(conform(canonicalize(unseen_documents(given, stored)), FACTS).withColumn("bucket", attribute_bucket(F.col("attribute_canonical"))))
         if fresh.isEmpty():
             return self.spark.createDataFrame([], RELATIONSHIPS)
-        pairs = (fuzzy_candidates if fuzzy else candidates)(latest(stored).unionByName(fresh), fresh)
+        buckets = [r[0] for r in collect_bounded(fresh.select("bucket").distinct(), BUCKETS, "buckets")]
+        new = fresh.select(*FACTS.names)
+        pairs = (fuzzy_candidates if fuzzy else candidates)(self._current(stored, buckets).unionByName(new), new)
         found = checkpointed(relationships(pairs))
-        found.write.mode("append").parquet(f"{self.path}/relationships")
-        fresh.write.mode("append").parquet(f"{self.path}/facts")
+        self._write(found, "relationships", batch_id)
+        self._write(fresh, "facts", batch_id, "bucket")
         return found
+
+
+def ingest_totals(facts: DataFrame, relations: DataFrame) -> DataFrame:
+    """(source_doc_name, facts, relations): extracted facts of each document and the relationships that its facts added as the newer side."""
+    by_doc = facts.groupBy("source_doc_name").agg(F.count("*").alias("facts"))
+    newer = relations.select(F.col("fact_id_b").alias("fact_id")).join(latest(facts).select("fact_id", "source_doc_name"), "fact_id")
+    return by_doc.join(newer.groupBy("source_doc_name").agg(F.count("*").alias("relations")), "source_doc_name", "left").select(
+        "source_doc_name", "facts", F.coalesce("relations", F.lit(0)).alias("relations")
+    )

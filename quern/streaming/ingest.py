@@ -18,10 +18,10 @@ def stream_facts(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 def ingest_stream(facts: DataFrame, store: FactStore, checkpoint: str, fuzzy: bool = True, once: bool = True) -> StreamingQuery:
     """Runs every micro-batch through ``FactStore.ingest``.
 
-    A batch that is replayed after a failure finds its documents stored and
-    adds nothing, so the result is the same however often it runs.
+    A batch that is replayed after a failure, wherever that was, replaces what
+    it wrote itself, so the result is the same however often it runs.
     """
-    writer = facts.writeStream.foreachBatch(lambda batch, _: store.ingest(batch, fuzzy)).option("checkpointLocation", checkpoint)
+    writer = facts.writeStream.foreachBatch(lambda batch, n: store.ingest(batch, fuzzy, f"s{n}")).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 

@@ -1,9 +1,12 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions.values import typed_values_match
 from quern.operators import extract, gate, reconcile, report
 from quern.sources import pages
-from quern.sources.schemas import FACTS, PAGE_CHUNKS, conform, nested, violations
+from quern.sources.schemas import FACTS, PAGE_CHUNKS, conform, dimensions_json, nested, violations
 from quern.sources.store import FactStore
 from quern.streaming.ingest import event_windows, first_deliveries, ingest_stream, sessions, stream_facts
 from tests.conftest import rows
@@ -166,3 +169,75 @@ def test_reports(spark):
     assert report.macro_scores(report.classification_scores(labelled, "t", "t")).first()["f1"] == 1.0
     card = spark.range(1).select(report.scorecard(F.array(F.lit(12.0), F.lit(8.0), F.lit(-1.0))).alias("s"), report.relative_scale_error(F.lit(7.241e10), F.lit(7.241e10)).alias("e"), report.bounds_differ(F.lit("1"), F.lit(None), F.lit("1"), F.lit("2")).alias("d")).first()
     assert card["s"]["score"] == 6.0 and not card["s"]["passed"] and card["e"] == 0.0 and card["d"]
+
+
+def test_store_survives_a_failure_between_its_writes(spark, tmp_path):
+    folder = tmp_path / "store"
+    one = facts(spark, dict(raw_value="5 crore"))
+    two = facts(spark, dict(raw_value="5 crore", doc_hash="h2", fact_id="g1", ingest_seq=2), dict(raw_value="6 crore", doc_hash="h3", fact_id="g2", ingest_seq=3))
+    for batch_id in (None, "s7"):
+        store = FactStore(spark, str(folder / str(batch_id)))
+        store.ingest(one)
+        parts = lambda: {p for p in (folder / str(batch_id) / "facts").iterdir() if p.is_dir()}
+        before = parts()
+        whole = rows(store.ingest(two, batch_id=batch_id))
+        assert len(whole) == 3 and rows(store.relationships()) == whole
+        # as if the job had died after the relationships and before the facts
+        for part in parts() - before:
+            shutil.rmtree(part)
+        store = FactStore(spark, str(folder / str(batch_id)))
+        assert store.has_document("h2") is False and store.relationships().isEmpty()
+        assert rows(store.ingest(two, batch_id=batch_id)) == whole
+        assert rows(store.relationships()) == whole and store.deliveries().count() == 3
+        # a replay after success
+        store.ingest(two, batch_id=batch_id)
+        assert rows(store.relationships()) == whole and store.deliveries().count() == 3
+
+
+def test_model_facts(spark):
+    chunks = spark.createDataFrame(
+        [(1, "a.pdf", "h", 1, "Revenue 5", False), (2, "a.pdf", "h", 2, "Gross margin: 24% in FY24.", False), (3, "a.pdf", "h", 3, "", False), (4, "a.pdf", "h", 4, "", True)],
+        "chunk_id long, doc_name string, doc_hash string, page_number int, clean_text string, has_images boolean",
+    )
+
+    def model(chunk):
+        if chunk["chunk_id"] == 2:
+            raise RuntimeError("no answer")
+        return [{"entity": "E", "attribute": "A", "raw_value": "5", "verbatim_quote": chunk["clean_text"], "doc_hash": "made up", "page_number": 99}]
+
+    got = {r["chunk_id"]: r for r in extract.model_facts(chunks, model).collect()}
+    assert set(got) == {1, 2, 4} and {(r["doc_hash"], r["page_number"]) for r in got.values()} == {("h", 1), ("h", 2), ("h", 4)}
+    assert (got[1]["provenance_modality"], got[4]["provenance_modality"], got[2]["raw_value"], got[2]["temporal_raw"]) == ("TEXT", "VISUAL_CHART", "24%", "FY24 (page context)")
+
+
+def test_buffers_and_pages(spark):
+    files = pages.read_buffers(spark, [("a.txt", b"one\ftwo"), (None, memoryview(b"three"))])
+    chunks = pages.chunk_pages(pages.text_pages(files))
+    got = pages.page_records(chunks)
+    assert len(got.columns) == 7 and {r["source_doc_name"] for r in got.collect()} == {"a.txt", "document.pdf"}
+    assert rows(pages.first_pages(chunks, 1).select("clean_text")) == [("one",), ("three",)]
+
+
+def test_dimensions_as_json(spark):
+    import json
+
+    texts = [["a", "b"], [], ['q"\\', "₹ 5\n\t", "🚚\x7f\x01"], None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d array<string>")
+    got = [r[0] for r in df.orderBy("i").select(dimensions_json(F.col("d"))).collect()]
+    assert got[3] is None and [json.loads(g) for g in got[:3]] == texts[:3]
+    assert got[0] == json.dumps(texts[0]) and got[2] == json.dumps(texts[2])
+
+
+def test_cards_and_totals(spark):
+    assert spark.range(1).select(report.card_title(F.lit("d-mart o'neil"), F.lit("net_sales"))).first()[0] == "D-Mart O'Neil — Net Sales"
+    assert spark.range(1).select(report.card_title(F.lit(""), F.lit(None).cast("string"))).first()[0] == "Entity — Attribute"
+    assert rows(report.document_names(facts(spark, {}, {}))) == rows(facts(spark, {}).select("source_doc_name"))
+
+
+def test_typed_values(spark):
+    c = F.col
+    cases = [((1.0, None, None), (None, None, True), True), ((0.0, None, None), (None, None, True), False), ((None, None, True), (None, None, False), False), ((None, "x", None), (None, None, True), True),
+             ((None, "", None), (None, None, False), True), ((None, "A ", None), (None, "a", None), True), ((None, None, None), (None, None, True), False)]
+    df = spark.createDataFrame([(*a, *b, w) for a, b, w in cases], "na double, sa string, ba boolean, nb double, sb string, bb boolean, want boolean")
+    got = df.select(typed_values_match(c("na"), c("sa"), c("ba"), c("nb"), c("sb"), c("bb")), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]

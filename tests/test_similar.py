@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import reconcile
 from quern.plans import registry
+from quern.session import checkpointed
 from tests.conftest import rows
 from tests.test_reconcile import KEYED, facts
 
@@ -40,7 +41,7 @@ def table(spark):
             "entity_raw": NAMES[i], "entity_canonical": key, "attribute_canonical": "revenue" if n % 4 else "debt", "doc_hash": f"h{n % 6}", "is_quarantined": n % 9 == 8,
             "canonical_value_num": float(100 + n % 3), "scope": "CONSOLIDATED" if n % 2 else "India",
         })
-    return facts(spark, *changes).localCheckpoint()
+    return checkpointed(facts(spark, *changes))
 
 
 def brute(df):
