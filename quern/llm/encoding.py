@@ -1,48 +1,64 @@
 """Texts that were decoded with the wrong code page, found and restored.
 
-The garbled characters of a source are a substitution cipher: each *unit*, the
-characters that a code page shows for the bytes of one letter, stands for a
-letter that is unknown as long as the code page is. Which letters come into
-question follows from a list of code pages; which one it is, or whether the
-characters are genuine, is learnt by expectation-maximisation per source against
-the bigrams of the undamaged texts of the whole corpus:
-
-1. characters of the corpus are counted (its alphabet),
+The garbled characters of a source are a substitution cipher: each *unit* stands
+for a letter that is unknown as long as the code page is. A unit is either what a
+code page shows for the UTF-8 bytes of one letter, or one character, where the
+bytes were of another code page (a swap). Which letters come into question
+follows from all single-byte code pages that Python knows; which one it is, or
+whether the characters are genuine, is learnt by expectation-maximisation per
+source against the bigrams of the undamaged texts of the whole corpus:
+
+1. the characters in use are collected (the corpus's alphabet),
 2. bigrams around non-ASCII characters are counted over texts that are mostly
    free of suspicious units (the language model), and contexts of all units,
 3. per source, EM alternates between the posterior of each reading of a unit in
    its contexts and the source's mapping from unit to letter,
-4. each text is rewritten: its units become cipher symbols, ``translate()`` turns
-   the symbols into letters, again and again for texts damaged more than once.
-
-Steps 1 and 2 only shuffle counts that are summed per task before. What reaches
-the driver are the alphabet and the bigrams, bounded by the characters in use.
+4. texts whose characters are improbable under the model are counted once more,
+   as bigrams of symbols; per source and script shown, EM over those learns the
+   mapping of a swap, from the likeliest pair of code pages on,
+5. each text is rewritten: its units become cipher symbols, ``translate()`` turns
+   the symbols into letters, until nothing changes; a swap is applied with
+   ``translate()`` alone, to texts that it makes far likelier.
+
+Steps 1, 2 and 4 only shuffle counts that are summed per task before. What reaches
+the driver are the alphabet and those bigrams that a unit can be part of, bounded
+by the characters in use.
 """
 
 from __future__ import annotations
 
+import encodings
 import math
+import pkgutil
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import collect_bounded
+from quern.session import checkpointed, collect_bounded, spread
 
-# Code pages that texts get mistaken for.
-CODE_PAGES = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-15", "koi8-r", "cp866")
+# The code pages that come first where several explain a text equally well.
+USUAL_PAGES = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "iso8859-15", "koi8-r", "cp866")
 LOST = "�"
-#: Prior of a suspicious unit being damage, EM rounds, passes over a text damaged repeatedly, reliability of a text's likeliest page.
-DAMAGED, ROUNDS, PASSES, HINT = 0.05, 12, 4, 0.995
-#: Bounds of what the driver collects: characters in use and their bigrams.
-MAX_ALPHABET, MAX_BIGRAMS = 1_200_000, 5_000_000
+#: Prior of a suspicious unit being damage, EM rounds, prior of a unit's letter being that of its text's likeliest page.
+DAMAGED, ROUNDS, HINT = 0.05, 12, 0.995
+#: Weight of what an unusual page explains.
+UNUSUAL = 0.9
+#: Nats by which a letter of an unusual page is less likely in a text that a usual page explains.
+FAR = 12.0
+#: A text may be a swap if its characters are so many nats (a bigram) less likely than the corpus's; it is one if the swap wins so many, a bigram and in all.
+ODD, GAIN, WHOLE_GAIN = 1.0, 1.0, 15.0
+#: How many nats a bigram a text restored from a swap may be less likely than the texts of its script.
+ALIKE = 1.0
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
-_AROUND = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+[\x00-\x7f]?")
+# the character after a run may be the one before the next
+_AROUND = re.compile(r"([\x00-\x7f]?[^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
 _SUSPECT = r"[^\x00-\x7F]{2}"
 
@@ -58,6 +74,20 @@ def _page(name: str) -> dict[int, str]:
     return out
 
 
+def code_pages() -> dict[str, dict[int, str]]:
+    """All single-byte code pages that keep ASCII, the usual ones first; of equal ones the first."""
+    low, out = bytes(range(128)), {}
+    pairs = [bytes([b, t]) for b in range(128, 256) for t in (0x40, 0xA1)]
+    for name in [*USUAL_PAGES, *sorted(m.name for m in pkgutil.iter_modules(encodings.__path__))]:
+        try:
+            single = not name.endswith("escape") and low.decode(name) == low.decode("ascii") and all(len(p.decode(name, "replace")) == 2 for p in pairs)
+        except (LookupError, ValueError, AssertionError):
+            continue
+        if single and (page := _page(name)) not in out.values():
+            out[name] = page
+    return out
+
+
 def _shapes(page: dict[int, str]) -> tuple[re.Pattern, dict[str, int]]:
     """Pattern of the UTF-8 shapes as the page shows them, and its characters' bytes."""
     cls = lambda a, b: "[" + "".join(re.escape(page[i]) for i in range(a, b + 1)) + "]"
@@ -66,7 +96,16 @@ def _shapes(page: dict[int, str]) -> tuple[re.Pattern, dict[str, int]]:
     return pattern, {c: b for b, c in page.items()}
 
 
-_PAGES = [_shapes(_page(name)) for name in CODE_PAGES]
+CODE_PAGES = code_pages()
+_PAGES = [_shapes(page) for page in CODE_PAGES.values()]
+#: The characters that any code page shows.
+SHOWN = frozenset(c for page in CODE_PAGES.values() for c in page.values())
+#: Bounds of what the driver collects, proven by the characters that there are: the alphabet, and pairs of shown characters or with ASCII.
+MAX_ALPHABET = 0x110000
+MAX_BIGRAMS = len(SHOWN) ** 2 + 2 * 128 * MAX_ALPHABET
+_ANY = lambda first, last: "[" + "".join(re.escape(c) for c in sorted({page[i] for page in CODE_PAGES.values() for i in range(first, last)})) + "]"
+#: Two characters that some pages show for a lead and a continuation byte; a text without them has no units.
+_BEGINS = re.compile(_ANY(0xC2, 0xF5) + _ANY(0x80, 0xC0))
 
 
 def block(letter: str) -> int:
@@ -75,11 +114,22 @@ def block(letter: str) -> int:
     return n >> 7 if n < 0x3000 else 0x10000 + (n >> 12)
 
 
-@lru_cache(maxsize=200_000)
-def units_of(run: str) -> tuple[tuple[int, str, tuple[str, ...]], ...]:
-    """(offset, unit, letters) of every unit that some code page sees in a run of non-ASCII characters."""
+def units_of(run: str, pages: int | None = None) -> tuple[tuple[int, str, tuple[str, ...]], ...]:
+    """(offset, unit, letters) of every unit that some code page (one of the first ``pages``) sees in a run of non-ASCII characters."""
+    # a run with a character that no code page shows isn't all units; short runs recur
+    if not SHOWN.issuperset(run):
+        return ()
+    return _short_units(run, pages) if len(run) <= 32 else _units(run, pages)
+
+
+@lru_cache(maxsize=50_000)
+def _short_units(run: str, pages: int | None) -> tuple[tuple[int, str, tuple[str, ...]], ...]:
+    return _units(run, pages)
+
+
+def _units(run: str, pages: int | None) -> tuple[tuple[int, str, tuple[str, ...]], ...]:
     found: dict[tuple[int, str], dict[str, None]] = {}
-    for pattern, bytes_of in _PAGES:
+    for pattern, bytes_of in _PAGES[:pages]:
         for m in pattern.finditer(run):
             try:
                 letter = bytes(bytes_of[c] for c in m[0]).decode("utf-8")
@@ -90,25 +140,25 @@ def units_of(run: str) -> tuple[tuple[int, str, tuple[str, ...]], ...]:
     return tuple((at, unit, tuple(letters)) for (at, unit), letters in sorted(found.items()))
 
 
-def suspicious(text: str, blocks: frozenset[int]) -> list[tuple[int, str, tuple[str, ...]]]:
+def suspicious(text: str, blocks: frozenset[int], pages: int | None = None) -> list[tuple[int, str, tuple[str, ...]]]:
     """Units of a text, with the letters whose block the corpus uses.
 
     Damage leaves no letter of a run of non-ASCII characters whole, so a run
     counts only if units cover it entirely.
     """
     out = []
-    for run in _RUN.finditer(text):
-        units = [(run.start() + at, u, kept) for at, u, letters in units_of(run[0]) if (kept := tuple(x for x in letters if block(x) in blocks))]
+    for run in _RUN.finditer(text) if _BEGINS.search(text) else ():
+        units = [(run.start() + at, u, kept) for at, u, letters in units_of(run[0], pages) if (kept := tuple(x for x in letters if block(x) in blocks))]
         if units and not any(outside(run[0], [(at - run.start(), u, k) for at, u, k in units])):
             out += units
     return out
 
 
 def explaining_page(text: str) -> int:
-    """Number of the code page that explains most of a text's runs; the first of several."""
+    """Number of the code page that explains most of a text's runs; the first of several, an unusual one only if it explains much more."""
     runs = "\0".join(_RUN.findall(text))
     cover = [sum(len(m[0]) for m in pattern.finditer(runs)) for pattern, _ in _PAGES]
-    return max(range(len(cover)), key=cover.__getitem__)
+    return max(range(len(cover)), key=lambda i: cover[i] * (1.0 if i < len(USUAL_PAGES) else UNUSUAL))
 
 
 def letter_by(page: int, unit: str) -> str:
@@ -142,6 +192,15 @@ class Bigrams:
     def __init__(self, pairs: dict[tuple[str, str], int], singles: dict[str, int]):
         self.pairs, self.singles = pairs, singles
         self.total = sum(singles.values()) + 1.0
+        # the same by code point, for whole texts at once; as joint frequencies, as a swap's bigrams follow each other as usual
+        keys = sorted((ord(a) << 21 | ord(b), n) for (a, b), n in pairs.items() if _swappable(a + b))
+        self.keys, self.seen = np.array([k for k, _ in keys], dtype=np.int64), np.array([n for _, n in keys], dtype=float)
+        self.all = max(1.0, float(self.seen.sum()))
+        a, b = self.keys >> 21, self.keys & 0x1FFFFF
+        likely, blocks = self.seen * self.joint(a, b), np.maximum(a, b) >> 7
+        self.usual = float(likely.sum() / self.all)
+        # what the bigrams of a script are like
+        self.script_usual = {int(k): float(likely[blocks == k].sum() / self.seen[blocks == k].sum()) for k in np.unique(blocks)}
 
     def single(self, c: str) -> float:
         return (self.singles.get(c, 0) + 1e-3) / self.total
@@ -157,19 +216,104 @@ class Bigrams:
     def chain(self, text: list[str]) -> float:
         return sum(self.follows(a, b) for a, b in zip(text, text[1:]))
 
+    def joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """log P(a, b) of many pairs of code points."""
+        if not len(self.keys):
+            return np.zeros(len(a))
+        wanted = a << 21 | b
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.log((np.where(self.keys[at] == wanted, self.seen[at], 0.0) + 0.05) / self.all)
+
+    def score(self, codes: np.ndarray) -> tuple[float, int]:
+        """(log likelihood, number) of the bigrams of a text that a non-ASCII character is part of; runs of characters that no page shows are left out."""
+        a, b = codes[:-1], codes[1:]
+        high = ((a > 127) | (b > 127)) & (_IS_SHOWN[a] | (a < 128)) & (_IS_SHOWN[b] | (b < 128))
+        return (float(self.joint(a[high], b[high]).sum()), int(high.sum())) if high.any() else (0.0, 0)
+
+
+_IS_SHOWN = np.zeros(0x110000, dtype=bool)
+_IS_SHOWN[[ord(c) for c in SHOWN]] = True
 
-def learn_mapping(contexts: list[tuple[str, str, str, str, int]], letters_of: dict[str, tuple[str, ...]], model: Bigrams, rounds: int = ROUNDS) -> dict[str, str]:
+
+def codes_of(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+
+
+def text_of(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def script(codes: np.ndarray) -> int:
+    """The block that most of a text's shown non-ASCII characters are of."""
+    high = codes[(codes > 127) & _IS_SHOWN[codes]] >> 7
+    return int(np.bincount(high).argmax()) if len(high) else 0
+
+
+def learn_swap(pairs: list[tuple[str, str, int]], model: Bigrams, rounds: int = ROUNDS) -> dict[str, str]:
+    """Symbol -> letter of the swapped texts of one source and script, by EM over their bigrams ``pairs`` (a, b, count).
+
+    The hidden variable is the letter behind each symbol. It starts from the
+    pair of code pages (the bytes' own and the one that they were read by) that
+    makes the bigrams likeliest; then, in turn, the letters of the neighbours
+    are taken as they stand and each symbol's letter is chosen anew among all
+    that code pages have for it. Empty if nothing is likelier than the symbols.
+    """
+    n = np.array([k for _, _, k in pairs], dtype=float)
+    codes, at = np.unique([ord(c) for x, y, _ in pairs for c in (x, y)], return_inverse=True)
+    a, b = at[::2], at[1::2]
+    mass = np.bincount(a, n, len(codes)) + np.bincount(b, n, len(codes))
+    symbols = [i for i, c in enumerate(codes) if c > 127 and chr(c) in SHOWN]
+    usual = lambda to: float((n * model.joint(to[a], to[b])).sum())
+    best, likely = codes, usual(codes)
+    letters = {i: {int(codes[i])} for i in symbols}
+    for shown in CODE_PAGES.values():
+        byte_of = {ord(c): k for k, c in shown.items()}
+        inside = [i for i in symbols if int(codes[i]) in byte_of]
+        if not symbols or mass[inside].sum() < 0.9 * mass[symbols].sum():
+            continue
+        for own in CODE_PAGES.values():
+            to = codes.copy()
+            for i in inside:
+                to[i] = ord(own[byte_of[int(codes[i])]])
+                letters[i].add(int(to[i]))
+            if (now := usual(to)) > likely:
+                best, likely = to, now
+    if best is codes:
+        return {}
+    for _ in range(rounds):
+        changed = False
+        for i, choices in letters.items():
+            near = (a == i) | (b == i)
+            total = {}
+            # a cipher has one symbol for each letter
+            for c in choices - {int(best[j]) for j in letters if j != i} | {int(best[i])}:
+                to = best.copy()
+                to[i] = c
+                total[c] = float((n[near] * model.joint(to[a[near]], to[b[near]])).sum())
+            top = max(sorted(total), key=total.__getitem__)
+            # another letter must be likelier by some evidence, not by a tie
+            if total[top] > total[int(best[i])] + 1.0:
+                best[i], changed = top, True
+        if not changed:
+            break
+    return {chr(codes[i]): chr(best[i]) for i in symbols if best[i] != codes[i]}
+
+
+def learn_mapping(contexts: list[tuple[str, str, str, str, int]], letters_of: dict[str, tuple[str, ...]], model: Bigrams, usual: dict[str, tuple[str, ...]] | None = None, rounds: int = ROUNDS) -> dict[str, str]:
     """Unit -> letter of one source by EM; units that are rather genuine are left out.
 
     ``contexts`` are (unit, previous, next, hint, count). The hidden variable
     of an occurrence is its reading: one of the unit's letters, or the unit
     itself. The hint is the letter on the code page that explains most of the
-    text; it is right with probability ``HINT``.
+    text; it is right with probability ``HINT``, and where it is one of the
+    ``usual`` letters, an unusual page's letter needs ``FAR`` more evidence.
     """
     likely: dict[str, list[tuple[int, list[float]]]] = {}
     for unit, before, after, hint, n in contexts:
         right, wrong = (math.log(HINT), math.log(1 - HINT)) if hint else (0.0, 0.0)
-        readings = [model.chain([before, x, after]) + (right if x == hint else wrong) for x in letters_of[unit]]
+        far = FAR if hint and usual and hint in usual.get(unit, ()) else 0.0
+        readings = [model.chain([before, x, after]) + (right if x == hint else wrong - (far if usual and x not in usual.get(unit, ()) else 0.0)) for x in letters_of[unit]]
         genuine = model.chain([before, *unit, after]) + (math.log(0.5) if hint else 0.0)
         likely.setdefault(unit, []).append((n, [genuine, *readings]))
     theta = {u: [1 - DAMAGED] + [DAMAGED / len(letters_of[u])] * len(letters_of[u]) for u in likely}
@@ -204,8 +348,9 @@ class Cipher:
         self.table = {0xF0000 + i: mapping[u] for i, u in enumerate(units)}
         self.pattern = re.compile("|".join(map(re.escape, units))) if units else None
 
-    def restore(self, text: str, passes: int = PASSES) -> str:
-        for _ in range(passes if self.pattern else 0):
+    def restore(self, text: str) -> str:
+        # every round that changes the text makes it shorter
+        while self.pattern:
             coded = self.pattern.sub(lambda m: self.symbol[m[0]], text)
             if coded == text:
                 break
@@ -218,15 +363,24 @@ def _sum_counts(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def alphabet(docs: DataFrame, text: str) -> DataFrame:
-    """(c, n): characters in use and how often."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+    """(c): the characters in use."""
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: set[str] = set()
         for batch in batches:
-            for t in batch[text]:
-                total.update(t)
-        yield pd.DataFrame({"c": list(total.keys()), "n": list(total.values())})
+            used.update(*batch[text])
+        yield pd.DataFrame({"c": sorted(used)})
+
+    return docs.where(F.col(text).isNotNull()).select(text).mapInPandas(collect, "c string").distinct()
 
-    return _sum_counts(docs.where(F.col(text).isNotNull()).select(text).mapInPandas(count, "c string, n long"), "c")
+
+def _swappable(pair: str) -> bool:
+    """Whether a bigram has a non-ASCII character that code pages show, next to ASCII or another."""
+    return not pair.isascii() and all(c < "\x80" or c in SHOWN for c in pair)
+
+
+def _kept(pair: str) -> bool:
+    """Whether a bigram can be part of a unit's reading: with ASCII, or of characters that code pages show."""
+    return pair[0] < "\x80" or pair[1] < "\x80" or (pair[0] in SHOWN and pair[1] in SHOWN)
 
 
 def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]) -> DataFrame:
@@ -238,21 +392,24 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
         for batch in batches:
             for s, t in zip(batch[source], batch[text]):
                 units = suspicious(t, blocks)
+                # what only an unusual page explains is mostly genuine and teaches the model, so that damage by it must be likelier
+                plain = suspicious(t, blocks, len(USUAL_PAGES)) if units else units
                 # chance units of genuine text are few among its letters; then the text may teach the model
-                if LOST not in t and 2 * sum(len(u) for _, u, _ in units) < 1 + sum(map(len, _HIGH.findall(t))):
-                    for part in outside(t, units) if units else (t,):
-                        for around in _AROUND.findall(part):
+                if LOST not in t and 2 * sum(len(u) for _, u, _ in plain) < 1 + sum(map(len, _HIGH.findall(t))):
+                    for part in outside(t, plain) if plain else (t,):
+                        for run, after in _AROUND.findall(part):
+                            around = run + after
                             pairs.update(map("".join, zip(around, around[1:])))
                         singles.update(part)
-                for _ in range(PASSES if units else 0):
+                while units:
                     page = explaining_page(t)
                     for at, unit, _ in units:
                         before, after = t[at - 1 : at] if at else "", t[at + len(unit) : at + len(unit) + 1]
                         # a neighbour that is itself damaged tells nothing
                         units_at[s, unit, before if before < "\x80" else "", after if after < "\x80" else "", letter_by(page, unit)] += 1
-                    t = peeled(t, page)
-                    if not (units := suspicious(t, blocks)):
-                        break
+                    # each look below shortens the text
+                    t, above = peeled(t, page), t
+                    units = suspicious(t, blocks) if t != above else []
             if len(pairs) + len(units_at) > 500_000:
                 yield _frame(singles, pairs, units_at)
                 singles, pairs, units_at = Counter(), Counter(), Counter()
@@ -264,28 +421,84 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
 
 def _frame(singles: Counter, pairs: Counter, units_at: Counter) -> pd.DataFrame:
     rows = [("single", None, c, None, None, None, n) for c, n in singles.items()]
-    rows += [("pair", None, p[0], p[1], None, None, n) for p, n in pairs.items()]
+    rows += [("pair", None, p[0], p[1], None, None, n) for p, n in pairs.items() if _kept(p)]
     rows += [("unit", *key, n) for key, n in units_at.items()]
     return pd.DataFrame(rows, columns=["kind", "source", "a", "b", "c", "d", "n"])
 
 
-def learn(docs: DataFrame, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """((source, units, letters) of every source with damage, counts to unpersist)."""
+def learn(docs: DataFrame, source: str, text: str):
+    """(ciphers, model): (source, units, letters) of every source with damage, and the broadcast language model."""
     used = collect_bounded(alphabet(docs, text), MAX_ALPHABET, "alphabet")
     blocks = frozenset(block(r["c"]) for r in used)
-    counts = _count_texts(docs, source, text, blocks).persist()
+    counts = checkpointed(_count_texts(docs, source, text, blocks))
     pairs = collect_bounded(counts.where("kind = 'pair'").select("a", "b", "n"), MAX_BIGRAMS, "bigrams")
     singles = collect_bounded(counts.where("kind = 'single'").select("a", "n"), MAX_ALPHABET, "alphabet")
     model = docs.sparkSession.sparkContext.broadcast(Bigrams({(r[0], r[1]): r[2] for r in pairs}, {r[0]: r[1] for r in singles}))
 
     def em(pdf: pd.DataFrame) -> pd.DataFrame:
         letters = {u: tuple(dict.fromkeys(x for at, unit, xs in units_of(u) if unit == u for x in xs if block(x) in blocks)) for u in set(pdf["a"])}
-        mapping = learn_mapping(list(zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], pdf["n"])), letters, model.value)
+        usual = {u: tuple(x for at, unit, xs in units_of(u, len(USUAL_PAGES)) if unit == u for x in xs) for u in letters}
+        mapping = learn_mapping(list(zip(pdf["a"], pdf["b"], pdf["c"], pdf["d"], pdf["n"])), letters, model.value, usual)
         return pd.DataFrame({"source": [pdf["source"].iloc[0]], "units": [list(mapping)], "letters": [list(mapping.values())]})
 
     # of one source there are as many rows as units and neighbours, however many texts it has
     units = counts.where("kind = 'unit'").select("source", "a", "b", "c", "d", "n")
-    return units.groupBy("source").applyInPandas(em, "source string, units array<string>, letters array<string>"), counts
+    return units.groupBy("source").applyInPandas(em, "source string, units array<string>, letters array<string>"), model
+
+
+def odd_texts(docs: DataFrame, model, key: str) -> DataFrame:
+    """(key, source, script, text): the texts whose characters are far less likely than the corpus's."""
+    kind = dict(docs.dtypes)[key]
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            least, rows = model.value.usual - ODD, []
+            for k, s, t in zip(batch[key], batch["source"], batch["text"]):
+                codes = codes_of(t)
+                likely, n = model.value.score(codes)
+                if n and likely < least * n:
+                    rows.append((k, s, script(codes), t))
+            yield pd.DataFrame(rows, columns=[key, "source", "script", "text"])
+
+    return docs.mapInPandas(look, f"{key} {kind}, source string, script int, text string")
+
+
+def learn_swaps(odd: DataFrame, model) -> DataFrame:
+    """(source, script, symbols, letters) of the swaps in ``odd_texts``."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs: Counter = Counter()
+        for batch in batches:
+            for s, b, t in zip(batch["source"], batch["script"], batch["text"]):
+                pairs.update((s, b, x, y) for x, y in zip(t, t[1:]) if _swappable(x + y))
+        yield pd.DataFrame([(*k, n) for k, n in pairs.items()], columns=["source", "script", "a", "b", "n"])
+
+    def em(pdf: pd.DataFrame) -> pd.DataFrame:
+        mapping = learn_swap(list(zip(pdf["a"], pdf["b"], pdf["n"])), model.value)
+        return pd.DataFrame({"source": pdf["source"].iloc[:1], "script": pdf["script"].iloc[:1], "symbols": ["".join(mapping)], "to": ["".join(mapping.values())]})
+
+    counts = _sum_counts(odd.mapInPandas(count, "source string, script int, a string, b string, n long"), "source", "script", "a", "b")
+    # of one source and script there are at most as many rows as bigrams of shown characters
+    return counts.groupBy("source", "script").applyInPandas(em, "source string, script int, symbols string, to string").where("symbols <> ''")
+
+
+def swapped_back(odd: DataFrame, swaps: DataFrame, model, key: str) -> DataFrame:
+    """(key, restored) of the odd texts that their source's swap makes far likelier."""
+    kind = dict(odd.dtypes)[key]
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t, symbols, to in zip(batch[key], batch["text"], batch["symbols"], batch["to"]):
+                restored = t.translate(str.maketrans(symbols, to))
+                codes = codes_of(restored)
+                (before, n), (after, m) = model.value.score(codes_of(t)), model.value.score(codes)
+                gain = after / max(1, m) - before / n
+                # the result must be like the texts of its script, not only better than what it was
+                if gain >= GAIN and gain * n >= WHOLE_GAIN and after >= (model.value.script_usual.get(script(codes), 0.0) - ALIKE) * m:
+                    rows.append((k, restored))
+            yield pd.DataFrame(rows, columns=[key, "restored"])
+
+    return odd.join(swaps, ["source", "script"]).select(key, "text", "symbols", "to").mapInPandas(apply, f"{key} {kind}, restored string")
 
 
 def restore(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -296,9 +509,10 @@ def restore(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     without damage, null, empty and ASCII texts give no row. Texts of a null
     source are a source of their own.
     """
-    rows = docs.select(key, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text")).where("text IS NOT NULL")
-    ciphers, _ = learn(rows, "source", "text")
-    doubtful = rows.where(F.col("text").rlike(_SUSPECT) & ~F.contains(F.col("text"), F.lit(LOST)))
+    rows = spread(docs.select(key, F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text")).where("text IS NOT NULL"))
+    ciphers, model = learn(rows, "source", "text")
+    lost = F.contains(F.col("text"), F.lit(LOST))
+    doubtful = rows.where(F.col("text").rlike(_SUSPECT) & ~lost)
     # one row per source against the texts: a join on a skewed key, which AQE splits
     joined = doubtful.join(ciphers, "source").select(key, "text", "units", "letters")
     kind = dict(docs.dtypes)[key]
@@ -315,9 +529,12 @@ def restore(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
             changed = [a != b for a, b in zip(out, batch["text"])]
             yield pd.DataFrame({key: batch[key], "restored": out})[changed]
 
-    fixed = joined.mapInPandas(apply, f"{key} {kind}, restored string").withColumn("lost", F.lit(False))
-    gone = rows.where(F.contains(F.col("text"), F.lit(LOST))).select(key, F.lit(None).cast("string").alias("restored"), F.lit(True).alias("lost"))
-    return fixed.unionByName(gone)
+    fixed = checkpointed(joined.mapInPandas(apply, f"{key} {kind}, restored string"))
+    # what no unit explains may be a swap
+    odd = checkpointed(odd_texts(rows.where(F.col("text").rlike(r"[^\x00-\x7F]") & ~lost), model, key).join(fixed.select(key), key, "left_anti"))
+    swapped = swapped_back(odd, checkpointed(learn_swaps(odd, model)), model, key)
+    gone = rows.where(lost).select(key, F.lit(None).cast("string").alias("restored"), F.lit(True).alias("lost"))
+    return fixed.unionByName(swapped).withColumn("lost", F.lit(False)).unionByName(gone)
 
 
 def restored_hashes(docs: DataFrame) -> DataFrame:

@@ -55,3 +55,49 @@ def test_units():
     assert {(u, x[0]) for _, u, x in encoding.units_of("â‚¹")} == {("â‚¹", "₹")}
     assert encoding.units_of("ÇÕ") == () or all("ÇÕ" != u for _, u, _ in encoding.units_of("ÇÕ"))
     assert encoding.peeled(wrong("déjà ₹5", "cp1252", 2)) == wrong("déjà ₹5", "cp1252")
+
+
+def swapped(text, own, read):
+    return text.encode(own, "replace").decode(read, "replace")
+
+
+SWAPS = [("cp1251", "latin-1"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1252", "cp437"), ("mac_roman", "cp1252")]
+RUSSIAN = [
+    "Объём перевозок вырос на 3 процента за отчётный период.", "Компания построила новый склад в Казани и открыла линию.", "Чистая прибыль группы снизилась из-за роста цен на топливо.",
+    "Совет директоров утвердил бюджет на следующий год.", "Численность персонала составила 5400 человек.", "Выручка от услуг увеличилась благодаря новым клиентам.",
+]
+FRENCH = [
+    "Le chiffre d'affaires s'est élevé à 5 millions, où la marge a déçu.", "La société a été créée près de Besançon en été.", "Les résultats définitifs ont été publiés après l'assemblée générale.",
+    "Größe und Fläche blieben über März unverändert für Grünau.", "La inflación en la región fue del 5 por año según el índice.", "Où est passée la moitié des bénéfices dégagés à l'étranger ?",
+]
+
+
+def test_swapped_code_pages_and_unlisted_ones(spark):
+    rnd = random.Random(9)
+    rows, truth, n = [], {}, 0
+    for kinds in (RUSSIAN, FRENCH):
+        for _ in range(400):
+            rows.append((n, " ".join(rnd.choices(kinds, k=4)), rnd.choice(["a", "b", None])))
+            n += 1
+    for i, (own, read) in enumerate(SWAPS):
+        for _ in range(12):
+            text = " ".join(rnd.choices(RUSSIAN if i < 3 else FRENCH, k=5))
+            shown = swapped(text, own, read)
+            if "�" in shown or "?" in text.encode(own, "replace").decode(own).replace(text, ""):
+                continue
+            rows.append((n, shown, f"s{i}"))
+            truth[n] = hashlib.sha256(text.encode()).hexdigest()
+            n += 1
+    for _ in range(12):
+        text = " ".join(rnd.choices(FRENCH, k=5))
+        rows.append((n, wrong(text, "cp1253"), "utf"))
+        truth[n] = hashlib.sha256(text.encode()).hexdigest()
+        n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["restored_sha256"] for r in encoding.restored_hashes(docs).collect()}
+    assert set(got) - set(truth) == set()
+    assert len(truth) >= 60 and got == truth
+
+
+def test_code_pages():
+    assert {"cp1253", "koi8_u", "mac_cyrillic", "cp852"} <= set(encoding.CODE_PAGES) and not {"shift_jis", "utf_8", "cp037", "big5"} & set(encoding.CODE_PAGES)
