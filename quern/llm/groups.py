@@ -111,7 +111,7 @@ def local_forests(edges: DataFrame, level: int | None = None) -> DataFrame:
 def _looked_up(records: DataFrame, found: DataFrame) -> DataFrame:
     """``records`` (node, root) with each root replaced by the one that ``found`` (node, root) has for it, if any."""
     salted = records.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    tops = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    tops = found.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("top"))
     wanted = salted.select("root", "salt").distinct().join(tops, "root")
     return salted.join(wanted, ["root", "salt"], "left").select("node", F.coalesce("top", "root").alias("root"))
 
