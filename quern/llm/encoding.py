@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import encodings
 import math
+import operator
 import pkgutil
 import re
 import unicodedata
@@ -59,7 +60,7 @@ ALIKE = 1.0
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 # the character after a run may be the one before the next
 _AROUND = re.compile(r"([\x00-\x7f]?[^\x00-\x7f]+)(?=([\x00-\x7f]?))")
-_HIGH = re.compile(r"[^\x00-\x7f]+")
+_BETWEEN = "\x00"
 _SUSPECT = r"[^\x00-\x7F]{2}"
 
 
@@ -390,16 +391,18 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
         pairs: Counter = Counter()
         units_at: Counter = Counter()
         for batch in batches:
+            around: list[str] = []
             for s, t in zip(batch[source], batch[text]):
+                if t.isascii():
+                    singles.update(t)
+                    continue
                 units = suspicious(t, blocks)
                 # what only an unusual page explains is mostly genuine and teaches the model, so that damage by it must be likelier
                 plain = suspicious(t, blocks, len(USUAL_PAGES)) if units else units
                 # chance units of genuine text are few among its letters; then the text may teach the model
-                if LOST not in t and 2 * sum(len(u) for _, u, _ in plain) < 1 + sum(map(len, _HIGH.findall(t))):
+                if LOST not in t and 2 * sum(len(u) for _, u, _ in plain) < 1 + len(t) - len(t.encode("ascii", "ignore")):
                     for part in outside(t, plain) if plain else (t,):
-                        for run, after in _AROUND.findall(part):
-                            around = run + after
-                            pairs.update(map("".join, zip(around, around[1:])))
+                        around += map("".join, _AROUND.findall(part))
                         singles.update(part)
                 while units:
                     page = explaining_page(t)
@@ -410,6 +413,9 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
                     # each look below shortens the text
                     t, above = peeled(t, page), t
                     units = suspicious(t, blocks) if t != above else []
+            # all runs of a batch at once; what joins them is left out when the counts are written
+            joined = _BETWEEN.join(around)
+            pairs.update(map(operator.add, joined, joined[1:]))
             if len(pairs) + len(units_at) > 500_000:
                 yield _frame(singles, pairs, units_at)
                 singles, pairs, units_at = Counter(), Counter(), Counter()
@@ -421,7 +427,7 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
 
 def _frame(singles: Counter, pairs: Counter, units_at: Counter) -> pd.DataFrame:
     rows = [("single", None, c, None, None, None, n) for c, n in singles.items()]
-    rows += [("pair", None, p[0], p[1], None, None, n) for p, n in pairs.items() if _kept(p)]
+    rows += [("pair", None, p[0], p[1], None, None, n) for p, n in pairs.items() if _BETWEEN not in p and _kept(p)]
     rows += [("unit", *key, n) for key, n in units_at.items()]
     return pd.DataFrame(rows, columns=["kind", "source", "a", "b", "c", "d", "n"])
 
