@@ -387,14 +387,15 @@ def _kept(pair: str) -> bool:
 def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]) -> DataFrame:
     """Counts for the model and of the units' contexts: (kind, source, a, b, c, d, n), summed per task."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        singles: Counter = Counter()
+        singles = np.zeros(0x110000, dtype=np.int64)
         pairs: Counter = Counter()
         units_at: Counter = Counter()
         for batch in batches:
             around: list[str] = []
+            plain_parts: list[str] = []
             for s, t in zip(batch[source], batch[text]):
                 if t.isascii():
-                    singles.update(t)
+                    plain_parts.append(t)
                     continue
                 units = suspicious(t, blocks)
                 # what only an unusual page explains is mostly genuine and teaches the model, so that damage by it must be likelier
@@ -403,7 +404,7 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
                 if LOST not in t and 2 * sum(len(u) for _, u, _ in plain) < 1 + len(t) - len(t.encode("ascii", "ignore")):
                     for part in outside(t, plain) if plain else (t,):
                         around += map("".join, _AROUND.findall(part))
-                        singles.update(part)
+                        plain_parts.append(part)
                 while units:
                     page = explaining_page(t)
                     for at, unit, _ in units:
@@ -413,20 +414,22 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
                     # each look below shortens the text
                     t, above = peeled(t, page), t
                     units = suspicious(t, blocks) if t != above else []
+            n = np.bincount(codes_of("".join(plain_parts)))
+            singles[: len(n)] += n
             # all runs of a batch at once; what joins them is left out when the counts are written
             joined = _BETWEEN.join(around)
             pairs.update(map(operator.add, joined, joined[1:]))
             if len(pairs) + len(units_at) > 500_000:
                 yield _frame(singles, pairs, units_at)
-                singles, pairs, units_at = Counter(), Counter(), Counter()
+                singles, pairs, units_at = np.zeros_like(singles), Counter(), Counter()
         yield _frame(singles, pairs, units_at)
 
     schema = "kind string, source string, a string, b string, c string, d string, n long"
     return _sum_counts(docs.select(F.col(source).alias(source), text).mapInPandas(count, schema), "kind", "source", "a", "b", "c", "d")
 
 
-def _frame(singles: Counter, pairs: Counter, units_at: Counter) -> pd.DataFrame:
-    rows = [("single", None, c, None, None, None, n) for c, n in singles.items()]
+def _frame(singles: np.ndarray, pairs: Counter, units_at: Counter) -> pd.DataFrame:
+    rows = [("single", None, chr(c), None, None, None, int(singles[c])) for c in np.flatnonzero(singles).tolist()]
     rows += [("pair", None, p[0], p[1], None, None, n) for p, n in pairs.items() if _BETWEEN not in p and _kept(p)]
     rows += [("unit", *key, n) for key, n in units_at.items()]
     return pd.DataFrame(rows, columns=["kind", "source", "a", "b", "c", "d", "n"])
