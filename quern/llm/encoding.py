@@ -61,6 +61,8 @@ _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 # the character after a run may be the one before the next
 _AROUND = re.compile(r"([\x00-\x7f]?[^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 _BETWEEN = "\x00"
+#: Characters that are turned into arrays at once.
+_SLICE = 1 << 20
 _SUSPECT = r"[^\x00-\x7F]{2}"
 
 
@@ -241,14 +243,29 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
-def text_of(codes: np.ndarray) -> str:
-    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+def _slices_of(parts: list[str]) -> Iterator[str]:
+    """The parts' characters in slices of bounded size."""
+    waiting, size = [], 0
+    for part in parts:
+        for at in range(0, len(part), _SLICE):
+            waiting.append(part[at : at + _SLICE])
+            size += len(waiting[-1])
+            if size >= _SLICE:
+                yield "".join(waiting)
+                waiting, size = [], 0
+    yield "".join(waiting)
 
 
-def script(codes: np.ndarray) -> int:
-    """The block that most of a text's shown non-ASCII characters are of."""
-    high = codes[(codes > 127) & _IS_SHOWN[codes]] >> 7
-    return int(np.bincount(high).argmax()) if len(high) else 0
+def judged(text: str, model: Bigrams) -> tuple[float, int, int]:
+    """(log likelihood, bigrams, script) of a text's shown non-ASCII characters, slice by slice; the script is the block of most of them."""
+    likely, n, blocks = 0.0, 0, np.zeros(0x110000 >> 7, dtype=np.int64)
+    for at in range(0, max(1, len(text)), _SLICE):
+        codes = codes_of(text[max(0, at - 1) : at + _SLICE])
+        part, m = model.score(codes)
+        likely, n = likely + part, n + m
+        own = codes[(codes > 127) & _IS_SHOWN[codes]] >> 7
+        blocks += np.bincount(own, minlength=len(blocks))
+    return likely, n, int(blocks.argmax())
 
 
 def learn_swap(pairs: list[tuple[str, str, int]], model: Bigrams, rounds: int = ROUNDS) -> dict[str, str]:
@@ -414,8 +431,9 @@ def _count_texts(docs: DataFrame, source: str, text: str, blocks: frozenset[int]
                     # each look below shortens the text
                     t, above = peeled(t, page), t
                     units = suspicious(t, blocks) if t != above else []
-            n = np.bincount(codes_of("".join(plain_parts)))
-            singles[: len(n)] += n
+            for part in _slices_of(plain_parts):
+                n = np.bincount(codes_of(part))
+                singles[: len(n)] += n
             # all runs of a batch at once; what joins them is left out when the counts are written
             joined = _BETWEEN.join(around)
             pairs.update(map(operator.add, joined, joined[1:]))
@@ -463,10 +481,9 @@ def odd_texts(docs: DataFrame, model, key: str) -> DataFrame:
         for batch in batches:
             least, rows = model.value.usual - ODD, []
             for k, s, t in zip(batch[key], batch["source"], batch["text"]):
-                codes = codes_of(t)
-                likely, n = model.value.score(codes)
+                likely, n, script = judged(t, model.value)
                 if n and likely < least * n:
-                    rows.append((k, s, script(codes), t))
+                    rows.append((k, s, script, t))
             yield pd.DataFrame(rows, columns=[key, "source", "script", "text"])
 
     return docs.mapInPandas(look, f"{key} {kind}, source string, script int, text string")
@@ -499,11 +516,10 @@ def swapped_back(odd: DataFrame, swaps: DataFrame, model, key: str) -> DataFrame
             rows = []
             for k, t, symbols, to in zip(batch[key], batch["text"], batch["symbols"], batch["to"]):
                 restored = t.translate(str.maketrans(symbols, to))
-                codes = codes_of(restored)
-                (before, n), (after, m) = model.value.score(codes_of(t)), model.value.score(codes)
+                (before, n, _), (after, m, script) = judged(t, model.value), judged(restored, model.value)
                 gain = after / max(1, m) - before / n
                 # the result must be like the texts of its script, not only better than what it was
-                if gain >= GAIN and gain * n >= WHOLE_GAIN and after >= (model.value.script_usual.get(script(codes), 0.0) - ALIKE) * m:
+                if gain >= GAIN and gain * n >= WHOLE_GAIN and after >= (model.value.script_usual.get(script, 0.0) - ALIKE) * m:
                     rows.append((k, restored))
             yield pd.DataFrame(rows, columns=[key, "restored"])
 
