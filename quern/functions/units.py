@@ -232,11 +232,18 @@ def parse_number(text: str) -> tuple[int, int, str] | None:
     lone commas are decimal; several points part thousands. A minus sign or
     parentheses around the number make it negative.
     """
-    t = _ascii_digits(text)
-    t = re.sub(r"(?<=\s)['’‘`]000\b|^['’‘`]000\b", " thousand ", t)
+    t = _thousands(_ascii_digits(text))
     m = _NUMBER.search(t)
-    if not m:
-        return None
+    return (*_value(m), t[: m.start()] + " " + t[m.end() :]) if m else None
+
+
+def _thousands(t: str) -> str:
+    """``t`` with a quoted 000 after a number as the word that it stands for."""
+    return re.sub(r"(?<=\s)['’‘`]000\b|^['’‘`]000\b", " thousand ", t) if "000" in t else t
+
+
+def _value(m: re.Match) -> tuple[int, int]:
+    """(mantissa, decimals) of a match of a number."""
     digits = re.sub(r"['’ \u00a0\u202f\u2009]", "", m[3]).rstrip(".,")
     point, comma = digits.count("."), digits.count(",")
     if point and comma:
@@ -252,7 +259,7 @@ def parse_number(text: str) -> tuple[int, int, str] | None:
     whole = re.sub(r"[.,]", "", whole)
     negative = bool(m[2]) or bool(m[1] and m[4])
     mantissa = int((whole or "0") + part)
-    return (-mantissa if negative else mantissa), len(part), t[: m.start()] + " " + t[m.end() :]
+    return (-mantissa if negative else mantissa), len(part)
 
 
 # Number words, and those that stand for parts of one.
@@ -273,40 +280,38 @@ def stated_number(text: str) -> tuple[Fraction, str] | None:
     if "10" in t:
         t = _RAISED_TEN.sub(lambda m: f"{m[1]}^{m[2].translate(_SUPERSCRIPTS)}", t)
     # 1½, ½ and 1 1/2; the sign and the parentheses stay where they are
-    if any(c in "½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞" for c in t):
-        part = _PART.search(t)
+    extra, part = Fraction(0), None
+    if not t.isascii() and (part := _PART.search(t)):
         extra = Fraction(unicodedata.numeric(part[1])).limit_denominator(8)
-        before = t[: part.start()]
-        t = (before if before[-1:].isdigit() else before + " 0") + t[part.end() :]
-    elif (part := _FRACTION.search(t)) and int(part[2]) > int(part[1]) > 0:
+    elif "/" in t and (part := _FRACTION.search(t)) and int(part[2]) > int(part[1]) > 0:
         extra = Fraction(int(part[1]), int(part[2]))
+    if extra:
         before = t[: part.start()].rstrip()
         t = (before if before[-1:].isdigit() else before + " 0") + t[part.end() :]
-    else:
-        extra = Fraction(0)
-    m = parse_number(t)
+    t = _thousands(t)
+    m = _NUMBER.search(t)
     if m is None:
-        spelt = _SPELT.search(t)
-        if not spelt:
-            return None
-        first, second = _NUMBER_WORDS[spelt[2].lower()], _NUMBER_WORDS[spelt[3].lower()] if spelt[3] else 0
-        if second and (first < 20 or first % 10):
-            second = 0
-        value = Fraction(first + second)
-        return (-value if spelt[1] else value), t[: spelt.start()] + " " + t[spelt.end() :]
-    mantissa, decimals, rest = m
+        return _spelt_number(t)
+    mantissa, decimals = _value(m)
     value = Fraction(mantissa, 10**decimals)
-    negative = mantissa < 0 or bool(_NUMBER.search(t)[2])
     if extra:
-        value = -(abs(value) + extra) if negative else value + extra
+        value = -(abs(value) + extra) if mantissa < 0 or m[2] or (m[1] and m[4]) else value + extra
     # a power of ten right after the digits
-    number = _NUMBER.search(re.sub(r"(?<=\s)['’‘`]000\b|^['’‘`]000\b", " thousand ", t))
-    tail = number.string[number.end() :]
+    tail = t[m.end() :]
     if power := _EXPONENT.match(tail):
         ten = Fraction(10) ** int(power[2])
-        value = value / ten if power[1] in ("-", "−") else value * ten
-        rest = number.string[: number.start()] + " " + tail[power.end() :]
-    return value, rest
+        value, tail = (value / ten if power[1] in ("-", "−") else value * ten), tail[power.end() :]
+    return value, t[: m.start()] + " " + tail
+
+
+def _spelt_number(t: str) -> tuple[Fraction, str] | None:
+    """``stated_number`` of number words."""
+    spelt = _SPELT.search(t)
+    if not spelt:
+        return None
+    first, second = _NUMBER_WORDS[spelt[2].lower()], _NUMBER_WORDS[spelt[3].lower()] if spelt[3] else 0
+    value = Fraction(first + (second if first >= 20 else 0))
+    return (-value if spelt[1] else value), t[: spelt.start()] + " " + t[spelt.end() :]
 
 
 # what a quote says of all its figures: a noun for figures, then "in" and the unit, in brackets or up to the end of the clause
