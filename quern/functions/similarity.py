@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -85,6 +86,22 @@ def letter_marks(text: pd.Series) -> pd.Series:
     return text.map(marks)
 
 
+class _Page:
+    """A page's words with running counts of their letters, made once for all its quotes."""
+
+    def __init__(self, page: str):
+        self.words = page.split()
+        lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.ends = np.r_[0, np.cumsum(lengths)]
+        self.letters, which = np.unique(np.array(list("".join(self.words)), dtype="<U1"), return_inverse=True)
+        have = np.zeros((len(self.words) + 1, len(self.letters)), dtype=np.int32)
+        np.add.at(have, (np.repeat(np.arange(len(self.words)), lengths) + 1, which), 1)
+        self.have = have.cumsum(axis=0)
+
+
+_prepared = lru_cache(maxsize=64)(_Page)
+
+
 def near_quote(quote: str, page: str, least: float = QUOTE_RATIO) -> bool:
     """Whether a window of as many words as ``quote`` has is at least ``least`` similar to it.
 
@@ -92,25 +109,21 @@ def near_quote(quote: str, page: str, least: float = QUOTE_RATIO) -> bool:
     for the ratio are passed over by counts, which changes no answer: the ratio
     never exceeds twice the common letters over the total length.
     """
-    q, p = quote.split(), page.split()
-    if not q or not p:
+    size = len(quote.split())
+    if not size or not page.strip():
         return False
-    size = len(q)
-    letters = {c: i for i, c in enumerate(sorted(set(quote) - {" "}))}
-    have = np.zeros((len(p) + 1, len(letters)), dtype=np.int32)
-    for i, w in enumerate(p):
-        for c in w:
-            if c in letters:
-                have[i + 1, letters[c]] += 1
-    have = have.cumsum(axis=0)
-    lengths = np.r_[0, np.cumsum([len(w) for w in p])]
-    starts = np.arange(max(1, len(p) - size + 1))
-    ends = np.minimum(starts + size, len(p))
-    want = np.array([quote.count(c) for c in letters])
+    # long pages aren't kept
+    p = _prepared(page) if len(page) < 100_000 else _Page(page)
+    letters = Counter(quote.replace(" ", ""))
+    known = np.isin(p.letters, list(letters))
+    want = np.array([letters[c] for c in p.letters[known]])
+    starts = np.arange(max(1, len(p.words) - size + 1))
+    ends = np.minimum(starts + size, len(p.words))
+    have = p.have[:, known]
     common = np.minimum(have[ends] - have[starts], want).sum(axis=1) + np.minimum(ends - starts, size) - 1
-    total = len(quote) + lengths[ends] - lengths[starts] + (ends - starts - 1)
+    total = len(quote) + p.ends[ends] - p.ends[starts] + (ends - starts - 1)
     for i in starts[2.0 * common >= least * total - 1e-9]:
-        if SequenceMatcher(None, quote, " ".join(p[i : i + size])).ratio() >= least:
+        if SequenceMatcher(None, quote, " ".join(p.words[i : i + size])).ratio() >= least:
             return True
     return False
 

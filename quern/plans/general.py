@@ -9,7 +9,7 @@ from quern.operators.instants import fact_instants
 from quern.operators.periods import fact_periods
 from quern.operators.quantities import convert_quantities
 from quern.operators.wide import MAX_ATTRIBUTES, cells_of, widen
-from quern.session import collect_bounded, table
+from quern.session import collect_bounded, spread, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "facts", "fact_id", "doc_hash", "temporal_raw", "start_date", "end_date", "granularity")
-    return fact_instants(facts, table(spark, sf_dir, "source_docs", "doc_hash", "time_zone", "date_order"))
+    return fact_instants(spread(facts), table(spark, sf_dir, "source_docs", "doc_hash", "time_zone", "date_order"))
 
 
 def catalog_types(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
@@ -46,7 +46,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "facts", "fact_id", "attribute_canonical", "raw_value", "canonical_unit", "verbatim_quote")
-    return convert_quantities(facts, table(spark, sf_dir, "attribute_catalog", "attribute_canonical", "dimension", "common_unit"))
+    return convert_quantities(spread(facts), table(spark, sf_dir, "attribute_catalog", "attribute_canonical", "dimension", "common_unit"))
 
 
 QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_wide": p6_wide, "p7_found": p7_found}

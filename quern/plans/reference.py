@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import periods, similarity, text, values
 from quern.operators import extract, gate, reconcile, report
-from quern.session import ensure_checkpoint_dir, table
+from quern.session import ensure_checkpoint_dir, spread, table
 from quern.sources import pages, schemas, store
 from quern.streaming import ingest
 
@@ -291,7 +291,7 @@ def q41_event_windows(spark, sf_dir):
 
 
 def q42_canonicalize(spark, sf_dir):
-    out = store.canonicalize(schemas.conform(_facts(spark, sf_dir), schemas.FACTS))
+    out = store.canonicalize(schemas.conform(spread(_facts(spark, sf_dir)), schemas.FACTS))
     return out.select("ingest_seq", "entity_canonical", "attribute_canonical", F.round("canonical_value_num", 2).alias("value"), "canonical_unit", "granularity")
 
 
