@@ -74,7 +74,7 @@ def dimensions_json(dimensions: Column) -> Column:
         beyond = n - 0x10000
         pair = F.concat(hexed(F.lit(0xD800) + F.shiftright(beyond, 10)), hexed(F.lit(0xDC00) + beyond.bitwiseAND(F.lit(0x3FF))))
         short = F.when(c == "\n", "\\n").when(c == "\r", "\\r").when(c == "\t", "\\t").when(c == "\b", "\\b").when(c == "\f", "\\f")
-        return F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c)).when(n > 0xFFFF, pair).when((n > 127) | (n < 32), F.coalesce(short, hexed(n))).otherwise(c)
+        return F.when(c.isin('"', "\\"), F.concat(F.lit("\\"), c)).when(n > 0xFFFF, pair).when((n > 126) | (n < 32), F.coalesce(short, hexed(n))).otherwise(c)
 
     quoted = lambda t: F.concat(F.lit('"'), F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), char), ""), F.lit('"'))
     return F.concat(F.lit("["), F.array_join(F.transform(dimensions, quoted), ", "), F.lit("]"))
