@@ -1,18 +1,12 @@
 """SQL twins of the queries in ``reference``, for DuckDB on the same tables.
 
-Written from the operators' definitions, apart from the fixed values, which are
-taken from the modules that state them.
+Written from the operators' definitions, with the fixed values of
+``reference_values``; nothing is taken from the operators' modules.
 """
 
 from __future__ import annotations
 
-from quern.functions.periods import PERPETUAL_TEXTS
-from quern.functions.similarity import NAME_NOISE
-from quern.functions.text import LEGAL_NOISE
-from quern.functions.values import CURRENCY_MARKS, EXTRACTED_SCALES, MULTIPLIERS, PERCENT_MARKS
-from quern.operators import extract as x
-from quern.operators import gate as g
-from quern.operators import reconcile as r
+from quern.plans import reference_values as v
 
 _W = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NL2 = "chr(10) || chr(10)"
@@ -55,7 +49,7 @@ def key(e: str, noise, none: str, empty: str) -> str:
     return f"CASE WHEN {e} IS NULL OR {e} = '' THEN {q(none)} WHEN {joined} = '' THEN {q(empty)} ELSE {joined} END"
 
 
-ENTITY_KEY = key("entity_raw", LEGAL_NOISE, "unknown_entity", "entity")
+ENTITY_KEY = key("entity_raw", v.LEGAL_NOISE, "unknown_entity", "entity")
 ATTRIBUTE_KEY = key("attribute_raw", (), "general_attribute", "attribute")
 
 
@@ -66,13 +60,13 @@ def ascii_digits(e: str) -> str:
 def value_unit() -> tuple[str, str]:
     value = strip("coalesce(raw_value, '')")
     both = f"lower({value} || ' ' || {strip('coalesce(canonical_unit, ' + q('') + ')')})"
-    money = " ".join(f"WHEN contains({both}, {q(m)}) THEN {q(c)}" for m, c in CURRENCY_MARKS)
-    percent = " OR ".join(f"contains({both}, {q(m)})" for m in PERCENT_MARKS)
+    money = " ".join(f"WHEN contains({both}, {q(m)}) THEN {q(c)}" for m, c in v.CURRENCY_MARKS)
+    percent = " OR ".join(f"contains({both}, {q(m)})" for m in v.PERCENT_MARKS)
     digits = f"regexp_replace(replace({ascii_digits(value)}, ',', ''), '[^0-9.\\-]', ' ', 'g')"
     number = f"TRY_CAST(nullif(regexp_extract({digits}, '[-+]?[0-9]*\\.?[0-9]+'), '') AS DOUBLE)"
     # digits of any script are letters to a word boundary
-    word = f"regexp_extract({ascii_digits(both)}, '\\b({'|'.join(MULTIPLIERS)})\\b', 1)"
-    scale = "CASE " + word + " " + " ".join(f"WHEN {q(k)} THEN {v:.1f}e0" for k, v in MULTIPLIERS.items()) + " ELSE 1e0 END"
+    word = f"regexp_extract({ascii_digits(both)}, '\\b({'|'.join(v.MULTIPLIERS)})\\b', 1)"
+    scale = "CASE " + word + " " + " ".join(f"WHEN {q(k)} THEN {n:.1f}e0" for k, n in v.MULTIPLIERS.items()) + " ELSE 1e0 END"
     return (
         f"CASE WHEN {value} <> '' THEN {number} * {scale} END",
         f"CASE WHEN {value} = '' THEN 'RAW' WHEN {percent} THEN 'PERCENT' {money} ELSE 'COUNT' END",
@@ -92,7 +86,7 @@ def stated(source: str) -> str:
     low = f"lower({strip('temporal_raw')})"
     fiscal = f"(f1 <> '' AND (contains({low}, 'fy') OR contains({low}, 'fiscal') OR contains({low}, '-')))"
     cal = f"(cal <> '' AND (contains({low}, 'cy') OR length(cal) = 4))"
-    blank = f"(temporal_raw IS NULL OR temporal_raw = '' OR {low} IN ({names(PERPETUAL_TEXTS)}))"
+    blank = f"(temporal_raw IS NULL OR temporal_raw = '' OR {low} IN ({names(v.PERPETUAL_TEXTS)}))"
     day = "regexp_replace(regexp_replace(regexp_replace(t, '(?i)^(?:as of|dated|ended)\\s+', ''), '(?i)([0-9])(?:st|nd|rd|th)\\b', '\\1', 'g'), '\\s+', ' ', 'g')"
     formats = "['%B %-d, %Y', '%b %-d, %Y', '%-d %B %Y', '%-d %b %Y', '%B %-d %Y', '%b %-d %Y']"
     shape = "regexp_full_match(d, '(?i)[0-9]{1,2} [a-z]+ [0-9]{4}|[a-z]+ [0-9]{1,2},? [0-9]{4}')"
@@ -121,8 +115,8 @@ def periods(where: str) -> str:
 def extracted(e: str) -> str:
     t = strip(f"regexp_replace({e}, '₹|\\$|Rs\\.?|INR|,', '', 'g')")
     has = lambda p: f"regexp_matches({t}, '(?i)\\b(?:{p})\\b')"
-    scale = "CASE " + " ".join(f"WHEN {has(p)} THEN {v:.1f}e0" for p, v in EXTRACTED_SCALES) + " ELSE 1e0 END"
-    bare = "CASE " + " ".join(f"WHEN {has(p)} THEN regexp_replace({t}, '(?i)\\b(?:{p})\\b', '', 'g')" for p, _ in EXTRACTED_SCALES) + f" WHEN ends_with({t}, '%') THEN replace({t}, '%', '') ELSE {t} END"
+    scale = "CASE " + " ".join(f"WHEN {has(p)} THEN {n:.1f}e0" for p, n in v.EXTRACTED_SCALES) + " ELSE 1e0 END"
+    bare = "CASE " + " ".join(f"WHEN {has(p)} THEN regexp_replace({t}, '(?i)\\b(?:{p})\\b', '', 'g')" for p, _ in v.EXTRACTED_SCALES) + f" WHEN ends_with({t}, '%') THEN replace({t}, '%', '') ELSE {t} END"
     number = strip(f"regexp_replace({strip(bare)}, '^[>~<]+', '')")
     return f"CASE WHEN regexp_full_match({number}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({number} AS DOUBLE) END * {scale}"
 
@@ -153,7 +147,7 @@ h AS (SELECT *, {kind('NULL', 'NULL', start('own'), 'NULL', "yr || '-01-01'", st
 
 
 def matches(pattern: str, label: bool) -> str:
-    p = q("(?i)" + pattern.replace("\\d", "[0-9]"))
+    p = q("(?i)" + pattern)
     groups = f", unnest(regexp_extract_all(clean_text, {p}, 1)) AS label, unnest(regexp_extract_all(clean_text, {p}, 2)) AS value" if label else ""
     return (
         f"SELECT chunk_id, doc_name, page_number, clean_text, unnest(range(len(regexp_extract_all(clean_text, {p})))) AS match_pos, "
@@ -167,8 +161,8 @@ _OUT = "chunk_id, pattern_no, CAST(match_pos AS BIGINT) AS match_pos, attribute,
 
 def kpi() -> str:
     parts = []
-    number = strip(f"regexp_extract({strip('m')}, {q(x.KPI_NUMBER.replace(chr(92) + 'd', '[0-9]'))})")
-    for n, (pattern, attribute, unit) in enumerate(x.KPI_RULES):
+    number = strip(f"regexp_extract({strip('m')}, {q(v.KPI_NUMBER)})")
+    for n, (pattern, attribute, unit) in enumerate(v.KPI_RULES):
         parts.append(
             f"SELECT {_ROW}, {n} AS pattern_no, {q(attribute)} AS attribute, CASE WHEN {number} <> '' THEN {number} ELSE {strip('m')} END AS raw_value, "
             f"{q(unit)} AS canonical_unit, {strip('m')} AS verbatim_quote FROM ({matches(pattern, False)})"
@@ -178,17 +172,17 @@ def kpi() -> str:
 
 def labelled(pattern: str, fallback: str | None, unit: str | None, where: str = "true", quote: str | None = None) -> str:
     value, label = strip("value"), strip("label")
-    marks = " OR ".join(f"contains({value}, {q(m)})" for m in x.RUPEE_MARKS)
-    attribute = f"CASE WHEN length({label}) < {x.LONGEST_LABEL} THEN {label} ELSE {q(fallback)} END" if fallback else label
+    marks = " OR ".join(f"contains({value}, {q(m)})" for m in v.RUPEE_MARKS)
+    attribute = f"CASE WHEN length({label}) < {v.LONGEST_LABEL} THEN {label} ELSE {q(fallback)} END" if fallback else label
     return (
         f"SELECT {_ROW}, 0 AS pattern_no, {attribute} AS attribute, {value} AS raw_value, {q(unit) if unit else f'CASE WHEN {marks} THEN {q("INR")} ELSE {q("USD")} END'} AS canonical_unit, "
         f"{quote or strip('m')} AS verbatim_quote FROM ({matches(pattern, True)}) WHERE {where}"
     )
 
 
-MONEY = labelled(x.MONEY_RULE, x.MONEY.fallback, None, f"NOT regexp_matches(lower(label), '{'|'.join(x.SKIPPED_LABELS)}')")
-PERCENT = labelled(x.PERCENT_RULE, None, "PERCENT")
-CHART = labelled(x.CHART_RULE, x.CHART.fallback, None, f"{strip('value')} <> ''", f"'[Visual Chart]: ' || {strip('m')} || ' (X-Axis: ' || doc_name || ' Pg ' || page_number || ')'")
+MONEY = labelled(v.MONEY_RULE, v.MONEY_FALLBACK, None, f"NOT regexp_matches(lower(label), '{'|'.join(v.SKIPPED_LABELS)}')")
+PERCENT = labelled(v.PERCENT_RULE, None, "PERCENT")
+CHART = labelled(v.CHART_RULE, v.CHART_FALLBACK, None, f"{strip('value')} <> ''", f"'[Visual Chart]: ' || {strip('m')} || ' (X-Axis: ' || doc_name || ' Pg ' || page_number || ')'")
 
 _STEM = strip("translate(replace(replace(regexp_replace(doc_name, '^[0-9]+\\s*[\\-_]?', ''), '-excerpt.pdf', ''), '.pdf', ''), '-_', '  ')")
 _NAMED = "regexp_extract(clean_text, '\\b([A-Z][A-Za-z0-9&.\\s]{2,35}\\s+(?:Limited|Ltd|Corporation|Corp|Bank|Ministry|Department|Government|Inc|LLP|Authority|Council|Institute|Company))\\b', 1)"
@@ -199,11 +193,11 @@ _ENTITY = (
 
 
 def numeric() -> str:
-    words = " OR ".join(f"contains(lower(coalesce(attribute_raw, '')), {q(w)})" for w in g.NUMERIC_WORDS)
+    words = " OR ".join(f"contains(lower(coalesce(attribute_raw, '')), {q(w)})" for w in v.NUMERIC_WORDS)
     return f"(canonical_value_num IS NOT NULL OR coalesce(regexp_matches(raw_value, '\\p{{Nd}}'), false) OR {words})"
 
 
-VISUAL = f"(coalesce(provenance_modality = 'VISUAL_CHART', false) OR coalesce(starts_with(verbatim_quote, {q(g.CHART_QUOTE)}), false))"
+VISUAL = f"(coalesce(provenance_modality = 'VISUAL_CHART', false) OR coalesce(starts_with(verbatim_quote, {q(v.CHART_QUOTE)}), false))"
 GROUNDED = f"(coalesce({strip('verbatim_quote')} <> '', false) AND contains({grounding('page_text')}, {grounding('verbatim_quote')}))"
 ADRIFT = f"(coalesce({strip('temporal_raw')} = '', true) OR coalesce(granularity = 'UNKNOWN', true))"
 LATEST = "latest AS (SELECT unnest(arg_max(f, ingest_seq)) FROM facts f GROUP BY fact_id)"
@@ -220,7 +214,7 @@ SAME_UNIT = "coalesce(a.canonical_unit = b.canonical_unit, false)"
 FREE = "NOT coalesce(a.is_quarantined, false) AND NOT coalesce(b.is_quarantined, false) AND NOT (a.doc_hash = b.doc_hash AND a.page_number = b.page_number)"
 TESTED = f"{RELATION} AS relation, {SAME_SCOPE} AS same_scope, {SAME_UNIT} AS same_unit, {SAME_VALUE} AS same_value"
 _SETTLED = "relation IN ('EQUAL', 'PERPETUAL') AND same_scope AND same_unit"
-CASE = f"CASE WHEN {_SETTLED} AND same_value THEN {q(r.CORROBORATION)} WHEN {_SETTLED} THEN {q(r.CONTRADICTION)} ELSE {q(r.RECONCILED)} END"
+CASE = f"CASE WHEN {_SETTLED} AND same_value THEN {q(v.CORROBORATION)} WHEN {_SETTLED} THEN {q(v.CONTRADICTION)} ELSE {q(v.RECONCILED)} END"
 JOINED = (
     "FROM latest a JOIN latest b ON a.attribute_canonical = b.attribute_canonical AND a.entity_canonical = b.entity_canonical AND a.doc_hash <> b.doc_hash "
     "AND a.ingest_seq < b.ingest_seq WHERE NOT coalesce(a.is_quarantined, false) AND NOT coalesce(b.is_quarantined, false)"
@@ -228,13 +222,13 @@ JOINED = (
 RECORDED = "FROM relationships l JOIN latest a ON a.fact_id = l.fact_id_a JOIN latest b ON b.fact_id = l.fact_id_b"
 _VS = lambda label, c: f"{q(label + ' (')} || coalesce(a_{c}, 'None') || ' vs ' || coalesce(b_{c}, 'None') || ')'"
 _DIMS = f"""list_filter([CASE WHEN relation IN ('EQUAL', 'PERPETUAL') THEN NULL WHEN relation = 'DISJOINT' THEN {_VS('Temporal Progression/Evolution', 'temporal_raw')}
-  WHEN relation IN ('SUBSET', 'SUPERSET') THEN {q(r.AGGREGATION)} ELSE {_VS('Different Time Windows', 'temporal_raw')} END,
+  WHEN relation IN ('SUBSET', 'SUPERSET') THEN {q(v.AGGREGATION)} ELSE {_VS('Different Time Windows', 'temporal_raw')} END,
   CASE WHEN NOT same_scope THEN {_VS('Organizational Scope', 'scope')} END, CASE WHEN NOT same_unit THEN {_VS('Unit/Measurement Scale', 'canonical_unit')} END], lambda d: d IS NOT NULL)"""
 CLASSIFIED = f"""tested AS (SELECT l.id, l.case_type AS recorded, {TESTED}, a.temporal_raw AS a_temporal_raw, b.temporal_raw AS b_temporal_raw, a.scope AS a_scope, b.scope AS b_scope,
   a.canonical_unit AS a_canonical_unit, b.canonical_unit AS b_canonical_unit {RECORDED} WHERE {FREE}),
 classified AS (SELECT *, {CASE} AS case_type, {_DIMS} AS dims FROM tested)"""
 _STEMS = lambda n: f"list_distinct(list_transform({_KEPT(n)}, lambda w: w[1:4]))"
-_KEPT = lambda n: f"CASE WHEN len(list_filter({token_list(n)}, lambda w: w NOT IN ({names(NAME_NOISE)}))) > 0 THEN list_filter({token_list(n)}, lambda w: w NOT IN ({names(NAME_NOISE)})) ELSE {token_list(n)} END"
+_KEPT = lambda n: f"CASE WHEN len(list_filter({token_list(n)}, lambda w: w NOT IN ({names(v.NAME_NOISE)}))) > 0 THEN list_filter({token_list(n)}, lambda w: w NOT IN ({names(v.NAME_NOISE)})) ELSE {token_list(n)} END"
 _SHORT = "replace(replace(source_doc_name, '-excerpt.pdf', ''), '.pdf', '')"
 _TITLE = lambda e, none: f"coalesce(nullif(array_to_string(list_transform(regexp_extract_all({e}, '\\p{{L}}+|[^\\p{{L}}]+'), lambda w: upper(w[1:1]) || lower(w[2:])), ''), ''), {q(none)})"
 _CARD = lambda t: f"replace(replace({t}.source_doc_name, '-excerpt.pdf', ''), '.pdf', '') AS document_{t}, {t}.page_number AS page_{t}, coalesce({t}.provenance_modality = 'VISUAL_CHART' OR contains(lower({t}.provenance_modality), 'visual chart'), false) AS visual_{t}"
@@ -297,8 +291,8 @@ SELECT chunk_id, rule, {_ENTITY} AS entity, attribute, raw_value, round({extract
     "q25_quote_exact": f"WITH {PAGED} SELECT ingest_seq, {GROUNDED} AS is_grounded FROM paged",
     "q27_numeric_fact": f"SELECT ingest_seq, {numeric()} AS is_numeric FROM facts",
     "q28_gate": f"""
-WITH {PAGED}, judged AS (SELECT ingest_seq, coalesce(CASE WHEN NOT {VISUAL} AND NOT {GROUNDED} THEN {q(g.UNVERIFIED)}
-  WHEN ({numeric()} OR {VISUAL}) AND {ADRIFT} THEN CASE WHEN {VISUAL} THEN {q(g.NO_AXIS)} ELSE {q(g.NO_HORIZON)} END END, nullif(quarantine_reason, '')) AS reason FROM paged)
+WITH {PAGED}, judged AS (SELECT ingest_seq, coalesce(CASE WHEN NOT {VISUAL} AND NOT {GROUNDED} THEN {q(v.UNVERIFIED)}
+  WHEN ({numeric()} OR {VISUAL}) AND {ADRIFT} THEN CASE WHEN {VISUAL} THEN {q(v.NO_AXIS)} ELSE {q(v.NO_HORIZON)} END END, nullif(quarantine_reason, '')) AS reason FROM paged)
 SELECT ingest_seq, reason IS NOT NULL AS is_quarantined, reason AS quarantine_reason FROM judged
 """,
     "q29_candidates": f"WITH {LATEST} SELECT a.attribute_canonical AS attribute, a.entity_canonical AS entity, count(*) AS pairs {JOINED} GROUP BY 1, 2",
@@ -307,9 +301,9 @@ WITH {LATEST}, tested AS (SELECT a.attribute_canonical AS attribute, {TESTED} {J
 SELECT attribute, {CASE} AS case_type, relation, count(*) AS pairs FROM tested GROUP BY 1, 2, 3""",
     "q31_reconcile_detail": f"""
 WITH {LATEST}, {CLASSIFIED}
-SELECT id, case_type, CASE case_type WHEN {q(r.CORROBORATION)} THEN '' WHEN {q(r.CONTRADICTION)} THEN {q(r.CONFLICT)} ELSE array_to_string(dims, ' | ') END AS dimensions,
-  CASE case_type WHEN {q(r.CORROBORATION)} THEN {q(r.WHY[r.CORROBORATION])} WHEN {q(r.CONTRADICTION)} THEN {q(r.WHY[r.CONTRADICTION])}
-    ELSE {q(r.WHY[r.RECONCILED])} || array_to_string(dims, ', ') || '.' END AS rationale FROM classified""",
+SELECT id, case_type, CASE case_type WHEN {q(v.CORROBORATION)} THEN '' WHEN {q(v.CONTRADICTION)} THEN {q(v.CONFLICT)} ELSE array_to_string(dims, ' | ') END AS dimensions,
+  CASE case_type WHEN {q(v.CORROBORATION)} THEN {q(v.WHY[v.CORROBORATION])} WHEN {q(v.CONTRADICTION)} THEN {q(v.WHY[v.CONTRADICTION])}
+    ELSE {q(v.WHY[v.RECONCILED])} || array_to_string(dims, ', ') || '.' END AS rationale FROM classified""",
     "q32_incremental_equals_bulk": f"WITH {LATEST}, tested AS (SELECT {TESTED} {JOINED}) SELECT {CASE} AS case_type, count(*) AS pairs FROM tested GROUP BY 1",
     "q33_upsert_latest": f"WITH {LATEST} SELECT fact_id, confidence_score, provenance_modality, ingest_seq FROM latest",
     "q34_case_counts": f"SELECT {_PLAIN.format('case_type')} AS case_type, count(*) AS n FROM relationships GROUP BY 1",
