@@ -38,10 +38,11 @@ def page_texts(chunks: DataFrame) -> DataFrame:
     return kept.groupBy("doc_hash", "page_number").agg(F.array_join(F.transform(order, lambda c: c["clean_text"]), "\n\n").alias("page_text"))
 
 
-def with_page_text(facts: DataFrame, pages: DataFrame) -> DataFrame:
-    """Facts with ``page_text`` of their page, '' where the page is unknown."""
-    texts = pages.select("doc_hash", "page_number", F.col("page_text").alias("_page"))
-    return facts.join(texts, ["doc_hash", "page_number"], "left").withColumn("page_text", F.coalesce("_page", F.lit(""))).drop("_page")
+def with_page_text(facts: DataFrame, pages: DataFrame, grounding: bool = False) -> DataFrame:
+    """Facts with ``page_text`` of their page, '' where the page is unknown; with ``grounding``, with ``page_ground`` instead, its grounding form, made once a page."""
+    name, text = ("page_ground", grounding_text(F.col("page_text"))) if grounding else ("page_text", F.col("page_text"))
+    texts = pages.select("doc_hash", "page_number", text.alias("_page"))
+    return facts.join(texts, ["doc_hash", "page_number"], "left").withColumn(name, F.coalesce("_page", F.lit(""))).drop("_page")
 
 
 def exactly_grounded(quote: Column, page: Column) -> Column:
@@ -50,18 +51,20 @@ def exactly_grounded(quote: Column, page: Column) -> Column:
 
 
 def ground(facts: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Facts with ``is_grounded``; needs ``verbatim_quote`` and ``page_text``.
+    """Facts with ``is_grounded``; needs ``verbatim_quote`` and ``page_ground`` or ``page_text``.
 
     The plain search runs in the JVM. Only what it leaves, and only where there
     is a page and a quote with words, goes to Python for the fuzzy search: the
     frame is split, as a UDF behind a condition would see every row.
     """
-    exact = facts.withColumn("_exact", exactly_grounded(F.col("verbatim_quote"), F.col("page_text")))
+    page = F.col("page_ground") if "page_ground" in facts.columns else grounding_text(F.col("page_text"))
+    quote = grounding_text(F.col("verbatim_quote"))
+    exact = facts.withColumn("_exact", F.coalesce(strip(F.col("verbatim_quote")) != "", F.lit(False)) & F.contains(page, quote))
     if not fuzzy:
         return exact.withColumnRenamed("_exact", "is_grounded")
-    chance = ~F.col("_exact") & (grounding_text(F.col("verbatim_quote")) != "") & (grounding_text(F.col("page_text")) != "")
+    chance = ~F.col("_exact") & (quote != "") & (page != "")
     sure = exact.where(~chance).withColumn("is_grounded", F.col("_exact"))
-    doubtful = exact.where(chance).withColumn("is_grounded", quote_is_near(grounding_text(F.col("verbatim_quote")), grounding_text(F.col("page_text"))))
+    doubtful = exact.where(chance).withColumn("is_grounded", quote_is_near(quote, page))
     return sure.unionByName(doubtful).drop("_exact")
 
 
@@ -72,7 +75,7 @@ def gate(facts: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
     without a reason is dropped. Facts of unknown pages count as ungrounded
     unless they describe a chart.
     """
-    texts = ground(with_page_text(facts, pages), fuzzy)
+    texts = ground(with_page_text(facts, pages, grounding=True), fuzzy)
     visual = is_visual(F.col("provenance_modality"), F.col("verbatim_quote"))
     numeric = is_numeric(F.col("canonical_value_num"), F.col("raw_value"), F.col("attribute_raw"))
     adrift = F.coalesce(strip(F.col("temporal_raw")) == "", F.lit(True)) | F.coalesce(F.col("granularity") == "UNKNOWN", F.lit(True))
@@ -81,6 +84,6 @@ def gate(facts: DataFrame, pages: DataFrame, fuzzy: bool = True) -> DataFrame:
         .when((numeric | visual) & adrift, F.when(visual, F.lit(NO_AXIS)).otherwise(F.lit(NO_HORIZON)))
     )
     reason = F.coalesce(failed, F.nullif(F.col("quarantine_reason"), F.lit("")))
-    return texts.withColumn("_reason", reason).drop("page_text", "is_grounded", "is_quarantined", "quarantine_reason").select(
+    return texts.withColumn("_reason", reason).drop("page_ground", "is_grounded", "is_quarantined", "quarantine_reason").select(
         "*", F.col("_reason").isNotNull().alias("is_quarantined"), F.col("_reason").alias("quarantine_reason")
     ).drop("_reason")

@@ -96,9 +96,9 @@ def q13_extractor_number(spark, sf_dir):
     return _distinct(spark, sf_dir, "raw_value").select("raw_value", F.round(values.extracted_number(F.col("raw_value")), 2).alias("value"))
 
 
-def _paged(spark, sf_dir, *columns):
-    facts = _facts(spark, sf_dir, "ingest_seq", "doc_hash", "page_number", "verbatim_quote", *columns)
-    return gate.with_page_text(facts, gate.page_texts(_chunks(spark, sf_dir, "doc_hash", "page_number", "chunk_index", "clean_text")))
+def _paged(spark, sf_dir, grounding=False):
+    facts = _facts(spark, sf_dir, "ingest_seq", "doc_hash", "page_number", "verbatim_quote")
+    return gate.with_page_text(facts, gate.page_texts(_chunks(spark, sf_dir, "doc_hash", "page_number", "chunk_index", "clean_text")), grounding)
 
 
 def q14_temporal_hint(spark, sf_dir):
@@ -180,7 +180,7 @@ def q25_quote_exact(spark, sf_dir):
 
 
 def q26_quote_fuzzy(spark, sf_dir):
-    return gate.ground(_paged(spark, sf_dir)).select("ingest_seq", "is_grounded")
+    return gate.ground(_paged(spark, sf_dir, grounding=True)).select("ingest_seq", "is_grounded")
 
 
 def q27_numeric_fact(spark, sf_dir):
