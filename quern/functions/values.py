@@ -76,15 +76,19 @@ def numbers_match(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.coalesce(((a == 0) & (b == 0)) | close, F.lit(False))
 
 
+def value_text(number: Column, text: Column) -> Column:
+    """The text that a value is compared by where one of the two is no number; null if it has neither."""
+    return F.lower(strip(F.coalesce(F.when(number.isNotNull(), F.coalesce(text, number.cast("string"))), text)))
+
+
 def values_match(num_a: Column, str_a: Column, num_b: Column, str_b: Column, tolerance: float = TOLERANCE) -> Column:
     """Agreement of two values kept as (number, text) pairs.
 
     Numbers are compared as numbers; otherwise the texts, trimmed and in lower
     case. A value that has neither is null and matches nothing.
     """
-    text = lambda n, s: F.lower(strip(F.coalesce(F.when(n.isNotNull(), F.coalesce(s, n.cast("string"))), s)))
     numeric = num_a.isNotNull() & num_b.isNotNull()
-    return F.when(numeric, numbers_match(num_a, num_b, tolerance)).otherwise(F.coalesce(text(num_a, str_a) == text(num_b, str_b), F.lit(False)))
+    return F.when(numeric, numbers_match(num_a, num_b, tolerance)).otherwise(F.coalesce(value_text(num_a, str_a) == value_text(num_b, str_b), F.lit(False)))
 
 
 def typed_values_match(num_a: Column, str_a: Column, bool_a: Column, num_b: Column, str_b: Column, bool_b: Column, tolerance: float = TOLERANCE) -> Column:

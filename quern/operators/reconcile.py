@@ -13,6 +13,7 @@ from quern.functions.similarity import (
 )
 from quern.functions.text import strip
 from quern.functions.values import values_match
+from quern.operators import tally
 from quern.session import checkpointed
 
 # The case names, dimension labels and rationales (four more labels in ``classify``).
@@ -185,6 +186,24 @@ def classify(pairs: DataFrame) -> DataFrame:
     return named.withColumn("rationale", why.when(c("case_type") == CORROBORATION, F.lit(WHY[CORROBORATION])).otherwise(F.lit(WHY[CONTRADICTION])))
 
 
+def _meeting(facts: DataFrame, newer: DataFrame | None, *keys: Column) -> DataFrame:
+    """The facts that take part in pairs, as ``tally`` compares them."""
+    part = lambda x, older, later: _side(x, "f").select(*keys, *tally.compared("f_"), F.lit(older).alias("older"), F.lit(later).alias("newer"))
+    return part(facts, True, True) if newer is None else part(facts, True, False).unionByName(part(newer, False, True))
+
+
+def _as_cases(counts: DataFrame) -> DataFrame:
+    cases = {tally.CORROBORATION: CORROBORATION, tally.CONTRADICTION: CONTRADICTION, tally.RECONCILED: RECONCILED}
+    case = F.create_map(*(F.lit(x) for pair in cases.items() for x in pair))[F.col("case")]
+    return counts.select(F.col("label").alias("attribute"), case.alias("case_type"), "relation", "pairs")
+
+
+def candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """(attribute, case_type, relation, pairs): ``candidates``, classified and counted."""
+    keys = (F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity"))
+    return _as_cases(tally.counted(_meeting(facts, newer, *keys), "attribute", "entity"))
+
+
 def relationships(pairs: DataFrame) -> DataFrame:
     """Classified pairs as relationship rows."""
     return classify(pairs).select(
