@@ -204,6 +204,23 @@ def candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFra
     return _as_cases(tally.counted(_meeting(facts, newer, *keys), "attribute", "entity"))
 
 
+def _stemmed(names: DataFrame) -> DataFrame:
+    """``names`` with the word beginnings of ``name``, a row for each; a name without words meets only itself."""
+    stems = F.col("_s")
+    each = F.explode(F.when(F.size(stems) > 0, stems).otherwise(F.array("name"))).alias("stem")
+    return names.withColumn("_s", name_stems(F.col("name"))).withColumn("stems", F.array_join("_s", " ")).select("*", each).drop("_s")
+
+
+def fuzzy_candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """(attribute, case_type, relation, pairs): ``fuzzy_candidates``, classified and counted."""
+    keys = (F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity"))
+    raw = facts.select("entity_raw") if newer is None else facts.select("entity_raw").union(newer.select("entity_raw"))
+    spellings = _stemmed(raw.where("entity_raw IS NOT NULL").distinct().select(F.col("entity_raw").alias("raw"), compared_text(F.col("entity_raw")).alias("name")))
+    meeting = _meeting(facts, newer, *keys, F.col("f_entity_raw").alias("raw")).join(spellings, "raw").drop("raw")
+    near = _as_cases(tally.counted_near(meeting, SAME_NAME))
+    return candidate_cases(facts, newer).unionByName(near).groupBy("attribute", "case_type", "relation").agg(F.sum("pairs").alias("pairs"))
+
+
 def relationships(pairs: DataFrame) -> DataFrame:
     """Classified pairs as relationship rows."""
     return classify(pairs).select(

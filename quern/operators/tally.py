@@ -8,7 +8,7 @@ don't. Facts that may meet are brought together; there each pair is compared as
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.periods import DISJOINT, EQUAL, OVERLAPPING, PERPETUAL, SUBSET, SUPERSET
+from quern.functions.similarity import JACCARD_SHARE, RATIO_SHARE, match_ratios
 from quern.functions.text import strip
 from quern.functions.values import TOLERANCE, value_text
 
@@ -149,6 +150,110 @@ def _count(facts: _Facts, i: np.ndarray, j: np.ndarray, label: np.ndarray | int,
     found[:, :, 1] += np.bincount(agreed, minlength=found[:, :, 1].size).reshape(found.shape[:2])
 
 
+def _crossed(rows: np.ndarray, last: np.ndarray, first: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of ``rows`` with those from ``first`` (else the next one) up to ``last`` of it, in slices of bounded size."""
+    begin = rows + 1 if first is None else first
+    sizes = (last[rows] if first is None else last) - begin
+    rows, begin, sizes = rows[sizes > 0], begin[sizes > 0], sizes[sizes > 0]
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, "right")))
+        n = sizes[at:to]
+        yield np.repeat(rows[at:to], n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[at:to], n)
+        at = to
+
+
+class _Names:
+    """What the names of a table are bounded by: lengths, word beginnings, counts of letters (the rare ones together)."""
+
+    def __init__(self, texts: list[str], stems: list[str]):
+        self.texts, self.stems = texts, [frozenset(x.split(" ")) if x else frozenset() for x in stems]
+        self.n = np.array([len(x) for x in texts], dtype=np.int64)
+        self.k = np.array([len(x) for x in self.stems], dtype=np.int64)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        known, which, often = np.unique(codes, return_inverse=True, return_counts=True)
+        column = np.empty(len(known), dtype=np.int64)
+        column[np.argsort(-often, kind="stable")] = np.minimum(np.arange(len(known)), 39)
+        flat = np.repeat(np.arange(len(texts)), self.n) * 40 + column[which]
+        self.letters = np.bincount(flat, minlength=40 * len(texts)).reshape(-1, 40).astype(np.int32)
+        number = {s: n for n, s in enumerate(sorted(set().union(*self.stems)))}
+        self.bits = np.array([sum({1 << number[s] % 64 for s in x}) for x in self.stems], dtype=np.uint64)
+        self.hidden = self.k - np.bitwise_count(self.bits)
+
+    def near(self, x: np.ndarray, y: np.ndarray, stem: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which pairs, blend of x with y, blend of y with x) of the pairs of names that may reach ``least`` either way.
+
+        ``stem`` is what the two were brought together by; a pair counts only
+        under the first that they share. Bounds go from cheap to dear.
+        """
+        bound = lambda shared, letters, x, y: JACCARD_SHARE * (shared / np.maximum(self.k[x] + self.k[y] - shared, 1)) + RATIO_SHARE * (2 * letters / (self.n[x] + self.n[y]))
+        shared = np.bitwise_count(self.bits[x] & self.bits[y]) + np.minimum(self.hidden[x], self.hidden[y])
+        equal = x == y
+        kept = np.flatnonzero(equal | (bound(shared, np.minimum(self.n[x], self.n[y]), x, y) >= least - 1e-9))
+        u, v = x[kept], y[kept]
+        letters = np.minimum(self.letters[u], self.letters[v]).sum(axis=1)
+        some = equal[kept] | (bound(shared[kept], letters, u, v) >= least - 1e-9)
+        kept, letters = kept[some], letters[some]
+        u, v = x[kept], y[kept]
+        common = [self.stems[i] & self.stems[j] for i, j in zip(u.tolist(), v.tolist())]
+        shared = np.array([len(c) for c in common], dtype=np.int64)
+        here = np.array([(min(c) if c else self.texts[i]) == s for c, i, s in zip(common, u.tolist(), stem[kept])], dtype=bool)
+        here &= equal[kept] | (bound(shared, letters, u, v) >= least - 1e-9)
+        kept, shared = kept[here], shared[here]
+        u, v = x[kept].tolist(), y[kept].tolist()
+        overlap = JACCARD_SHARE * (shared / np.maximum(self.k[u] + self.k[v] - shared, 1))
+        a, b = [self.texts[i] for i in u], [self.texts[i] for i in v]
+        return kept, overlap + RATIO_SHARE * match_ratios(a, b), overlap + RATIO_SHARE * match_ratios(b, a)
+
+
+def _near_nodes(rows: pa.Table, starts: np.ndarray, group: tuple[str, ...], least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, blend, blend the other way) of names of one group that may reach ``least``, as numbers of ``starts``; equal ones are above it."""
+    nodes = rows.select(["name", "stems", "stem", *(k for k in group if k != "stem")]).take(starts)
+    texts = pc.unique(nodes["name"])
+    name = pc.index_in(nodes["name"], value_set=texts).to_numpy()
+    _, one = np.unique(name, return_index=True)
+    names = _Names(texts.to_pylist(), nodes["stems"].take(one).to_pylist())
+    begins = _starts(nodes, group)
+    sizes = np.diff(np.r_[begins, len(starts)])
+    stem = np.array(nodes["stem"].to_pylist(), dtype=object)
+    for x, y in _crossed(np.arange(len(starts)), np.repeat(begins + sizes, sizes)):
+        kept, there, back = names.near(name[x], name[y], stem[x], least)
+        x, y = x[kept], y[kept]
+        equal = name[x] == name[y]
+        yield x, y, np.where(equal, 1.0, there), np.where(equal, 1.0, back)
+
+
+def _compare_near(rows: pa.Table, least: float) -> Counter:
+    """(label, relation, case) -> pairs of facts of one attribute and stem whose keys differ and whose names reach ``least``."""
+    starts = _starts(rows, ("attribute", "stem", "name", "entity"))
+    ends = np.r_[starts[1:], rows.num_rows]
+    (key,) = _codes(rows["entity"])
+    facts = _Facts(rows)
+    names = pc.unique(rows["attribute"])
+    label = pc.index_in(rows["attribute"], value_set=names).to_numpy()
+    found = np.zeros((len(names), 256, 2), dtype=np.int64)
+    for x, y, there, back in _near_nodes(rows, starts, ("attribute", "stem"), least):
+        # a key that is null equals none
+        differ = (key[starts[x]] != key[starts[y]]) | (key[starts[x]] < 0)
+        for a, b, blend in ((x, y, there), (y, x, back)):
+            a, b = a[differ & (blend >= least)], b[differ & (blend >= least)]
+            n = ends[a] - starts[a]
+            older = np.repeat(starts[a], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            for i, j in _crossed(older, np.repeat(ends[b], n), np.repeat(starts[b], n)):
+                _count(facts, i, j, label[i], found)
+    # names that are one, without a key
+    alone = np.flatnonzero(key[starts] < 0)
+    last = np.repeat(ends, ends - starts)
+    first_stem = np.array([s == (min(t.split(" ")) if t else n) for s, t, n in zip(*(rows[c].take(starts[alone]).to_pylist() for c in ("stem", "stems", "name")))], dtype=bool)
+    alone = alone[first_stem]
+    n = ends[alone] - starts[alone]
+    every = np.repeat(starts[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    for i, j in _crossed(every, last):
+        _count(facts, i, j, label[i], found)
+    return _by_case(names, found)
+
+
 def _compare(rows: pa.Table, keys: tuple[str, ...]) -> Counter:
     """(label, relation, case) -> pairs of whole groups, sorted by ``seq`` inside."""
     starts = _starts(rows, keys)
@@ -159,13 +264,7 @@ def _compare(rows: pa.Table, keys: tuple[str, ...]) -> Counter:
     sizes = np.diff(np.r_[starts, rows.num_rows])
     small = np.repeat(sizes <= _SMALL, sizes)
     last = np.repeat(starts + sizes, sizes)
-    every = np.flatnonzero(small & facts.older & (last - np.arange(rows.num_rows) > 1))
-    step = _CELLS // _SMALL
-    for at in range(0, len(every), step):
-        i = every[at : at + step]
-        later = last[i] - i - 1
-        first = np.repeat(i, later)
-        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+    for first, second in _crossed(np.flatnonzero(small & facts.older), last):
         _count(facts, first, second, label[first], found)
     for at, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL]):
         a, b = (at + np.flatnonzero(x[at : at + n]) for x in (facts.older, facts.newer))
@@ -177,6 +276,10 @@ def _compare(rows: pa.Table, keys: tuple[str, ...]) -> Counter:
             block = a[done : done + max(1, _CELLS // len(meets))]
             _count(facts, block[:, None], meets[None, :], int(label[at]), found)
             done += len(block)
+    return _by_case(names, found)
+
+
+def _by_case(names: pa.Array, found: np.ndarray) -> Counter:
     out: Counter = Counter()
     for k, bits in zip(*np.nonzero(found[:, :, 0])):
         if bits & _COUNTS:
@@ -197,12 +300,39 @@ def counted(rows: DataFrame, *keys: str) -> DataFrame:
     smaller and a larger ``seq`` and two documents.
     """
     asked = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, "seq", "doc")))
-    placed = asked.repartition(*keys).sortWithinPartitions(*keys, "seq")
+    return _summed(asked.repartition(*keys).sortWithinPartitions(*keys, "seq"), keys, lambda whole: _compare(whole, keys))
+
+
+def counted_near(rows: DataFrame, least: float) -> DataFrame:
+    """``counted`` for facts of one ``attribute`` whose ``entity`` keys differ and whose names are similar enough, older one first.
+
+    ``rows`` has ``name`` (the compared text), ``stems`` (its word beginnings,
+    parted by blanks) and, for each of those, a row with it as ``stem``. Names
+    that share none can't reach 0.7.
+    """
+    asked = rows.where("attribute IS NOT NULL AND name <> '' AND seq IS NOT NULL AND doc IS NOT NULL")
+    return _summed(asked.repartition("attribute", "stem").sortWithinPartitions("attribute", "stem", "name", "entity", "seq"), ("attribute", "stem"), lambda whole: _compare_near(whole, least))
+
+
+def near_texts(names: DataFrame, least: float) -> DataFrame:
+    """(a_name, b_name, similarity) of different names that reach ``least``, both ways round; ``names`` as in ``counted_near``."""
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_groups(batches, ("stem",)):
+            name = whole["name"].combine_chunks()
+            for x, y, there, back in _near_nodes(whole, np.arange(whole.num_rows), ("stem",), least):
+                for a, b, blend in ((x, y, there), (y, x, back)):
+                    a, b, blend = (v[blend >= least] for v in (a, b, blend))
+                    yield pa.RecordBatch.from_arrays([name.take(pa.array(a)), name.take(pa.array(b)), pa.array(blend)], ["a_name", "b_name", "similarity"])
+
+    return names.repartition("stem").sortWithinPartitions("stem", "name").mapInArrow(find, "a_name string, b_name string, similarity double")
+
 
+def _summed(placed: DataFrame, keys: tuple[str, ...], compare: Callable[[pa.Table], Counter]) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for whole in _whole_groups(batches, keys):
-            found.update(_compare(whole, keys))
+            found.update(compare(whole))
         cells = [(*k, n) for k, n in found.items() if n]
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[n] for x in cells], kind) for n, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["label", "relation", "case", "pairs"]

@@ -1,15 +1,18 @@
 """Counts of cases against the classified pairs themselves."""
 
 from collections import Counter
+from difflib import SequenceMatcher
 from random import Random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions.similarity import match_ratios
 from quern.operators import reconcile, tally
 from quern.plans import registry
 from quern.session import checkpointed
 from tests.test_reconcile import KEYED, facts
+from tests.test_similar import NAMES
 
 PERIODS = (("2021-04-01", "2022-03-31"), ("2021-04-01", "2021-06-30"), ("2021-05-01", "2022-05-31"), ("2020-01-01", "2023-01-01"), ("2022-05-01", "2021-01-01"), (None, "2021-01-01"), ("", ""))
 NUMBERS = (None, 0.0, -0.0, 100.0, 100.4, 101.1, -100.0, float("nan"), float("inf"), float("-inf"))
@@ -81,3 +84,30 @@ def test_incremental_counts_write_no_pairs_out(spark, tmp_path):
     found = registry.QUERIES["q32_incremental_equals_bulk"](spark, str(tmp_path))
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert counts(found, "case_type") == classified(reconcile.candidates(ordered), "case_type")
+
+
+def test_match_ratios_equal_the_matcher():
+    r = Random(3)
+    text = lambda: "".join(r.choice("abc d" if r.random() < 0.9 else "xé𝄞") for _ in range(r.choice((0, 1, 3, 9, 30, 30, 60, 199, 230))))
+    pairs = [(x := text(), "".join(c for c in x if r.random() < 0.8) if r.random() < 0.5 else text()) for _ in range(600)]
+    a, b = map(list, zip(*pairs))
+    assert match_ratios(a, b).tolist() == [SequenceMatcher(None, x, y).ratio() for x, y in pairs]
+    assert match_ratios([], []).tolist() == []
+
+
+def named(spark):
+    r = Random(11)
+    spelt = {x["fact_id"]: r.choice((*NAMES, None)) for x in table(spark).collect()}
+    names = spark.createDataFrame(list(spelt.items()), "fact_id string, spelt string")
+    return checkpointed(table(spark).join(names, "fact_id").withColumn("entity_raw", F.col("spelt")).drop("spelt"))
+
+
+def test_similar_names_write_no_pairs_out(spark, tmp_path):
+    df = named(spark)
+    by = ("attribute", "case_type", "relation")
+    want = classified(reconcile.fuzzy_candidates(df), *by)
+    assert want.total() > classified(reconcile.candidates(df), *by).total() > 0
+    df.write.parquet(str(tmp_path / "facts.parquet"))
+    found = registry.QUERIES["q46_reconcile_similar"](spark, str(tmp_path))
+    assert "b_" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert counts(found, *by) == want
