@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.periods import DISJOINT, EQUAL, PERPETUAL, SUBSET, SUPERSET, interval_relation
 from quern.functions.similarity import (
-    JACCARD_SHARE, RATIO_SHARE, SAME_NAME, compared_text, letter_marks, match_ratio, name_stems, similarity,
+    JACCARD_SHARE, RATIO_SHARE, SAME_NAME, compared_text, letter_marks, match_ratio, name_stems,
 )
 from quern.functions.text import strip
 from quern.functions.values import values_match
@@ -102,16 +102,14 @@ def similar_names(facts: DataFrame, least: float = SAME_NAME) -> DataFrame:
     """(name_a, name_b, similarity) of different entity spellings that reach ``least``, both ways round.
 
     Only the texts that are compared count, and many spellings share one: each
-    pair of those is bounded and matched once (``_near_names``), then spelt out.
+    pair of those is bounded and matched once (``tally.near_texts``), then spelt out.
     """
     names = facts.select(F.col("entity_raw").alias("raw")).where(F.col("raw").isNotNull()).distinct()
     texts = checkpointed(names.select("raw", compared_text(F.col("raw")).alias("name")))
-    distinct = texts.select(F.col("name").alias("a_name"), F.col("name").alias("a_entity_canonical"), F.lit("").alias("a_attribute_canonical")).distinct()
-    read = checkpointed(_names(distinct, "a"))
-    near = _near_names(read, read.withColumnsRenamed({c: f"b_{c[2:]}" for c in read.columns if c != "stem"}), least).select("a_name", "b_name")
-    scored = near.withColumn("similarity", similarity(F.col("a_name"), F.col("b_name")))
+    read = _stemmed(texts.select("name").where("name <> ''").distinct())
+    scored = tally.near_texts(read, least)
     # spellings of one text: its words and letters are the same
-    same = read.where(F.size("a_stems") > 0).select("a_name", F.col("a_name").alias("b_name"), F.lit(JACCARD_SHARE + RATIO_SHARE).alias("similarity")).distinct()
+    same = read.where("stems <> ''").select(F.col("name").alias("a_name"), F.col("name").alias("b_name"), F.lit(JACCARD_SHARE + RATIO_SHARE).alias("similarity")).distinct()
     side = lambda p: texts.select(F.col("raw").alias(f"name_{p}"), F.col("name").alias(f"{p}_name"))
     return scored.unionByName(same).join(side("a"), "a_name").join(side("b"), "b_name").where(f"name_a <> name_b AND similarity >= {least}").select("name_a", "name_b", "similarity")
 
@@ -214,9 +212,8 @@ def _stemmed(names: DataFrame) -> DataFrame:
 def fuzzy_candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
     """(attribute, case_type, relation, pairs): ``fuzzy_candidates``, classified and counted."""
     keys = (F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity"))
-    raw = facts.select("entity_raw") if newer is None else facts.select("entity_raw").union(newer.select("entity_raw"))
-    spellings = _stemmed(raw.where("entity_raw IS NOT NULL").distinct().select(F.col("entity_raw").alias("raw"), compared_text(F.col("entity_raw")).alias("name")))
-    meeting = _meeting(facts, newer, *keys, F.col("f_entity_raw").alias("raw")).join(spellings, "raw").drop("raw")
+    # read for each fact: cheaper than to bring facts and spellings together
+    meeting = _stemmed(_meeting(facts, newer, *keys, compared_text(F.col("f_entity_raw")).alias("name")))
     near = _as_cases(tally.counted_near(meeting, SAME_NAME))
     return candidate_cases(facts, newer).unionByName(near).groupBy("attribute", "case_type", "relation").agg(F.sum("pairs").alias("pairs"))
 
