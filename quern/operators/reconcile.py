@@ -212,7 +212,7 @@ def _stemmed(names: DataFrame) -> DataFrame:
 def fuzzy_candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
     """(attribute, case_type, relation, pairs): ``fuzzy_candidates``, classified and counted."""
     keys = (F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity"))
-    # read for each fact: cheaper than to bring facts and spellings together
+    # read for each fact: more CPU time than to join facts and spellings, but less disk
     meeting = _stemmed(_meeting(facts, newer, *keys, compared_text(F.col("f_entity_raw")).alias("name")))
     near = _as_cases(tally.counted_near(meeting, SAME_NAME))
     return candidate_cases(facts, newer).unionByName(near).groupBy("attribute", "case_type", "relation").agg(F.sum("pairs").alias("pairs"))
