@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import LEGAL_NOISE, strip, words
+from quern.functions.text import LEGAL_NOISE, let, strip, words
 
 NAME_NOISE = (*LEGAL_NOISE, "co", "company")
 JACCARD_SHARE, RATIO_SHARE, SAME_NAME = 0.4, 0.6, 0.70
@@ -23,8 +23,11 @@ QUOTE_RATIO = 0.85
 def name_words(name: Column) -> Column:
     """Words of a name in order, in lower case, without legal forms unless nothing else is left."""
     every = words(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}_]+", " "))
-    kept = F.filter(every, lambda w: ~w.isin(*NAME_NOISE))
-    return F.when(F.size(kept) > 0, kept).otherwise(every)
+    return let(every, lambda e: let(_kept(e), lambda k: F.when(F.size(k) > 0, k).otherwise(e)))
+
+
+def _kept(every: Column) -> Column:
+    return F.filter(every, lambda w: ~w.isin(*NAME_NOISE))
 
 
 def prefix_jaccard(a: Column, b: Column) -> Column:
@@ -37,9 +40,8 @@ def prefix_jaccard(a: Column, b: Column) -> Column:
 def compared_text(name: Column) -> Column:
     """The text whose characters are compared: kept words, or the whole name if it has only legal forms."""
     plain = F.lower(strip(F.coalesce(name, F.lit(""))))
-    every = words(F.regexp_replace(plain, r"[^\p{L}\p{N}_]+", " "))
-    kept = F.filter(every, lambda w: ~w.isin(*NAME_NOISE))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(plain)
+    kept = lambda p: _kept(words(F.regexp_replace(p, r"[^\p{L}\p{N}_]+", " ")))
+    return let(plain, lambda p: let(kept(p), lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(p)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -71,13 +71,13 @@ def entity_key(entity: Column) -> Column:
     """Words without legal forms, sorted by code point, joined by underscores."""
     kept = F.array_except(token_set(entity), F.array(*map(F.lit, LEGAL_NOISE)))
     key = F.array_join(F.array_sort(kept), "_")
-    return F.when(entity.isNull() | (entity == ""), F.lit(NO_ENTITY)).when(key == "", F.lit(ONLY_NOISE)).otherwise(key)
+    return F.when(entity.isNull() | (entity == ""), F.lit(NO_ENTITY)).otherwise(let(key, lambda k: F.when(k == "", F.lit(ONLY_NOISE)).otherwise(k)))
 
 
 def attribute_key(attribute: Column) -> Column:
     """All words, sorted by code point, joined by underscores."""
     key = F.array_join(F.array_sort(token_set(attribute)), "_")
-    return F.when(attribute.isNull() | (attribute == ""), F.lit(NO_ATTRIBUTE)).when(key == "", F.lit(ONLY_MARKS)).otherwise(key)
+    return F.when(attribute.isNull() | (attribute == ""), F.lit(NO_ATTRIBUTE)).otherwise(let(key, lambda k: F.when(k == "", F.lit(ONLY_MARKS)).otherwise(k)))
 
 
 def fact_id(entity: Column, attribute: Column, doc_hash: Column, page: Column, raw_value: Column) -> Column:

@@ -162,9 +162,15 @@ def classify(pairs: DataFrame) -> DataFrame:
     free = ~F.coalesce(c("a_is_quarantined"), F.lit(False)) & ~F.coalesce(c("b_is_quarantined"), F.lit(False))
     t = _tests()
     tested = pairs.where(apart & free).select("*", *(F.coalesce(x, F.lit(False)).alias(n) if n != "relation" else x.alias(n) for n, x in t.items()))
-    aligned = c("relation").isin(EQUAL, PERPETUAL)
-    settled = aligned & c("same_scope") & c("same_unit")
+    settled = c("relation").isin(EQUAL, PERPETUAL) & c("same_scope") & c("same_unit")
     case = F.when(settled & c("same_value"), F.lit(CORROBORATION)).when(settled, F.lit(CONTRADICTION)).otherwise(F.lit(RECONCILED))
+    return _explained(tested.withColumn("case_type", case))
+
+
+def _explained(cases: DataFrame) -> DataFrame:
+    """Pairs with ``differing_dimensions`` and ``rationale``, from ``relation``, ``same_scope``, ``same_unit`` and ``case_type``."""
+    c = F.col
+    aligned = c("relation").isin(EQUAL, PERPETUAL)
     # The labels of the dimensions, and None for a missing value.
     text = lambda x: F.coalesce(x, F.lit("None"))
     versus = lambda label, x: F.concat(F.lit(label + " ("), text(c(f"a_{x}")), F.lit(" vs "), text(c(f"b_{x}")), F.lit(")"))
@@ -179,27 +185,36 @@ def classify(pairs: DataFrame) -> DataFrame:
     dims = F.when(c("case_type") == CORROBORATION, F.array().cast("array<string>")).when(
         c("case_type") == CONTRADICTION, F.array(F.lit(CONFLICT))
     ).otherwise(F.filter(F.array(time, scope, unit), lambda x: x.isNotNull()))
-    named = tested.withColumn("case_type", case).withColumn("differing_dimensions", dims)
+    named = cases.withColumn("differing_dimensions", dims)
     why = F.when(c("case_type") == RECONCILED, F.concat(F.lit(WHY[RECONCILED]), F.array_join("differing_dimensions", ", "), F.lit(".")))
     return named.withColumn("rationale", why.when(c("case_type") == CORROBORATION, F.lit(WHY[CORROBORATION])).otherwise(F.lit(WHY[CONTRADICTION])))
 
 
+def _part(facts: DataFrame, older: bool, newer: bool, *keys: Column) -> DataFrame:
+    """The facts that take part in pairs, as ``tally`` compares them, with ``keys`` of them and the sides that they may take."""
+    return _side(facts, "f").select(*keys, *tally.compared("f_"), F.lit(older).alias("older"), F.lit(newer).alias("newer"))
+
+
 def _meeting(facts: DataFrame, newer: DataFrame | None, *keys: Column) -> DataFrame:
-    """The facts that take part in pairs, as ``tally`` compares them."""
-    part = lambda x, older, later: _side(x, "f").select(*keys, *tally.compared("f_"), F.lit(older).alias("older"), F.lit(later).alias("newer"))
-    return part(facts, True, True) if newer is None else part(facts, True, False).unionByName(part(newer, False, True))
+    return _part(facts, True, True, *keys) if newer is None else _part(facts, True, False, *keys).unionByName(_part(newer, False, True, *keys))
 
 
-def _as_cases(counts: DataFrame) -> DataFrame:
+def _case() -> Column:
     cases = {tally.CORROBORATION: CORROBORATION, tally.CONTRADICTION: CONTRADICTION, tally.RECONCILED: RECONCILED}
-    case = F.create_map(*(F.lit(x) for pair in cases.items() for x in pair))[F.col("case")]
-    return counts.select(F.col("label").alias("attribute"), case.alias("case_type"), "relation", "pairs")
+    return F.create_map(*(F.lit(x) for pair in cases.items() for x in pair))[F.col("case")].alias("case_type")
+
+
+def _as_cases(counts: DataFrame) -> DataFrame:
+    return counts.select(F.col("label").alias("attribute"), _case(), "relation", "pairs")
+
+
+def _thing() -> tuple[Column, ...]:
+    return F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity")
 
 
 def candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
     """(attribute, case_type, relation, pairs): ``candidates``, classified and counted."""
-    keys = (F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity"))
-    return _as_cases(tally.counted(_meeting(facts, newer, *keys), "attribute", "entity"))
+    return _as_cases(tally.counted(_meeting(facts, newer, *_thing()), "attribute", "entity"))
 
 
 def _stemmed(names: DataFrame) -> DataFrame:
@@ -211,16 +226,40 @@ def _stemmed(names: DataFrame) -> DataFrame:
 
 def fuzzy_candidate_cases(facts: DataFrame, newer: DataFrame | None = None) -> DataFrame:
     """(attribute, case_type, relation, pairs): ``fuzzy_candidates``, classified and counted."""
-    keys = (F.col("f_attribute_canonical").alias("attribute"), F.col("f_entity_canonical").alias("entity"))
     # read for each fact: more CPU time than to join facts and spellings, but less disk
-    meeting = _stemmed(_meeting(facts, newer, *keys, compared_text(F.col("f_entity_raw")).alias("name")))
+    meeting = _stemmed(_meeting(facts, newer, *_thing(), compared_text(F.col("f_entity_raw")).alias("name")))
     near = _as_cases(tally.counted_near(meeting, SAME_NAME))
     return candidate_cases(facts, newer).unionByName(near).groupBy("attribute", "case_type", "relation").agg(F.sum("pairs").alias("pairs"))
 
 
+def new_slices(stored: DataFrame, new: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """``tally.SLICE`` rows of the pairs whose newer side is one of ``new``, by equal keys and, if ``fuzzy``, by similar spellings too."""
+    met = lambda *keys: _part(stored, True, False, *keys).unionByName(_part(new, True, True, *keys))
+    told = (*_thing(), *tally.shown("f_"))
+    found = tally.listed(met(*told), "attribute", "entity")
+    if fuzzy:
+        found = found.unionByName(tally.listed_near(_stemmed(met(*told, compared_text(F.col("f_entity_raw")).alias("name"))), SAME_NAME))
+    return found
+
+
+def slice_cases(slices: DataFrame) -> DataFrame:
+    """(case_type, pairs) of slices."""
+    return tally.slice_counts(slices).groupBy(_case()).agg(F.sum("pairs").alias("pairs"))
+
+
+def slice_relationships(slices: DataFrame) -> DataFrame:
+    """The pairs of slices as relationship rows."""
+    same = {n: F.coalesce(x, F.lit(False)) for n, x in _tests().items() if n in ("same_scope", "same_unit")}
+    return _rows(_explained(tally.slice_pairs(slices).withColumns(same | {"case_type": _case()})))
+
+
 def relationships(pairs: DataFrame) -> DataFrame:
     """Classified pairs as relationship rows."""
-    return classify(pairs).select(
+    return _rows(classify(pairs))
+
+
+def _rows(classified: DataFrame) -> DataFrame:
+    return classified.select(
         F.col("a_fact_id").alias("fact_id_a"), F.col("b_fact_id").alias("fact_id_b"), "case_type", "rationale", "differing_dimensions"
     )
 

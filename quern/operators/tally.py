@@ -1,8 +1,11 @@
-"""Counts of classified pairs, found without writing the pairs out.
+"""Classified pairs, counted or kept in slices, without a row for each.
 
 The pairs of an entity grow with the square of its facts, their counts by case
 don't. Facts that may meet are brought together; there each pair is compared as
 ``reconcile.classify`` does, in numpy.
+
+A slice has facts and a byte for each of their pairs, which says relation and
+case; ``slice_pairs`` spells them out again.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ _CELLS = 1 << 19
 _FROM_LATE, _FROM_EARLY, _TO_LATE, _TO_EARLY, _DISJOINT, _OPEN, _COUNTS, _SAME = (1 << n for n in range(8))
 
 
+def shown(prefix: str = "") -> list[Column]:
+    """What a relationship tells of a fact besides its unit."""
+    return [_short(F.col(f"{prefix}fact_id")).alias("id"), F.col(f"{prefix}temporal_raw").alias("said"), F.col(f"{prefix}scope").alias("place")]
+
+
 def compared(prefix: str = "") -> list[Column]:
     """What a fact is compared by (``classify``'s tests), from its columns under ``prefix``."""
     c = lambda n: F.col(prefix + n)
@@ -44,8 +52,14 @@ def compared(prefix: str = "") -> list[Column]:
 
 
 def _short(digest: Column) -> Column:
-    """Another name for each text, half as long for SHA-256 digests, as most of what is shuffled would be those."""
-    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.concat(F.lit(b"\x00"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\x01"), F.encode(digest, "UTF-8")))
+    """Another name for each text, half as long for digests, as most of what is shuffled would be those."""
+    return F.when(digest.rlike(r"\A([0-9a-f]{2})+\z"), F.concat(F.lit(b"\x00"), F.unhex(digest))).otherwise(F.concat(F.lit(b"\x01"), F.encode(digest, "UTF-8")))
+
+
+def _long(name: Column) -> Column:
+    """The text that ``_short`` made ``name`` of."""
+    rest = F.substring(name, 2, 1 << 30)
+    return F.when(F.substring(name, 1, 1) == F.lit(b"\x00"), F.lower(F.hex(rest))).otherwise(F.decode(rest, "UTF-8"))
 
 
 def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
@@ -137,13 +151,18 @@ def _relation(bits: int) -> str:
 
 
 _SETTLED = np.array([bool(n & _COUNTS and n & _SAME) and _relation(n) in (EQUAL, PERPETUAL) for n in range(256)])
+_RELATIONS = (EQUAL, PERPETUAL, DISJOINT, SUBSET, SUPERSET, OVERLAPPING)
+#: A pair's byte in a slice: 0 for none that is asked for, else 1 and up by relation and case; as if the values differed.
+_BYTE = np.array([1 + 3 * _RELATIONS.index(_relation(n)) + (CONTRADICTION if _SETTLED[n] else RECONCILED) if n & _COUNTS else 0 for n in range(256)], dtype=np.uint8)
+_KINDS = 3 * len(_RELATIONS)
 
 
-def _count(facts: _Facts, i: np.ndarray, j: np.ndarray, label: np.ndarray | int, found: np.ndarray) -> None:
+def _count(facts: _Facts, i: np.ndarray, j: np.ndarray, labels: np.ndarray, found: np.ndarray) -> None:
     """Adds the pairs to ``found``: by label, bits and whether the values agree."""
     bits = facts.seen(i, j)
     settled = np.flatnonzero(_SETTLED[bits].ravel())
-    if isinstance(label, np.ndarray):
+    label = labels[i] if i.ndim == 1 else int(labels[i[0, 0]])
+    if i.ndim == 1:
         cell = label.astype(np.int64) * 256 + bits
         x, y, cell_settled = i[settled], j[settled], cell[settled]
         found[:, :, 0] += np.bincount(cell, minlength=found[:, :, 0].size).reshape(found.shape[:2])
@@ -186,16 +205,19 @@ class _Names:
         self.bits = np.array([sum({1 << number[s] % 64 for s in x}) for x in self.stems], dtype=np.uint64)
         self.hidden = self.k - np.bitwise_count(self.bits)
 
-    def near(self, x: np.ndarray, y: np.ndarray, stem: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def near(self, x: np.ndarray, y: np.ndarray, stem: np.ndarray, at: np.ndarray, least: float, wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which pairs, blend of x with y, blend of y with x) of the pairs of names that may reach ``least`` either way.
 
-        ``stem`` is what the two were brought together by; a pair counts only
-        under the first that they share. Bounds go from cheap to dear.
+        ``stem[at]`` is what the two were brought together by; a pair counts
+        only under the first that they share. ``wanted`` tells which of some
+        pairs are asked for. Bounds go from cheap to dear.
         """
         bound = lambda shared, letters, x, y: JACCARD_SHARE * (shared / np.maximum(self.k[x] + self.k[y] - shared, 1)) + RATIO_SHARE * (2 * letters / (self.n[x] + self.n[y]))
         shared = np.bitwise_count(self.bits[x] & self.bits[y]) + np.minimum(self.hidden[x], self.hidden[y])
         equal = x == y
         kept = np.flatnonzero(equal | (bound(shared, np.minimum(self.n[x], self.n[y]), x, y) >= least - 1e-9))
+        if wanted:
+            kept = kept[wanted(kept)]
         u, v = x[kept], y[kept]
         letters = np.minimum(self.letters[u], self.letters[v]).sum(axis=1)
         some = equal[kept] | (bound(shared[kept], letters, u, v) >= least - 1e-9)
@@ -203,7 +225,7 @@ class _Names:
         u, v = x[kept], y[kept]
         common = [self.stems[i] & self.stems[j] for i, j in zip(u.tolist(), v.tolist())]
         shared = np.array([len(c) for c in common], dtype=np.int64)
-        here = np.array([(min(c) if c else self.texts[i]) == s for c, i, s in zip(common, u.tolist(), stem[kept])], dtype=bool)
+        here = np.array([(min(c) if c else self.texts[i]) == s for c, i, s in zip(common, u.tolist(), stem[at[kept]])], dtype=bool)
         here &= equal[kept] | (bound(shared, letters, u, v) >= least - 1e-9)
         kept, shared = kept[here], shared[here]
         u, v = x[kept].tolist(), y[kept].tolist()
@@ -212,8 +234,11 @@ class _Names:
         return kept, overlap + RATIO_SHARE * match_ratios(a, b), overlap + RATIO_SHARE * match_ratios(b, a)
 
 
-def _near_nodes(rows: pa.Table, starts: np.ndarray, group: tuple[str, ...], least: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(x, y, blend, blend the other way) of names of one group that may reach ``least``, as numbers of ``starts``; equal ones are above it."""
+def _near_nodes(rows: pa.Table, starts: np.ndarray, group: tuple[str, ...], least: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(x, y, blend, blend the other way) of names of one group that may reach ``least``, as numbers of ``starts``; equal ones are above it.
+
+    Only those that ``wanted`` says yes to, if it is given.
+    """
     nodes = rows.select(["name", "stems", "stem", *(k for k in group if k != "stem")]).take(starts)
     texts = pc.unique(nodes["name"])
     name = pc.index_in(nodes["name"], value_set=texts).to_numpy()
@@ -223,54 +248,46 @@ def _near_nodes(rows: pa.Table, starts: np.ndarray, group: tuple[str, ...], leas
     sizes = np.diff(np.r_[begins, len(starts)])
     stem = np.array(nodes["stem"].to_pylist(), dtype=object)
     for x, y in _crossed(np.arange(len(starts)), np.repeat(begins + sizes, sizes)):
-        kept, there, back = names.near(name[x], name[y], stem[x], least)
+        kept, there, back = names.near(name[x], name[y], stem, x, least, wanted and (lambda some, x=x, y=y: wanted(x[some], y[some])))
         x, y = x[kept], y[kept]
         equal = name[x] == name[y]
         yield x, y, np.where(equal, 1.0, there), np.where(equal, 1.0, back)
 
 
-def _compare_near(rows: pa.Table, least: float) -> Counter:
-    """(label, relation, case) -> pairs of facts of one attribute and stem whose keys differ and whose names reach ``least``."""
+def _near_pairs(rows: pa.Table, facts: _Facts, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What may be pairs of facts of one attribute and stem whose keys differ and whose names reach ``least``."""
     starts = _starts(rows, ("attribute", "stem", "name", "entity"))
     ends = np.r_[starts[1:], rows.num_rows]
-    (key,) = _codes(rows["entity"])
-    facts = _Facts(rows)
-    names = pc.unique(rows["attribute"])
-    label = pc.index_in(rows["attribute"], value_set=names).to_numpy()
-    found = np.zeros((len(names), 256, 2), dtype=np.int64)
-    for x, y, there, back in _near_nodes(rows, starts, ("attribute", "stem"), least):
+    key = _codes(rows["entity"])[0][starts]
+    older, newer = (np.logical_or.reduceat(x, starts) for x in (facts.older, facts.newer))
+
+    def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         # a key that is null equals none
-        differ = (key[starts[x]] != key[starts[y]]) | (key[starts[x]] < 0)
+        differ = (key[x] != key[y]) | (key[x] < 0)
+        return differ & ((older[x] & newer[y]) | (older[y] & newer[x]))
+
+    for x, y, there, back in _near_nodes(rows, starts, ("attribute", "stem"), least, wanted):
         for a, b, blend in ((x, y, there), (y, x, back)):
-            a, b = a[differ & (blend >= least)], b[differ & (blend >= least)]
+            a, b = a[blend >= least], b[blend >= least]
             n = ends[a] - starts[a]
-            older = np.repeat(starts[a], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            for i, j in _crossed(older, np.repeat(ends[b], n), np.repeat(starts[b], n)):
-                _count(facts, i, j, label[i], found)
+            first = np.repeat(starts[a], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield from _crossed(first, np.repeat(ends[b], n), np.repeat(starts[b], n))
     # names that are one, without a key
-    alone = np.flatnonzero(key[starts] < 0)
+    alone = np.flatnonzero(key < 0)
     last = np.repeat(ends, ends - starts)
     first_stem = np.array([s == (min(t.split(" ")) if t else n) for s, t, n in zip(*(rows[c].take(starts[alone]).to_pylist() for c in ("stem", "stems", "name")))], dtype=bool)
     alone = alone[first_stem]
     n = ends[alone] - starts[alone]
-    every = np.repeat(starts[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    for i, j in _crossed(every, last):
-        _count(facts, i, j, label[i], found)
-    return _by_case(names, found)
+    yield from _crossed(np.repeat(starts[alone], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), last)
 
 
-def _compare(rows: pa.Table, keys: tuple[str, ...]) -> Counter:
-    """(label, relation, case) -> pairs of whole groups, sorted by ``seq`` inside."""
+def _equal_pairs(rows: pa.Table, facts: _Facts, keys: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What may be pairs inside whole groups, sorted by ``seq`` inside: two lists, or a column and a row to cross."""
     starts = _starts(rows, keys)
-    facts = _Facts(rows)
-    names = pc.unique(rows[keys[0]])
-    label = pc.index_in(rows[keys[0]], value_set=names).to_numpy()
-    found = np.zeros((len(names), 256, 2), dtype=np.int64)
     sizes = np.diff(np.r_[starts, rows.num_rows])
     small = np.repeat(sizes <= _SMALL, sizes)
-    last = np.repeat(starts + sizes, sizes)
-    for first, second in _crossed(np.flatnonzero(small & facts.older), last):
-        _count(facts, first, second, label[first], found)
+    yield from _crossed(np.flatnonzero(small & facts.older), np.repeat(starts + sizes, sizes))
+    side = int(_CELLS**0.5)
     for at, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL]):
         a, b = (at + np.flatnonzero(x[at : at + n]) for x in (facts.older, facts.newer))
         done = 0
@@ -278,12 +295,72 @@ def _compare(rows: pa.Table, keys: tuple[str, ...]) -> Counter:
             meets = b[np.searchsorted(facts.seq[b], facts.seq[a[done]], "right") :]
             if not len(meets):
                 break
-            block = a[done : done + max(1, _CELLS // len(meets))]
-            _count(facts, block[:, None], meets[None, :], int(label[at]), found)
+            block = a[done : done + max(side, _CELLS // len(meets))]
+            # nearly square, so that a slice has few facts for its pairs
+            width = max(side, _CELLS // len(block))
+            for to in range(0, len(meets), width):
+                yield block[:, None], meets[None, to : to + width]
             done += len(block)
+
+
+def _compare(rows: pa.Table, facts: _Facts, pairs: Iterable[tuple[np.ndarray, np.ndarray]], label: str) -> Counter:
+    """(label, relation, case) -> pairs."""
+    names = pc.unique(rows[label])
+    labels = pc.index_in(rows[label], value_set=names).to_numpy()
+    found = np.zeros((len(names), 256, 2), dtype=np.int64)
+    for i, j in pairs:
+        _count(facts, i, j, labels, found)
     return _by_case(names, found)
 
 
+def _bytes(facts: _Facts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The pairs' bytes."""
+    bits = facts.seen(i, j)
+    out = _BYTE[bits]
+    settled = np.flatnonzero(_SETTLED[bits].ravel())
+    if i.ndim == 1:
+        x, y = i[settled], j[settled]
+    else:
+        row, column = np.divmod(settled, bits.shape[1])
+        x, y = i[row, 0], j[0, column]
+    out.reshape(-1)[settled[facts.agree(x, y)]] -= np.uint8(CONTRADICTION - CORROBORATION)
+    return out
+
+
+SLICE = "ids array<binary>, said array<string>, places array<string>, units array<string>, older binary, newer binary, crossed boolean, kinds binary, counts array<bigint>"
+
+
+def _slice(rows: pa.Table, i: np.ndarray, j: np.ndarray, kinds: np.ndarray, crossed: bool) -> pa.RecordBatch:
+    at, place = np.unique(np.r_[i, j], return_inverse=True)
+    place = place.astype("<i4")
+    facts = rows.select(["id", "said", "place", "unit"]).take(at).combine_chunks()
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.concat_arrays(c.chunks)) for c in facts.columns]
+    counts = np.bincount(kinds, minlength=_KINDS + 1)[1:]
+    rest = [place[: len(i)].tobytes(), place[len(i) :].tobytes(), crossed, kinds.tobytes(), counts.tolist()]
+    kept = [pa.array([x], kind) for x, kind in zip(rest, (pa.binary(), pa.binary(), pa.bool_(), pa.binary(), pa.list_(pa.int64())))]
+    return pa.RecordBatch.from_arrays([*lists, *kept], [f.split()[0] for f in SLICE.split(", ")])
+
+
+def _slices(rows: pa.Table, facts: _Facts, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """All of ``pairs`` that are asked for, as slices: crossed ones as they come, the others together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for i, j in pairs:
+        kinds = _bytes(facts, i, j)
+        if i.ndim == 2:
+            if kinds.any():
+                yield _slice(rows, i[:, 0], j[0], kinds.ravel(), True)
+            continue
+        kept = np.flatnonzero(kinds)
+        held.append((i[kept], j[kept], kinds[kept]))
+        n += len(kept)
+        if n >= _CELLS:
+            yield _slice(rows, *map(np.concatenate, zip(*held)), False)
+            held, n = [], 0
+    if n:
+        yield _slice(rows, *map(np.concatenate, zip(*held)), False)
+
+
 def _by_case(names: pa.Array, found: np.ndarray) -> Counter:
     out: Counter = Counter()
     for k, bits in zip(*np.nonzero(found[:, :, 0])):
@@ -304,8 +381,7 @@ def counted(rows: DataFrame, *keys: str) -> DataFrame:
     pair's older side (``older``) or its newer one (``newer``). A pair has a
     smaller and a larger ``seq`` and two documents.
     """
-    asked = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, "seq", "doc")))
-    return _summed(asked.repartition(*keys).sortWithinPartitions(*keys, "seq"), keys, lambda whole: _compare(whole, keys))
+    return _summed(_by_keys(rows, keys), keys, lambda whole, facts: _equal_pairs(whole, facts, keys), keys[0])
 
 
 def counted_near(rows: DataFrame, least: float) -> DataFrame:
@@ -315,8 +391,70 @@ def counted_near(rows: DataFrame, least: float) -> DataFrame:
     parted by blanks) and, for each of those, a row with it as ``stem``. Names
     that share none can't reach 0.7.
     """
+    return _summed(_by_stem(rows), ("attribute", "stem"), lambda whole, facts: _near_pairs(whole, facts, least), "attribute")
+
+
+def listed(rows: DataFrame, *keys: str) -> DataFrame:
+    """``SLICE`` rows of the pairs that ``counted`` counts; ``rows`` has ``shown``'s columns too."""
+    return _cut(_by_keys(rows, keys), keys, lambda whole, facts: _equal_pairs(whole, facts, keys))
+
+
+def listed_near(rows: DataFrame, least: float) -> DataFrame:
+    """``SLICE`` rows of the pairs that ``counted_near`` counts; ``rows`` has ``shown``'s columns too."""
+    return _cut(_by_stem(rows), ("attribute", "stem"), lambda whole, facts: _near_pairs(whole, facts, least))
+
+
+def _by_keys(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    asked = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, "seq", "doc")))
+    return asked.repartition(*keys).sortWithinPartitions(*keys, "seq")
+
+
+def _by_stem(rows: DataFrame) -> DataFrame:
     asked = rows.where("attribute IS NOT NULL AND name <> '' AND seq IS NOT NULL AND doc IS NOT NULL")
-    return _summed(asked.repartition("attribute", "stem").sortWithinPartitions("attribute", "stem", "name", "entity", "seq"), ("attribute", "stem"), lambda whole: _compare_near(whole, least))
+    return asked.repartition("attribute", "stem").sortWithinPartitions("attribute", "stem", "name", "entity", "seq")
+
+
+def _cut(placed: DataFrame, keys: tuple[str, ...], pairs: Callable[[pa.Table, _Facts], Iterable[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_groups(batches, keys):
+            facts = _Facts(whole)
+            yield from _slices(whole, facts, pairs(whole, facts))
+
+    return placed.mapInArrow(cut, SLICE)
+
+
+def slice_counts(slices: DataFrame) -> DataFrame:
+    """(relation, case, pairs) of all slices, by what each has of every kind."""
+    relation = F.array(*map(F.lit, _RELATIONS))[F.floor(F.col("kind") / 3).cast("int")]
+    each = slices.select(F.posexplode("counts").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("pairs")).where("pairs > 0")
+    return each.select(relation.alias("relation"), (F.col("kind") % 3).alias("case"), "pairs")
+
+
+_PAIR = "id_a binary, id_b binary, relation int, case int, a_temporal_raw string, b_temporal_raw string, a_scope string, b_scope string, a_canonical_unit string, b_canonical_unit string"
+
+
+def slice_pairs(slices: DataFrame) -> DataFrame:
+    """(a_fact_id, b_fact_id, relation, case, and a_ and b_ temporal_raw, scope, canonical_unit): a row for each pair of the slices."""
+
+    def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                one = {c: batch.column(c)[n] for c in batch.schema.names}
+                lists = [one[c].values for c in ("ids", "said", "places", "units")]
+                older, newer = (np.frombuffer(one[c].as_py(), dtype="<i4") for c in ("older", "newer"))
+                kinds = np.frombuffer(one["kinds"].as_py(), dtype=np.uint8)
+                there = np.flatnonzero(kinds)
+                for at in range(0, len(there), _ROWS):
+                    some = there[at : at + _ROWS]
+                    i, j = divmod(some, len(newer)) if one["crossed"].as_py() else (some, some)
+                    relation, case = np.divmod(kinds[some].astype(np.int32) - 1, 3)
+                    sides = [(x.take(pa.array(older[i])), x.take(pa.array(newer[j]))) for x in lists]
+                    columns = [*sides[0], pa.array(relation), pa.array(case), *(x for s in sides[1:] for x in s)]
+                    yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _PAIR.split(", ")])
+
+    pairs = slices.drop("counts").mapInArrow(spell, _PAIR)
+    relation = F.array(*map(F.lit, _RELATIONS))[F.col("relation")]
+    return pairs.withColumns({"a_fact_id": _long(F.col("id_a")), "b_fact_id": _long(F.col("id_b")), "relation": relation}).drop("id_a", "id_b")
 
 
 def near_texts(names: DataFrame, least: float) -> DataFrame:
@@ -333,11 +471,12 @@ def near_texts(names: DataFrame, least: float) -> DataFrame:
     return names.repartition("stem").sortWithinPartitions("stem", "name").mapInArrow(find, "a_name string, b_name string, similarity double")
 
 
-def _summed(placed: DataFrame, keys: tuple[str, ...], compare: Callable[[pa.Table], Counter]) -> DataFrame:
+def _summed(placed: DataFrame, keys: tuple[str, ...], pairs: Callable[[pa.Table, _Facts], Iterable[tuple[np.ndarray, np.ndarray]]], label: str) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for whole in _whole_groups(batches, keys):
-            found.update(compare(whole))
+            facts = _Facts(whole)
+            found.update(_compare(whole, facts, pairs(whole, facts), label))
         cells = [(*k, n) for k, n in found.items() if n]
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[n] for x in cells], kind) for n, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int64()))], ["label", "relation", "case", "pairs"]

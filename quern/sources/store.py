@@ -7,7 +7,11 @@ and facts last, and its relationships are seen only with its facts: a batch that
 failed half-way shows nothing, and one that is replayed adds nothing twice.
 
 Within a batch, facts lie in buckets of their attribute, so that a later batch is
-compared with the buckets of its own attributes only.
+compared with the buckets of its own attributes only. They are written once, to
+``staged``, and moved from there when the batch is whole.
+
+Relationships grow with the square of a thing's facts; they are kept in slices
+(``tally``), a byte for each pair, and spelt out when they are read.
 """
 
 from __future__ import annotations
@@ -19,16 +23,14 @@ from pyspark.sql import types as T
 from quern.functions.periods import stated_period
 from quern.functions.text import attribute_key, entity_key, fact_id, strip
 from quern.functions.values import value_and_unit
-from quern.operators.reconcile import candidates, fuzzy_candidates, latest, relationships
+from quern.operators import tally
+from quern.operators.reconcile import latest, new_slices, slice_cases, slice_relationships
 from quern.session import checkpointed, collect_bounded
 from quern.sources.schemas import FACTS, RELATIONSHIPS, conform
 
 #: Buckets of attributes that a batch's facts are laid out in.
 BUCKETS = 32
-_PLACE = {
-    "facts": [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())],
-    "relationships": [T.StructField("batch", T.StringType())],
-}
+_PLACE = [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())]
 
 
 def attribute_bucket(attribute: Column) -> Column:
@@ -66,19 +68,40 @@ class FactStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
+    def _at(self, name: str) -> tuple:
+        """The file system and the path of ``name``."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        placed = T.StructType([*schema.fields, *_PLACE[name]])
+    def _exists(self, name: str) -> bool:
+        files, path = self._at(name)
+        return files.exists(path)
+
+    def _delete(self, name: str) -> None:
+        files, path = self._at(name)
+        files.delete(path, True)
+
+    def _move(self, name: str, to: str) -> None:
+        """Puts ``name`` in the place of ``to``."""
+        (files, path), (_, target) = self._at(name), self._at(to)
+        files.delete(target, True)
+        files.mkdirs(target.getParent())
+        if not files.rename(path, target):
+            raise OSError(f"{path} can't be moved to {target}")
+
+    def _read(self, name: str) -> DataFrame:
+        placed = T.StructType([*FACTS.fields, *_PLACE])
         return self.spark.read.schema(placed).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], placed)
 
-    def _write(self, rows: DataFrame, name: str, batch_id: str, *by: str) -> None:
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{name}/batch={batch_id}")
+    def _slices(self) -> DataFrame:
+        """The slices of the batches whose facts are stored."""
+        placed = f"{tally.SLICE}, batch string"
+        if not self._exists("relationships"):
+            return self.spark.createDataFrame([], placed)
+        return self.spark.read.schema(placed).parquet(f"{self.path}/relationships").join(self._placed().select("batch").distinct(), "batch", "left_semi")
 
     def _placed(self) -> DataFrame:
-        return self._read("facts", FACTS)
+        return self._read("facts")
 
     def deliveries(self) -> DataFrame:
         """Every delivery."""
@@ -93,15 +116,18 @@ class FactStore:
 
     def relationships(self) -> DataFrame:
         """The relationships of the batches whose facts are stored."""
-        return self._read("relationships", RELATIONSHIPS).join(self._placed().select("batch").distinct(), "batch", "left_semi").select(*RELATIONSHIPS.names)
+        return slice_relationships(self._slices().drop("batch"))
+
+    def cases(self) -> DataFrame:
+        """(case_type, pairs): ``relationships`` counted, without spelling them out."""
+        return slice_cases(self._slices())
 
     def has_document(self, doc_hash: str) -> bool:
         return not self.deliveries().where(F.col("doc_hash") == doc_hash).isEmpty()
 
     def reset(self) -> None:
-        for name in ("facts", "relationships"):
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        for name in ("facts", "relationships", "staged"):
+            self._delete(name)
 
     def _current(self, stored: DataFrame, buckets: list[int]) -> DataFrame:
         """The current facts in ``buckets``: whole rows are read of those only, of the others just ids and numbers."""
@@ -120,22 +146,26 @@ class FactStore:
         the batch's content. A batch that comes again under its name replaces
         what it wrote before, and is compared as if it hadn't been there.
         """
-        given = checkpointed(conform(batch, FACTS))
+        given = conform(batch, FACTS)
         if batch_id is None:
+            given = checkpointed(given)
             sums = given.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*FACTS.names).cast("decimal(38,0)")).alias("h")).first()
             batch_id = f"c{sums['n']}_{abs(sums['h'] or 0)}"
         stored = self._placed().where(F.col("batch") != batch_id)
-        # checkpoints, as plans over the store's own files must not be read after those are replaced
-        fresh = checkpointed(conform(canonicalize(unseen_documents(given, stored)), FACTS).withColumn("bucket", attribute_bucket(F.col("attribute_canonical"))))
-        if fresh.isEmpty():
+        fresh = conform(canonicalize(unseen_documents(given, stored)), FACTS).withColumn("bucket", attribute_bucket(F.col("attribute_canonical")))
+        # written out, as plans over the store's own files must not be read after those are replaced
+        staged = f"staged/batch={batch_id}"
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{staged}")
+        new = self._read(staged)
+        buckets = [r[0] for r in collect_bounded(new.select("bucket").distinct(), BUCKETS, "buckets")]
+        if not buckets:
+            self._delete(staged)
             return self.spark.createDataFrame([], RELATIONSHIPS)
-        buckets = [r[0] for r in collect_bounded(fresh.select("bucket").distinct(), BUCKETS, "buckets")]
-        new = fresh.select(*FACTS.names)
-        pairs = (fuzzy_candidates if fuzzy else candidates)(self._current(stored, buckets).unionByName(new), new)
-        found = checkpointed(relationships(pairs))
-        self._write(found, "relationships", batch_id)
-        self._write(fresh, "facts", batch_id, "bucket")
-        return found
+        found = new_slices(self._current(stored, buckets), new.select(*FACTS.names), fuzzy)
+        kept = f"{self.path}/relationships/batch={batch_id}"
+        found.write.mode("overwrite").option("compression", "zstd").parquet(kept)
+        self._move(staged, f"facts/batch={batch_id}")
+        return slice_relationships(self.spark.read.schema(tally.SLICE).parquet(kept))
 
 
 def ingest_totals(facts: DataFrame, relations: DataFrame) -> DataFrame:
